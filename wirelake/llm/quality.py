@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import crc_mod
-from .textcodes import mix, word_codes
+from .textcodes import mix, slices, word_codes
 
 SCALE = 30.0
 
@@ -122,7 +122,8 @@ def score(documents: DataFrame, weights: np.ndarray | None, p: FtrlParams = Ftrl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = model.value
         for b in batches:
-            m = margins([None if t is None else t.encode() for t in b["text"]], w[:-1], float(w[-1]))
+            texts = b["text"].tolist()
+            m = np.concatenate([np.zeros(0), *(margins([None if t is None else t.encode() for t in texts[s]], w[:-1], float(w[-1])) for s in slices(texts))])
             yield b.assign(score=1 / (1 + np.exp(-np.clip(m, -35, 35))))
 
     kept = documents.drop("score", "predicted")

@@ -71,6 +71,18 @@ def pieces(texts: Iterable[bytes | None], size: int = PIECE, kind: np.ndarray =
         yield b" ".join(held), own
 
 
+def slices(texts: list[bytes | str | None], size: int = PIECE) -> Iterator[slice]:
+    """Runs of texts of about ``size`` bytes together, so that what is computed for one run stays small."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size:
+            yield slice(start, k + 1)
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def word_codes(texts: list[bytes | None], kind: np.ndarray = WORD, shapes: bool = False) -> tuple[np.ndarray, ...]:
     """Codes of all words of all texts in order, and the number of words of each text. With ``shapes`` also a code of each word's shape."""
     codes, shape_codes = [], []
