@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, packing, quality, url_filter
+from . import decontam, html_text, langid, packing, ppm, quality, url_filter
 
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
@@ -33,6 +33,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
@@ -50,8 +54,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.PackParams(tokenizer_path()))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_language_id, op4_html_extraction, op6_url_filter, op7_quality_classifier, op8_packing]
+    own = [op2_language_id, op3_lm_scoring, op4_html_extraction, op6_url_filter, op7_quality_classifier, op8_packing, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
