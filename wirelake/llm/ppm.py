@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch, crc_mod
-from .textcodes import LOWER, PIECE, word_codes
+from .textcodes import LOWER, PIECE, Lookup, word_codes
 
 ORDER = 4
 #: Bytes that no UTF-8 text holds: before a text, and after it.
@@ -106,40 +106,6 @@ def ask(texts: list[bytes | None], held_out: np.ndarray) -> pd.DataFrame:
     return pd.concat(out)
 
 
-class Lookup:
-    """Values of 64-bit keys in an open hash table, many at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 2).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.mask = (1 << bits) - 1
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, values.dtype)
-        owner = np.full(1 << bits, -1, np.int64)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = owner[slot] < 0
-            owner[slot[free]] = left[free]
-            placed = owner[slot] == left
-            left, slot = left[~placed], (slot[~placed] + 1) & self.mask
-        full = owner >= 0
-        self.keys[full], self.values[full] = keys[owner[full]], values[owner[full]]
-        self.full = full
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        while len(miss):
-            if not self.full[slot[miss]].all():
-                raise KeyError("a key was not asked for")
-            slot[miss] = (slot[miss] + 1) & self.mask
-            miss = miss[self.keys[slot[miss]] != keys[miss]]
-        return self.values[slot]
-
-
 def answer(texts: list[bytes | None], words: Lookup, grams: Lookup, tokens: int, kinds: int) -> pd.DataFrame:
     """Scores of each text of a block."""
     n = len(texts)
@@ -179,16 +145,16 @@ def code_lengths(grams: DataFrame) -> DataFrame:
         if j:
             below = seen[j - 1]
             stats = stats.withColumn(f"g{j - 1}", low(F.col(f"g{j}"), j - 1)).join(F.broadcast(below) if j <= 2 else below, f"g{j - 1}")
-            stats = stats.groupBy(context(F.col(f"g{j}")).alias(f"c{j}")).agg(F.sum(f"n{j}").alias(f"N{j}"), F.count("*").alias(f"q{j}"), F.sum(f"n{j - 1}").alias(f"X{j}"))
+            stats = stats.groupBy(context(F.col(f"g{j}")).alias(f"c{j}")).agg(F.sum(f"n{j}").alias(f"t{j}"), F.count("*").alias(f"q{j}"), F.sum(f"n{j - 1}").alias(f"X{j}"))
         else:
-            stats = stats.groupBy(context(F.col("g0")).alias("c0")).agg(F.sum("n0").alias("N0"), F.count("*").alias("q0"))
+            stats = stats.groupBy(context(F.col("g0")).alias("c0")).agg(F.sum("n0").alias("t0"), F.count("*").alias("q0"))
         out = out.withColumn(f"g{j}", low(F.col("key"), j)).withColumn(f"c{j}", context(F.col(f"g{j}")))
         out = out.join(F.broadcast(seen[j]) if small else seen[j], f"g{j}", "left").join(F.broadcast(stats) if j <= 2 else stats, f"c{j}", "left").drop(f"g{j}", f"c{j}")
     value: Column = F.lit(0.0)
     done: Column = F.lit(False)
     before: tuple[Column, Column] = (F.lit(0), F.lit(0))  # what the longer context excludes: counts and symbols
     for j in range(ORDER, -1, -1):
-        total, kinds, n = F.coalesce(F.col(f"N{j}"), F.lit(0)), F.coalesce(F.col(f"q{j}"), F.lit(0)), F.col(f"n{j}")
+        total, kinds, n = F.coalesce(F.col(f"t{j}"), F.lit(0)), F.coalesce(F.col(f"q{j}"), F.lit(0)), F.col(f"n{j}")
         new = kinds - before[1]
         space = total - before[0] + new
         step = F.when(done | (space <= 0), 0.0).when(n.isNotNull(), F.log10(n / space)).otherwise(F.log10(new / space))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, packing, ppm, quality, url_filter
+from . import ann, decontam, html_text, jaccard, langid, packing, ppm, quality, url_filter, warc
 
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
@@ -29,6 +29,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json", folder: str | None = None) -
         return f"{TOKENIZERS}/{name}"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
@@ -54,12 +62,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.PackParams(tokenizer_path()))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_language_id, op3_lm_scoring, op4_html_extraction, op6_url_filter, op7_quality_classifier, op8_packing, op10_decontamination]
+    own = [
+        op1_warc,
+        op2_language_id,
+        op3_lm_scoring,
+        op4_html_extraction,
+        op5_jaccard_join,
+        op6_url_filter,
+        op7_quality_classifier,
+        op8_packing,
+        op9_ann,
+        op10_decontamination,
+    ]
     return {f.__name__: f for f in own}
 
 

@@ -151,3 +151,55 @@ def shingles(codes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
         keep[starts[k]] = True
     out = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     return acc[keep], out
+
+
+def per_text_sets(codes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The distinct codes of each text, sorted."""
+    out, at = [], 0
+    for n in counts.tolist():
+        own = np.sort(codes[at : at + n])
+        at += n
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if n else own)
+    return out
+
+
+class Lookup:
+    """Values of distinct 64-bit keys in an open hash table, many at once; keys that are not there have the value ``missing``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float | int | None = None):
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.missing = missing
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, values.dtype)
+        owner = np.full(1 << bits, -1, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = owner[slot] < 0
+            owner[slot[free]] = left[free]
+            placed = owner[slot] == left
+            left, slot = left[~placed], (slot[~placed] + 1) & self.mask
+        self.full = owner >= 0
+        self.keys[self.full], self.values[self.full] = keys[owner[self.full]], values[owner[self.full]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        look = np.flatnonzero((self.keys[slot] != keys) | ~self.full[slot])
+        absent = []
+        while len(look):
+            there = self.full[slot[look]]
+            if not there.all():
+                absent.append(look[~there])
+                look = look[there]
+            slot[look] = (slot[look] + 1) & self.mask
+            look = look[(self.keys[slot[look]] != keys[look]) | ~self.full[slot[look]]]
+        out = self.values[slot]
+        if absent:
+            if self.missing is None:
+                raise KeyError("a key is not in the table")
+            out[np.concatenate(absent)] = self.missing
+        return out
