@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelake.llm import langid, packing, quality
+from wirelake.llm import decontam, jaccard, langid, packing, quality
 from wirelake.llm.queries import tokenizer_path
 from wirelake.llm.storage import Scratch
 
@@ -25,11 +25,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((judged.lang_pred != "und") & (judged.lang_score >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near copies."""
+    return jaccard.keep_one(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.PackParams(tokenizer_path()))
 
 
-STAGES = [("quality classifier", quality_classifier), ("language ID", language_id), ("packing", pack)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", pack),
+]
 
 #: Trained models and tokenizers take part, which SQL cannot express.
 ORACLE_SQL = None

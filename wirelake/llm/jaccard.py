@@ -198,7 +198,7 @@ def _linked(p: JoinParams) -> Column:
 
 
 def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id and the set code ``rid`` of every row of ``documents``.
+    """doc_id, n_shingles, component_id, the set code ``rid`` and the component's root, of every row of ``documents``.
 
     Null texts and texts without words have the empty set and are linked with nothing; texts of fewer words than a shingle are one shingle; repeated rows are linked like
     copies. A null doc_id never names a component: such a row's component_id is null unless a row with an id is reachable. An empty table gives no rows; columns
@@ -266,8 +266,36 @@ def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch
     own = scratch.table(own.select("rid", "doc_id", "copies", "root"), "rooted")
     names = scratch.table(own.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")), "names")
     hot = names.where(F.col("k") >= max(64, own.count() // 2000)).select("root")
-    table = scratch.table(skew_join(own.select("rid", "copies", "root"), names.select("root", "component_id"), "root", "inner", hot).select("rid", "copies", "component_id"), "components")
+    table = scratch.table(skew_join(own.select("rid", "copies", "root"), names.select("root", "component_id"), "root", "inner", hot), "components")
     many = table.where(F.col("copies") >= max(64, rows.count() // 2000)).select("rid")
-    full = skew_join(rows.where("n > 0"), table.select("rid", "component_id"), "rid", "inner", many)
-    none = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return full.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid")
+    full = skew_join(rows.where("n > 0"), table.select("rid", "root", "component_id"), "rid", "inner", many)
+    none = rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "root": F.lit(None).cast("long")})
+    return full.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "rid", "root")
+
+
+def keep_one(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """The documents with one row of each group: that with the smallest doc_id. Rows with the empty set are in no group and all stay."""
+    scratch = Scratch(documents.sparkSession, "keep")
+    rows = scratch.table(groups(documents, p), "groups")
+    linked = rows.where("n_shingles > 0")
+    best = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("rid"), F.first("component_id").alias("kept_id"))
+    best = scratch.table(best.select("rid", "kept_id"), "best")
+    counts = linked.groupBy("rid").count()
+    hot = scratch.table(counts.where(F.col("count") >= max(64, rows.count() // 2000)).select("rid"), "hot")
+    names = documents.columns
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            codes = [set_code(s) if len(s) else None for _, sets in sets_of(b["text"].tolist(), p) for s in sets]
+            yield b.assign(_rid=pd.array(codes, "Int64"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    docs = documents.mapInPandas(coded, f"{schema}, _rid long")
+    found = skew_join(docs.where("_rid IS NOT NULL").withColumnRenamed("_rid", "rid"), best, "rid", "inner", hot)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    # Rows that repeat a kept document: only those are brought together.
+    again = linked.groupBy("rid", "doc_id").count().where("count > 1").join(best, "rid").where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("rid")
+    again = scratch.table(again, "again")
+    if not again.isEmpty():
+        kept = kept.join(again, "rid", "left_anti").unionByName(kept.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
+    return kept.select(*names).unionByName(docs.where("_rid IS NULL").select(*names))

@@ -1,7 +1,7 @@
 """Language-model scores: prediction by partial matching over bytes, beside a unigram word model.
 
 The trie of byte contexts is a table: one row for each context of ``ORDER`` bytes and the symbol after it, with its count in the training texts; shorter contexts are sums
-over longer ones. Escapes follow method C (an escape counts as often as the context has symbols), and symbols of the longer context are excluded from the shorter one.
+over longer ones. Escapes follow method D (each symbol of a context gives half a count to the escape), and symbols of the longer context are excluded from the shorter one.
 As symbols seen after a context are also seen after each of its ends, what is excluded depends on the context escaped from alone; so the code length of a symbol is a
 function of its ``ORDER`` preceding bytes, and is worked out once for each such gram that any text holds, by joins on the table.
 
@@ -156,8 +156,8 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     for j in range(ORDER, -1, -1):
         total, kinds, n = F.coalesce(F.col(f"t{j}"), F.lit(0)), F.coalesce(F.col(f"q{j}"), F.lit(0)), F.col(f"n{j}")
         new = kinds - before[1]
-        space = total - before[0] + new
-        step = F.when(done | (space <= 0), 0.0).when(n.isNotNull(), F.log10(n / space)).otherwise(F.log10(new / space))
+        space = total - before[0]
+        step = F.when(done | (new <= 0), 0.0).when(n.isNotNull(), F.log10((n - 0.5) / space)).otherwise(F.log10(new / (2 * space)))
         value = value + step
         done = done | n.isNotNull()
         before = (F.coalesce(F.col(f"X{j}"), F.lit(0)) if j else F.lit(0), kinds)
