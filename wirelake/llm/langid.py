@@ -27,8 +27,8 @@ class KernelParams:
 
     bits: int = 15
     max_n: int = 4
-    sample: int = 2400
-    landmarks: int = 400
+    sample: int = 2000
+    landmarks: int = 300
     ridge: float = 1e-2
     sharpness: float = 6.0
 
@@ -78,15 +78,23 @@ def _rows(texts: list[str], p: KernelParams) -> np.ndarray:
     return out
 
 
-def solve(rows: np.ndarray, langs: list[str], p: KernelParams) -> KernelModel:
+def solve(packed: np.ndarray, langs: list[str], p: KernelParams) -> KernelModel:
+    """Kernel ridge regressions from presence rows given as packed bits; only the landmarks are unpacked all at once."""
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(part, axis=1)[:, : 1 << p.bits].astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
     names = sorted(set(langs))
-    x = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+    n = len(packed)
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    marks = x[np.linspace(0, len(x) - 1, min(len(x), p.landmarks)).astype(int)]
-    kmm, knm = (marks @ marks.T).astype(np.float64), (x @ marks.T).astype(np.float64)
+    marks = unit(packed[np.linspace(0, n - 1, min(n, p.landmarks)).astype(int)])
+    kmm = (marks @ marks.T).astype(np.float64)
+    knm = np.concatenate([unit(packed[k : k + 200]) @ marks.T for k in range(0, n, 200)]).astype(np.float64)
     mean = y.mean(0)
-    balance = (1 / np.maximum(np.array([langs.count(c) for c in langs]), 1))[:, None] * len(langs) / len(names)
-    left = knm.T @ (balance * knm) + p.ridge * len(x) * kmm + 1e-6 * len(x) * np.eye(len(marks))
+    balance = (1 / np.array([langs.count(c) for c in langs]))[:, None] * n / len(names)
+    left = knm.T @ (balance * knm) + p.ridge * n * kmm + 1e-6 * n * np.eye(len(marks))
     alpha = np.linalg.solve(left, knm.T @ (balance * (y - mean)))
     return KernelModel(names, (marks.T @ alpha).astype(np.float32), mean)
 
@@ -112,8 +120,8 @@ def fit(labelled: DataFrame, p: KernelParams = KernelParams()) -> KernelModel |
     if not len(got):
         return None
     got = got.iloc[: 2 * p.sample]
-    rows = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : 1 << p.bits].astype(np.float32)
-    return solve(rows, got["lang"].tolist(), p)
+    packed = np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1)
+    return solve(packed, got["lang"].tolist(), p)
 
 
 def judge(texts: list[str | None], model: KernelModel | None, p: KernelParams) -> tuple[list[str], np.ndarray]:
