@@ -34,7 +34,7 @@ END_TOKEN = np.uint64(0x5BD1E995)
 class PpmParams:
     """``block_bytes`` of text make a block; there are ``blocks`` at least."""
 
-    block_bytes: int = 24_000_000
+    block_bytes: int = 8_000_000
     blocks: int = 48
 
 
