@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -59,23 +59,27 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, p: JoinParams) -> np.ndarray:
-    """Signatures of a set given as codes and counts in any order."""
+def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set given as codes and frequencies in any order; for each the frequency of its token, or the smaller one of two."""
     n = len(tokens)
     order = np.lexsort((tokens, frequency))
     first = n - need(n, p.percent) + 1
-    out = []
+    out, often_seen = [], []
     if n > p.small:
         out.append(tokens[order[:first]])
+        often_seen.append(frequency[order[:first]])
     if n * p.percent <= p.small * 100:
         own = order[: min(n, first + 1)]
         rare = frequency[own] < frequent
         out.append(tokens[own[rare]])
-        often = tokens[own[~rare]]
+        often_seen.append(frequency[own[rare]])
+        often, seen = tokens[own[~rare]], frequency[own[~rare]]
         i, j = np.triu_indices(len(often), 1)
         a, b = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
         out.append(mix(a * np.uint64(0xD6E8FEB86659FD93) + b))
-    return np.unique(np.concatenate(out))
+        often_seen.append(np.minimum(seen[i], seen[j]))
+    sigs, at = np.unique(np.concatenate(out), return_index=True)
+    return sigs, np.concatenate(often_seen)[at]
 
 
 def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
@@ -113,7 +117,7 @@ def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: int, p: JoinParams) -> DataFrame:
-    """(sig, rid, n): the signatures of the different sets of each portion."""
+    """(sig, rid, n, seen): the signatures of the different sets of each portion; seen is the frequency class of the signature's token."""
     held = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +126,7 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
         for b in batches:
             for _, sets in sets_of(b["text"].tolist(), p):
                 every = table.get(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                at, sigs, rids, sizes = 0, [], [], []
+                at, sigs, rids, sizes, classes = 0, [], [], [], []
                 for s in sets:
                     frequency = every[at : at + len(s)]
                     at += len(s)
@@ -131,14 +135,35 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
                         continue
                     if len(seen) < 200_000:
                         seen.add(code)
-                    own = signatures(s, frequency, frequent, p)
+                    own, own_seen = signatures(s, frequency, frequent, p)
                     sigs.append(own)
+                    classes.append(own_seen)
                     rids.append(np.full(len(own), code, np.int64))
                     sizes.append(np.full(len(own), len(s), np.int32))
                 if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes)})
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "seen": np.concatenate(classes)})
 
-    return docs.mapInPandas(run, "sig long, rid long, n int")
+    return docs.mapInPandas(run, "sig long, rid long, n int, seen byte")
+
+
+def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, rid, n, lead, lead_n) of the signatures that several sets have; lead is the least of those.
+
+    Signatures that more than 1/2000 of all rows have, 2000 at the most, come from an aggregate and meet their rows by a broadcast. Only tokens seen often can be among them. The
+    rest is shuffled once; no signature of it is large.
+    """
+    rows = index.count()
+    least = max(64, rows // 2000)
+    # A class is the logarithm of what the portions counted, and a portion hands on no token that it saw less than 3 times.
+    often = index.where(F.col("seen") >= int(np.log2(max(2, least // 4))))
+    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min("rid").alias("lead"), F.min_by("n", "rid").alias("lead_n"), F.max("rid").alias("last")).where(F.col("members") >= least)
+    hot = scratch.table(hot, "hot")
+    few = F.broadcast(hot.select("sig"))
+    w = Window.partitionBy("sig")
+    cold = index.select("sig", "rid", "n").join(few, "sig", "left_anti").withColumns({"lead": F.min("rid").over(w), "last": F.max("rid").over(w), "lead_n": F.min_by("n", "rid").over(w)})
+    warm = index.select("sig", "rid", "n").join(F.broadcast(hot.drop("members")), "sig")
+    both = warm.select("sig", "rid", "n", "lead", "last", "lead_n").unionByName(cold)
+    return scratch.table(both.where("lead <> last").drop("last"), "shared")
 
 
 def _wanted(rids: DataFrame, bits: int) -> np.ndarray:
@@ -193,6 +218,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, p: J
     return scratch.table(both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common")), name)
 
 
+def _tested(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, p: JoinParams) -> DataFrame:
+    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid")))
+    sets = scratch.table(_sets(docs, rids, p), f"{name}-sets")
+    scratch.release()
+    out = _verify(pairs, sets, scratch, name, p)
+    scratch.drop(f"{name}-sets")
+    scratch.release()
+    return out
+
+
 def _linked(p: JoinParams) -> Column:
     return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * p.percent
 
@@ -207,7 +242,7 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "jaccard")
     docs = documents.select("doc_id", "text")
     inventory = scratch.table(_inventory(docs, p), "inventory")
-    rows = inventory.where("kind = 0").select("doc_id", F.col("code").alias("rid"), "n")
+    rows = scratch.table(inventory.where("kind = 0").select("doc_id", F.col("code").alias("rid"), "n"), "rows")
     nodes = rows.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
     nodes = scratch.table(nodes, "nodes")
     total, sets_n = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -218,33 +253,23 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     classes = np.log2(np.maximum(counts, 1)).astype(np.int8)
     frequent = int(np.log2(max(2, sets_n * p.share)))
     index = scratch.table(_index(docs, tokens, classes, frequent, p), "index")
-    buckets = index.groupBy("sig").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.min_by("n", "rid").alias("lead_n"), F.count("*").alias("members"))
-    buckets = scratch.table(buckets.where("lead <> last").drop("last"), "buckets")
-    entries = buckets.agg(F.sum("members")).first()[0] or 0
-    hot = buckets.where(F.col("members") >= max(64, entries // 2000)).select("sig")
-    shared = scratch.table(skew_join(index, buckets.drop("members"), "sig", "inner", hot), "shared")
-    scratch.drop("index", "buckets")
+    scratch.drop("inventory")
+    shared = _shared(index, scratch)
+    scratch.drop("index")
+    scratch.release()
     pairs = shared.where((F.col("rid") != F.col("lead")) & _close(F.col("n"), F.col("lead_n"), p))
     pairs = scratch.table(pairs.select(F.col("rid").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb")).distinct(), "pairs")
-    later = _later(shared, p)
-    sets = scratch.table(_sets(docs, pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).unionByName(later), p), "sets")
-    tested = _verify(pairs, sets, scratch, "tested", p)
+    tested = _tested(docs, pairs, scratch, "tested", p)
     edges = tested.where(_linked(p)).select("a", "b")
     roots = scratch.table(components(edges, scratch, "first"), "roots")
     rest = scratch.table(_undecided(shared, tested, roots, p), "undecided")
     if not rest.isEmpty():
-        more = _verify(rest, sets, scratch, "tested2", p)
+        more = _tested(docs, rest, scratch, "tested2", p)
         roots = scratch.table(components(edges.unionByName(more.where(_linked(p)).select("a", "b")), scratch, "second"), "roots2")
-    scratch.drop("shared", "sets", "pairs")
+    scratch.drop("shared", "pairs", "undecided")
     return _named(rows, nodes, roots, scratch)
 
 
-def _later(shared: DataFrame, p: JoinParams) -> DataFrame:
-    """Sets that may take part in the second step: those in a bucket of three or more."""
-    large = shared.groupBy("sig").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), F.min(F.when(F.col("rid") != F.col("lead"), F.col("rid"))).alias("z")).where("z <> y").select("sig")
-    return shared.join(large, "sig", "left_semi").select("rid").distinct()
-
-
 def _undecided(shared: DataFrame, tested: DataFrame, roots: DataFrame, p: JoinParams) -> DataFrame:
     """Pairs of a bucket that are not yet in one component and may be linked, (a, b, na, nb), each once."""
     # The distance to the bucket's least set; null where sizes ruled a link out and it was not worked out: such rows take part whatever the other's distance.
