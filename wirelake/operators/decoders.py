@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from ..sources.pcap import uint
 
-M = F.col("message")
+
+
+def _m() -> Column:
+    return F.col("message")
 
 
 def _text(at: Column | int, size: Column | int) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
     size = F.lit(size) if isinstance(size, int) else size
-    return F.decode(F.substring(M, (at + 1).cast("int"), size.cast("int")), "UTF-8")
+    return F.decode(F.substring(_m(), (at + 1).cast("int"), size.cast("int")), "UTF-8")
 
 
 def _name(of: Column, table: dict[int, str]) -> Column:
@@ -45,33 +48,33 @@ REDIS_TYPES = {"*": "Array", "$": "BulkString", "+": "SimpleString", "-": "Error
 
 def dns(rows: DataFrame) -> DataFrame:
     """key (the id), question, question_type, status, answers."""
-    flags = uint(M, 2, 2)
+    flags = uint(_m(), 2, 2)
     # Labels of the question's name: at each step the position, the name so far and whether its end was met.
     start = F.struct(F.lit(12).cast("bigint").alias("at"), F.lit("").alias("name"), F.lit(False).alias("done"))
 
     def step(s: Column, _: Column) -> Column:
-        n = uint(M, s["at"].cast("int"), 1)
+        n = uint(_m(), s["at"].cast("int"), 1)
         end = s["done"] | n.isNull() | (n == 0) | (n >= 64)
         return F.struct(F.when(end, s["at"]).otherwise(s["at"] + n + 1).alias("at"), F.when(end, s["name"]).otherwise(F.concat(s["name"], _text(s["at"] + 1, n), F.lit("."))).alias("name"), end.alias("done"))
 
     name = F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, step)
     df = rows.withColumn("_q", name)
-    kind = uint(M, (F.col("_q.at") + 1).cast("int"), 2)
+    kind = uint(_m(), (F.col("_q.at") + 1).cast("int"), 2)
     return df.withColumns(
         {
-            "key": uint(M, 0, 2),
+            "key": uint(_m(), 0, 2),
             "role": F.when(flags.bitwiseAND(0x8000) == 0, "Request").otherwise("Response"),
             "question": F.col("_q.name"),
             "question_type": _name(kind, DNS_TYPES),
             "status": F.when(flags.bitwiseAND(0x8000) != 0, _name(flags.bitwiseAND(15), DNS_RCODES)),
-            "answers": uint(M, 6, 2),
+            "answers": uint(_m(), 6, 2),
         }
     ).drop("_q")
 
 
 def redis(rows: DataFrame) -> DataFrame:
     """command (the first word of a request, in capitals), data_type of a response."""
-    text = F.decode(F.substring(M, 1, 256), "UTF-8")
+    text = F.decode(F.substring(_m(), 1, 256), "UTF-8")
     first = F.regexp_extract(text, r"^\*\d+\r\n\$\d+\r\n([^\r\n]{1,64})", 1)
     kind = F.create_map(*[F.lit(x) for kv in REDIS_TYPES.items() for x in kv])[F.substring(text, 1, 1)]
     return rows.withColumns({"command": F.when(_is("Request"), F.nullif(F.upper(first), F.lit(""))), "data_type": F.when(_is("Response"), kind)})
@@ -79,7 +82,7 @@ def redis(rows: DataFrame) -> DataFrame:
 
 def http(rows: DataFrame) -> DataFrame:
     """method, path, remote_host of requests; status of responses; headers, content_type and body (text types) of both."""
-    text = F.decode(M, "UTF-8")
+    text = F.decode(_m(), "UTF-8")
     head = F.substring_index(text, "\r\n\r\n", 1)
     line = F.substring_index(head, "\r\n", 1)
     named = F.transform(F.filter(F.split(head, "\r\n"), lambda x, i: (i > 0) & x.contains(":")), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
@@ -100,22 +103,22 @@ def http(rows: DataFrame) -> DataFrame:
 
 def mysql(rows: DataFrame) -> DataFrame:
     """command and statement of requests; packet_kind, affected_rows (one-byte counts) or error_code of responses."""
-    code = uint(M, 4, 1)
+    code = uint(_m(), 4, 1)
     return rows.withColumns(
         {
             "command": F.when(_is("Request"), _name(code, MYSQL_COMMANDS)),
             "statement": F.when(_is("Request") & code.isin(2, 3, 22), F.translate(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\n", " ")),
             "packet_kind": F.when(_is("Response"), F.when(code == 0, "OK").when(code == 255, "ERR").when(code == 254, "EOF").otherwise("ResultSet")),
-            "affected_rows": F.when(_is("Response") & (code == 0) & (uint(M, 5, 1) < 251), uint(M, 5, 1)),
-            "error_code": F.when(_is("Response") & (code == 255), uint(M, 5, 2, little=True)),
+            "affected_rows": F.when(_is("Response") & (code == 0) & (uint(_m(), 5, 1) < 251), uint(_m(), 5, 1)),
+            "error_code": F.when(_is("Response") & (code == 255), uint(_m(), 5, 2, little=True)),
         }
     )
 
 
 def postgresql(rows: DataFrame) -> DataFrame:
     """command and statement of requests; packet_kind, tag and affected_rows of responses."""
-    kind = F.decode(F.substring(M, 1, 1), "ISO-8859-1")
-    body = F.decode(F.substring(M, 6, 1024), "ISO-8859-1")
+    kind = F.decode(F.substring(_m(), 1, 1), "ISO-8859-1")
+    body = F.decode(F.substring(_m(), 6, 1024), "ISO-8859-1")
     zero = F.lit("\0")
     tag = F.substring_index(body, "\0", 1)
     return rows.withColumns(
@@ -131,13 +134,13 @@ def postgresql(rows: DataFrame) -> DataFrame:
 
 def mongodb(rows: DataFrame) -> DataFrame:
     """key (request id, or the id answered), opcode, database and command of messages, ok of answers."""
-    asked, answers = uint(M, 4, 4, little=True), uint(M, 8, 4, little=True)
-    body = F.decode(F.substring(M, 22, 512), "ISO-8859-1")
+    asked, answers = uint(_m(), 4, 4, little=True), uint(_m(), 8, 4, little=True)
+    body = F.decode(F.substring(_m(), 22, 512), "ISO-8859-1")
     return rows.withColumns(
         {
             "role": F.when(answers == 0, "Request").otherwise("Response"),
             "key": F.when(answers == 0, asked).otherwise(answers),
-            "opcode": _name(uint(M, 12, 4, little=True), MONGO_OPCODES),
+            "opcode": _name(uint(_m(), 12, 4, little=True), MONGO_OPCODES),
             "command": F.when(answers == 0, F.nullif(F.regexp_extract(body, r"^.{4}.([A-Za-z]+)\x00", 1), F.lit(""))),
             "source": F.when(answers == 0, F.nullif(F.regexp_extract(body, r"\x02\$db\x00.{4}([^\x00]+)\x00", 1), F.lit(""))),
         }
@@ -146,32 +149,32 @@ def mongodb(rows: DataFrame) -> DataFrame:
 
 def kafka(rows: DataFrame) -> DataFrame:
     """key (correlation id), api, version, client_id of requests, error_code of responses."""
-    size = uint(M, 12, 2)
+    size = uint(_m(), 12, 2)
     return rows.withColumns(
         {
-            "key": F.when(_is("Request"), uint(M, 8, 4)).otherwise(uint(M, 4, 4)),
-            "api": F.when(_is("Request"), _name(uint(M, 4, 2), KAFKA_APIS)),
-            "version": F.when(_is("Request"), uint(M, 6, 2)),
+            "key": F.when(_is("Request"), uint(_m(), 8, 4)).otherwise(uint(_m(), 4, 4)),
+            "api": F.when(_is("Request"), _name(uint(_m(), 4, 2), KAFKA_APIS)),
+            "version": F.when(_is("Request"), uint(_m(), 6, 2)),
             "client_id": F.when(_is("Request") & (size != 0xFFFF), F.regexp_replace(_text(14, size), r"[^A-Za-z0-9_:/-]", "")),
-            "error_code": F.when(_is("Response"), uint(M, 8, 2)),
+            "error_code": F.when(_is("Response"), uint(_m(), 8, 2)),
         }
     )
 
 
 def amqp(rows: DataFrame) -> DataFrame:
     """channel, frame_kind, class and method of method frames, routing of publishes."""
-    method = uint(M, 0, 1) == 1
-    cls, number = uint(M, 7, 2), uint(M, 9, 2)
-    exchange = uint(M, 13, 1)
+    method = uint(_m(), 0, 1) == 1
+    cls, number = uint(_m(), 7, 2), uint(_m(), 9, 2)
+    exchange = uint(_m(), 13, 1)
     publish = method & (cls == 60) & (number == 40)
     return rows.withColumns(
         {
-            "channel": uint(M, 1, 2),
-            "frame_kind": F.when(method, "Method").when(uint(M, 0, 1) == 2, "Header").when(uint(M, 0, 1) == 3, "Body").when(uint(M, 0, 1) == 8, "Heartbeat"),
+            "channel": uint(_m(), 1, 2),
+            "frame_kind": F.when(method, "Method").when(uint(_m(), 0, 1) == 2, "Header").when(uint(_m(), 0, 1) == 3, "Body").when(uint(_m(), 0, 1) == 8, "Heartbeat"),
             "class": F.when(method, _name(cls, AMQP_CLASSES)),
             "method": F.when(method & (cls == 60), _name(number, AMQP_BASIC)).when(method, number.cast("string")),
             "exchange": F.when(publish, _text(14, exchange)),
-            "routing_key": F.when(publish, _text(F.lit(15) + exchange, uint(M, (F.lit(14) + exchange).cast("int"), 1))),
+            "routing_key": F.when(publish, _text(F.lit(15) + exchange, uint(_m(), (F.lit(14) + exchange).cast("int"), 1))),
         }
     )
 
@@ -180,11 +183,11 @@ def http2(rows: DataFrame) -> DataFrame:
     """frame_kind, stream_id and end_stream of each frame. Header fields are not unpacked: their compression has state that runs through the connection."""
     return rows.withColumns(
         {
-            "frame_kind": _name(uint(M, 3, 1), HTTP2_FRAMES),
-            "key": uint(M, 5, 4).bitwiseAND(0x7FFFFFFF),
-            "end_stream": uint(M, 3, 1).isin(0, 1) & (uint(M, 4, 1).bitwiseAND(1) == 1),
+            "frame_kind": _name(uint(_m(), 3, 1), HTTP2_FRAMES),
+            "key": uint(_m(), 5, 4).bitwiseAND(0x7FFFFFFF),
+            "end_stream": uint(_m(), 3, 1).isin(0, 1) & (uint(_m(), 4, 1).bitwiseAND(1) == 1),
         }
-    ).where(~F.substring(M, 1, 3).eqNullSafe(F.lit(b"PRI")))
+    ).where(~F.substring(_m(), 1, 3).eqNullSafe(F.lit(b"PRI")))
 
 
 DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"dns": dns, "redis": redis, "http": http, "mysql": mysql, "postgresql": postgresql, "mongodb": mongodb, "kafka": kafka, "amqp": amqp, "http2": http2}
