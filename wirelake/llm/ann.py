@@ -3,7 +3,8 @@
 Vectors get one more component that brings all to the same length, so that the largest inner product is the smallest distance. Centroids are fitted on a bounded sample
 with a penalty on large lists; a graph over them, kept in memory, finds the lists of a vector. A vector near a border stands in up to ``copies`` lists; a query reads
 the lists whose distance is within a ratio of the nearest one's. Lists that outgrow their share, as with one very common vector, are dealt into sublists, and equal
-query vectors are searched once.
+query vectors are searched once. Lists of neighbouring centroids make a shard, which is what one task compares, so that a query gets one answer a shard and not one a
+list.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ class AnnParams:
     probes: int = 256
     least_probes: int = 24
     probe_ratio: float = 1.23
-    sublist: int = 4000
+    shard_lists: int = 12
+    sublist: int = 12_000
     query_block: int = 1000
     degree: int = 16
     beam: int = 32
@@ -42,6 +44,7 @@ class AnnParams:
 class CentroidGraph:
     points: np.ndarray  # K x (d + 1)
     links: np.ndarray  # K x degree
+    shards: np.ndarray  # K
     entries: np.ndarray
     norm: float
 
@@ -104,7 +107,19 @@ def fit_graph(sample: np.ndarray, rows: int, norm: float, p: AnnParams) -> Centr
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(p.degree, k - 1))]
     far = rng.integers(0, k, (k, 4))
-    return CentroidGraph(points, np.hstack((near, far)), np.sort(rng.choice(k, min(k, 16), replace=False)), norm)
+    return CentroidGraph(points, np.hstack((near, far)), _shards(points, p.shard_lists), np.sort(rng.choice(k, min(k, 16), replace=False)), norm)
+
+
+def _shards(points: np.ndarray, lists: int) -> np.ndarray:
+    """Puts neighbouring centroids into groups of about ``lists``."""
+    k = max(1, len(points) // lists)
+    heads = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
+    own = np.zeros(len(points), np.int64)
+    for _ in range(5):
+        own = ((heads * heads).sum(1) - 2 * points @ heads.T).argmin(1)
+        for c in np.unique(own):
+            heads[c] = points[own == c].mean(0)
+    return own.astype(np.int32)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -122,7 +137,8 @@ def lists_of(batches: Iterator[pd.DataFrame], graph: CentroidGraph, most: int, l
             near = (dist <= dist[:, :1] * ratio**2 + 1e-12) | (np.arange(ids.shape[1]) < least)
             near &= (np.arange(ids.shape[1]) < most) & np.isfinite(dist)
             row, col = np.nonzero(near)
-            yield part.iloc[row].assign(list=ids[row, col].astype(np.int32))
+            lists = ids[row, col]
+            yield part.iloc[row].assign(list=lists.astype(np.int32), shard=graph.shards[lists])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -135,7 +151,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: (list, sub, vec_id, embedding), every row at least once; ``subs``: how many sublists a list has."""
+    """``postings``: (shard, sub, list, vec_id, embedding), every row at least once; ``subs``: into how many parts a shard is dealt."""
 
     graph: CentroidGraph
     postings: DataFrame
@@ -152,12 +168,12 @@ def build(vectors: DataFrame, scratch: Scratch, p: AnnParams = AnnParams()) -> I
     sample = _matrix(chosen["embedding"]) if len(chosen) else _matrix(rows.orderBy("vec_id").limit(1).toPandas()["embedding"])
     graph = fit_graph(sample, n, norm, p)
     held = rows.sparkSession.sparkContext.broadcast(graph)
-    assigned = rows.mapInPandas(lambda it: lists_of(it, held.value, p.copies, 1, p.copy_ratio, p.beam, True), "vec_id long, embedding array<float>, list int")
+    assigned = rows.mapInPandas(lambda it: lists_of(it, held.value, p.copies, 1, p.copy_ratio, p.beam, True), "vec_id long, embedding array<float>, list int, shard int")
     assigned = scratch.table(assigned, "assigned")
-    sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}  # one row for each centroid at most
+    sizes = {r["shard"]: r["count"] for r in assigned.groupBy("shard").count().collect()}  # one row for each centroid at most
     subs = {k: -(-v // p.sublist) for k, v in sizes.items()}
     large = {k: v for k, v in subs.items() if v > 1}
-    many = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("list")], F.lit(1)) if large else F.lit(1)
+    many = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("shard")], F.lit(1)) if large else F.lit(1)
     return Index(graph, assigned.withColumn("sub", F.pmod(F.xxhash64("vec_id"), many).cast("int")), subs, n)
 
 
@@ -181,25 +197,30 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, p: AnnParams = An
     # Equal vectors share a key (two that differ would need equal 64-bit hashes).
     distinct = asked.groupBy("qkey").agg(F.min("embedding").alias("embedding"))
     held = queries.sparkSession.sparkContext.broadcast(index.graph)
-    probed = scratch.table(distinct.mapInPandas(lambda it: lists_of(it, held.value, p.probes, p.least_probes, p.probe_ratio, p.beam, False), "qkey long, embedding array<float>, list int"), "probed")
-    counts = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
+    probed = scratch.table(distinct.mapInPandas(lambda it: lists_of(it, held.value, p.probes, p.least_probes, p.probe_ratio, p.beam, False), "qkey long, embedding array<float>, list int, shard int"), "probed")
+    counts = {r["shard"]: r["n"] for r in probed.groupBy("shard").agg(F.countDistinct("qkey").alias("n")).collect()}
     table = [(int(k), s, -(-counts.get(k, 0) // p.query_block)) for k, s in index.subs.items()]
-    cells = F.broadcast(queries.sparkSession.createDataFrame([t for t in table if t[2]] or [(-1, 1, 1)], "list int, subs int, blocks int"))
-    left = probed.join(cells, "list").withColumn("block", F.pmod(F.col("qkey"), F.col("blocks")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    right = index.postings.join(cells, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = F.broadcast(queries.sparkSession.createDataFrame([t for t in table if t[2]] or [(-1, 1, 1)], "shard int, subs int, blocks int"))
+    left = probed.join(cells, "shard").withColumn("block", F.pmod(F.col("qkey"), F.col("blocks")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    right = index.postings.join(cells, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"qkey": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        vectors, ids, out = _matrix(v["embedding"]), v["vec_id"].to_numpy(np.int64), []
-        for at in range(0, len(q), 200):
-            part = q.iloc[at : at + 200]
-            row, vec, score = best(_matrix(part["embedding"]), vectors, ids, need)
-            out.append(pd.DataFrame({"qkey": part["qkey"].to_numpy()[row], "vec_id": vec, "score": score}))
-        return pd.concat(out)
-
-    keys = ["list", "sub", "block"]
-    found = left.select(*keys, "qkey", "embedding").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInPandas(compare, "qkey long, vec_id long, score double")
+        none = pd.DataFrame({"qkey": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        out = [none]
+        there = {k: own for k, own in v.groupby("list")}
+        for k, asked_here in q.groupby("list"):
+            if k not in there:
+                continue
+            vectors, ids = _matrix(there[k]["embedding"]), there[k]["vec_id"].to_numpy(np.int64)
+            for at in range(0, len(asked_here), 200):
+                part = asked_here.iloc[at : at + 200]
+                row, vec, score = best(_matrix(part["embedding"]), vectors, ids, need)
+                out.append(pd.DataFrame({"qkey": part["qkey"].to_numpy()[row], "vec_id": vec, "score": score}))
+        every = pd.concat(out).drop_duplicates(["qkey", "vec_id"]).sort_values(["qkey", "score", "vec_id"], ascending=[True, False, True])
+        return every[every.groupby("qkey").cumcount() < need]
+
+    keys = ["shard", "sub", "block"]
+    found = left.select(*keys, "list", "qkey", "embedding").groupBy(*keys).cogroup(right.select(*keys, "list", "vec_id", "embedding").groupBy(*keys)).applyInPandas(compare, "qkey long, vec_id long, score double")
     top = _ranked(found.groupBy("qkey", "vec_id").agg(F.max("score").alias("score")), "qkey").where(F.col("rank") <= need)
     rows = top.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))  # at most k + 1 of them
     rows = scratch.table(rows, "found")
