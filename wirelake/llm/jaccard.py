@@ -303,24 +303,24 @@ def keep_one(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "keep")
     rows = scratch.table(groups(documents, p), "groups")
     linked = rows.where("n_shingles > 0")
-    best = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("rid"), F.first("component_id").alias("kept_id"))
-    best = scratch.table(best.select("rid", "kept_id"), "best")
-    counts = linked.groupBy("rid").count()
-    hot = scratch.table(counts.where(F.col("count") >= max(64, rows.count() // 2000)).select("rid"), "hot")
-    names = documents.columns
+    best = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("_rid"), F.first("component_id").alias("_kept"))
+    best = scratch.table(best.select("_rid", "_kept"), "best")
+    counts = linked.groupBy(F.col("rid").alias("_rid")).count()
+    hot = scratch.table(counts.where(F.col("count") >= max(64, rows.count() // 2000)).select("_rid"), "hot")
+    names = [c for c in documents.columns if c not in ("_rid", "_kept")]
+    docs = documents.select(*names)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             codes = [set_code(s) if len(s) else None for _, sets in sets_of(b["text"].tolist(), p) for s in sets]
             yield b.assign(_rid=pd.array(codes, "Int64"))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    docs = documents.mapInPandas(coded, f"{schema}, _rid long")
-    found = skew_join(docs.where("_rid IS NOT NULL").withColumnRenamed("_rid", "rid"), best, "rid", "inner", hot)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    docs = docs.mapInPandas(coded, f"{schema}, _rid long")
+    kept = skew_join(docs.where("_rid IS NOT NULL"), best, "_rid", "inner", hot).where(F.col("doc_id").eqNullSafe(F.col("_kept")))
     # Rows that repeat a kept document: only those are brought together.
-    again = linked.groupBy("rid", "doc_id").count().where("count > 1").join(best, "rid").where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("rid")
+    again = linked.groupBy(F.col("rid").alias("_rid"), "doc_id").count().where("count > 1").join(best, "_rid").where(F.col("doc_id").eqNullSafe(F.col("_kept"))).select("_rid")
     again = scratch.table(again, "again")
     if not again.isEmpty():
-        kept = kept.join(again, "rid", "left_anti").unionByName(kept.join(again, "rid", "left_semi").dropDuplicates(["rid"]))
+        kept = kept.join(again, "_rid", "left_anti").unionByName(kept.join(again, "_rid", "left_semi").dropDuplicates(["_rid"]))
     return kept.select(*names).unionByName(docs.where("_rid IS NULL").select(*names))
