@@ -183,7 +183,9 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
         return ask(group["text"].tolist(), np.array([True if pd.isna(h) else bool(h) for h in group["held_out"]])).assign(block=np.int32(key[0]))
 
     asked = scratch.table(docs.groupBy("block").applyInPandas(requests, "kind int, key long, n long, block int"), "asked")
+    scratch.release()
     known = scratch.table(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "known")
+    scratch.release()
     tokens, kinds = known.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values = known.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"))
     values = values.unionByName(code_lengths(known.where("kind = 1").select("key", "n")).select(F.lit(1).alias("kind"), "key", "value"))
