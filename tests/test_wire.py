@@ -130,3 +130,18 @@ def test_stream_counter(spark, tmp_path):
     q = jobs.windowed_counter(stream, ["k"], "ts").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r["value"] for r in spark.table("counted").collect()) == 100
+
+
+def test_header_compression():
+    from wirelake.operators.hpack import Decoder, Headers
+
+    d = Decoder()
+    host = (":authority", "www.example.com")
+    assert d.read(bytes.fromhex("828684418cf1e3c2e5f23a6ba0ab90f4ff")) == [(":method", "GET"), (":scheme", "http"), (":path", "/"), host]
+    assert d.read(bytes.fromhex("828684be5886a8eb10649cbf"))[3:] == [host, ("cache-control", "no-cache")]
+    assert d.read(bytes.fromhex("828785bf408825a849e95ba97d7f8925a849e95bb8e8b4bf"))[2:] == [(":path", "/index.html"), host, ("custom-key", "custom-value")]
+    h = Headers()
+    frame = lambda kind, flags, body: len(body).to_bytes(3, "big") + bytes([kind, flags]) + b"\0\0\0\1" + body
+    assert h.feed(frame(1, 8, b"\2\x82\x86" + b"\0\0")) is None
+    assert h.feed(frame(9, 4, b"\x84")) == {":method": "GET", ":scheme": "http", ":path": "/"}
+    assert h.feed(frame(1, 4, b"\xff\xff\xff")) is None

@@ -179,8 +179,8 @@ def amqp(rows: DataFrame) -> DataFrame:
     )
 
 
-def http2(rows: DataFrame) -> DataFrame:
-    """frame_kind, stream_id and end_stream of each frame. Header fields are not unpacked: their compression has state that runs through the connection."""
+def http2_frames(rows: DataFrame) -> DataFrame:
+    """frame_kind, key (the stream's number) and end_stream of each frame."""
     return rows.withColumns(
         {
             "frame_kind": _name(uint(_m(), 3, 1), HTTP2_FRAMES),
@@ -190,4 +190,20 @@ def http2(rows: DataFrame) -> DataFrame:
     ).where(~F.substring(_m(), 1, 3).eqNullSafe(F.lit(b"PRI")))
 
 
-DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"dns": dns, "redis": redis, "http": http, "mysql": mysql, "postgresql": postgresql, "mongodb": mongodb, "kafka": kafka, "amqp": amqp, "http2": http2}
+def http2(rows: DataFrame, connection: str = "conn") -> DataFrame:
+    """One row for each direction of each stream that has ended: method, path, scheme, authority, status, grpc_status, size of all its frames, first and last time."""
+    frames = http2_frames(rows).where((F.col("key") > 0) & F.col("frame_kind").isin("HEADERS", "CONTINUATION", "DATA", "PUSH_PROMISE", "RST_STREAM"))
+    pick = lambda name: F.max(F.col("fields")[name])
+    names = {"method": ":method", "path": ":path", "scheme": ":scheme", "authority": ":authority", "status": ":status", "grpc_status": "grpc-status"}
+    ended = frames.groupBy(connection, "role", "key").agg(*[pick(v).alias(k) for k, v in names.items()], F.sum("size").alias("size"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.bool_or("end_stream").alias("ended"))
+    return ended.where("ended").drop("ended")
+
+
+def grpc(rows: DataFrame, connection: str = "conn") -> DataFrame:
+    """As http2, with the service that the path names."""
+    from ..functions.text import service_of
+
+    return http2(rows, connection).withColumn("service", service_of(F.col("path")))
+
+
+DECODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"dns": dns, "redis": redis, "http": http, "mysql": mysql, "postgresql": postgresql, "mongodb": mongodb, "kafka": kafka, "amqp": amqp, "http2": http2, "grpc": grpc}

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hpack import Headers
+
 #: Longest message that a stream may hold open; a stream beyond it is read on from its next segment.
 MOST = 16 << 20
 KEPT = 65_536
@@ -136,27 +138,29 @@ class Buffer:
 
 
 def messages(segments: DataFrame, stream: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(stream, proto, message, size, first_ns, last_ns) from segments with proto, payload (what the cursor delivers) and capture_ns; ``order`` is total within a stream.
+    """(stream, proto, message, size, first_ns, last_ns, fields) from segments with proto, payload (what the cursor delivers) and capture_ns; ``order`` is total within a stream.
 
-    A stream whose bytes are not of its protocol is read on from the segment after.
+    A stream whose bytes are not of its protocol is read on from the segment after. ``fields`` holds the header fields of HTTP/2 frames that end a header block; they depend
+    on all blocks before in the stream and so are read where the stream is.
     """
     types = dict(segments.dtypes)
     keys = list(stream)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, buffer = None, Buffer()
+        now, buffer, headers = None, Buffer(), Headers()
         for b in batches:
             rows = []
             for row in b.itertuples(index=False):
                 own = tuple(row[: len(keys)])
                 if own != now:
-                    now, buffer = own, Buffer()
+                    now, buffer, headers = own, Buffer(), Headers()
                 proto, payload, ns = row[len(keys) : len(keys) + 3]
                 if payload is not None and proto in LENGTH:
-                    rows.extend((*own, proto, *m) for m in buffer.feed(proto, payload, ns))
-            yield pd.DataFrame(rows, columns=[*keys, "proto", "message", "size", "first_ns", "last_ns"])
+                    packed = proto in ("http2", "grpc")
+                    rows.extend((*own, proto, *m, headers.feed(m[0]) if packed else None) for m in buffer.feed(proto, payload, ns))
+            yield pd.DataFrame(rows, columns=[*keys, "proto", "message", "size", "first_ns", "last_ns", "fields"])
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "proto string, message binary, size bigint, first_ns bigint, last_ns bigint"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "proto string, message binary, size bigint, first_ns bigint, last_ns bigint, fields map<string,string>"])
     rest = [c for c in order if c not in (*keys, "proto", "payload", "capture_ns")]
     sorted_ = segments.select(*keys, "proto", "payload", "capture_ns", *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_.mapInPandas(run, schema)

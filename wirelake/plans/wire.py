@@ -169,3 +169,35 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p.select(F.col("page_id").alias("conn"), F.lit("Response").alias("role"), F.col("page_id").alias("at"), F.col("html").cast("binary").alias("bytes"))
     c = l4.cursor(sent(rows, "raw"), ["conn", "role"], ["at", "part", "copy"])
     return c.groupBy("conn").agg(F.sum(F.col("delivered").cast("bigint")).alias("delivered"))
+
+
+def _h2(kind: int, flags: int, stream: Column, body: Column) -> Column:
+    return cat(big(F.octet_length(body), 3), big(kind, 1), big(flags, 1), big(stream, 4), body)
+
+
+def _literal(name: str, value: Column | str) -> Column:
+    """A header field that the receiver puts into its table."""
+    return cat(big(0x40, 1), sized(raw(name), 1), sized(raw(value), 1))
+
+
+def _h2_rows(spark: SparkSession, sf_dir: str, path: Column, trailers: bool, proto: str) -> DataFrame:
+    stream = F.col("at") * 2 + 1
+    ask = cat(_h2(1, 4, stream, cat(big(0x83, 1), big(0x86, 1), _literal(":path", path), _literal(":authority", "svc.test"))), _h2(0, 1, stream, raw("hello")))
+    status = F.when(F.col("k") % 2 == 0, F.lit("200")).otherwise("404")
+    head = _h2(1, 4, stream, cat(_literal(":status", status), big(0xBE, 1)))
+    tail = cat(_h2(0, 0, stream, raw("body")), _h2(1, 5, stream, _literal("grpc-status", (F.col("k") % 3).cast("string")))) if trailers else _h2(0, 1, stream, raw("body"))
+    return _messages(_both(_events(spark, sf_dir), ask, cat(head, tail)), proto)
+
+
+@register("decode_http2", f"SELECT user_id AS conn, event_id AS trip, 'POST' AS method, '/' || event_type AS path, 'svc.test' AS authority, CASE {_K} % 2 WHEN 0 THEN '200' ELSE '404' END AS status FROM events")
+def decode_http2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _h2_rows(spark, sf_dir, F.concat(F.lit("/"), "event_type"), False, "http2")
+    pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], ["method", "path", "authority", "status"])
+    return pairs.select("conn", ((F.col("key") - 1) / 2).cast("bigint").alias("trip"), F.col("req_method").alias("method"), F.col("req_path").alias("path"), F.col("req_authority").alias("authority"), F.col("rsp_status").alias("status"))
+
+
+@register("decode_grpc", f"SELECT user_id AS conn, 'pkg.S.' || event_type AS service, CASE {_K} % 2 WHEN 0 THEN '200' ELSE '404' END AS status, CAST({_K} % 3 AS VARCHAR) AS grpc_status, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def decode_grpc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _h2_rows(spark, sf_dir, F.concat(F.lit("/pkg.S/"), "event_type"), True, "grpc")
+    pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], ["service", "status", "grpc_status"])
+    return pairs.groupBy("conn", F.col("req_service").alias("service"), F.col("rsp_status").alias("status"), F.col("rsp_grpc_status").alias("grpc_status")).agg(F.count("*").alias("n"))
