@@ -145,3 +145,16 @@ def test_header_compression():
     assert h.feed(frame(1, 8, b"\2\x82\x86" + b"\0\0")) is None
     assert h.feed(frame(9, 4, b"\x84")) == {":method": "GET", ":scheme": "http", ":path": "/"}
     assert h.feed(frame(1, 4, b"\xff\xff\xff")) is None
+
+
+def test_dns_data_formats():
+    from wirelake.operators.decoders import _dns_sections
+
+    head = b"\0\1\x81\x80\0\0\0\5\0\0\0\0"
+    name = b"\1a\0"
+    record = lambda kind, data: name + kind.to_bytes(2, "big") + b"\0\1\0\0\0\x05" + len(data).to_bytes(2, "big") + data
+    soa = name + b"\1b\0" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + (4).to_bytes(4, "big") + (5).to_bytes(4, "big")
+    body = record(16, b"\2hi\3you") + record(15, b"\0\x0a" + name) + record(33, b"\0\1\0\2\0\x50" + name) + record(6, soa) + record(28, b"\0" * 15 + b"\1")
+    got = _dns_sections(head + body)
+    assert [(r["type"], r["data"]) for r in got] == [("TXT", "hi/you"), ("MX", "a."), ("SRV", "a.:80/W:2/P:1"), ("SOA", "a./b./T:5/E:4"), ("AAAA", "::1")]
+    assert all(r["ttl"] == 5 for r in got)

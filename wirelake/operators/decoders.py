@@ -6,8 +6,10 @@ other role are null. The lookup tables hold the names that the public protocol s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ipaddress
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,83 @@ def dns(rows: DataFrame) -> DataFrame:
     ).drop("_q")
 
 
+DNS_RECORDS = "array<struct<section:string,name:string,type:string,ttl:bigint,data:string>>"
+
+
+def _dns_name(b: bytes, at: int) -> tuple[str, int]:
+    """A name and where it ends; a name may point back to an earlier one."""
+    out, end, hops = [], None, 0
+    while at < len(b):
+        n = b[at]
+        if n >= 192:
+            if at + 1 >= len(b) or hops > 32:
+                break
+            end = at + 2 if end is None else end
+            at, hops = (n & 63) << 8 | b[at + 1], hops + 1
+        elif n == 0:
+            return ".".join(out) + ".", at + 1 if end is None else end
+        else:
+            out.append(b[at + 1 : at + 1 + n].decode("utf-8", "replace"))
+            at += n + 1
+    raise ValueError("cut name")
+
+
+def _dns_data(b: bytes, kind: int, at: int, size: int) -> str | None:
+    number = lambda k, n: int.from_bytes(b[k : k + n], "big")
+    if kind in (1, 28):
+        return str(ipaddress.ip_address(b[at : at + size]))
+    if kind in (2, 5, 12):
+        return _dns_name(b, at)[0]
+    if kind == 15:
+        return _dns_name(b, at + 2)[0]
+    if kind == 33:
+        return f"{_dns_name(b, at + 6)[0]}:{number(at + 4, 2)}/W:{number(at + 2, 2)}/P:{number(at, 2)}"
+    if kind == 6:
+        host, k = _dns_name(b, at)
+        box, k = _dns_name(b, k)
+        return f"{host}/{box}/T:{number(k + 16, 4)}/E:{number(k + 12, 4)}"
+    if kind == 16:
+        parts, k = [], at
+        while k < at + size:
+            parts.append(b[k + 1 : k + 1 + b[k]].decode("utf-8", "replace"))
+            k += b[k] + 1
+        return "/".join(parts)
+    return None
+
+
+def _dns_sections(b: bytes) -> list[dict]:
+    """Records of the known types of the three sections after the question; what is cut is left out."""
+    out: list[dict] = []
+    try:
+        at = 12
+        for _ in range(int.from_bytes(b[4:6], "big")):
+            at = _dns_name(b, at)[1] + 4
+        for section, k in (("answer", 6), ("authority", 8), ("additional", 10)):
+            for _ in range(int.from_bytes(b[k : k + 2], "big")):
+                name, at = _dns_name(b, at)
+                kind, ttl, size = int.from_bytes(b[at : at + 2], "big"), int.from_bytes(b[at + 4 : at + 8], "big"), int.from_bytes(b[at + 8 : at + 10], "big")
+                at += 10
+                data = _dns_data(b, kind, at, size)
+                if data is not None:
+                    out.append({"section": section, "name": name, "type": DNS_TYPES[kind], "ttl": ttl if section == "answer" else None, "data": data})
+                at += size
+    except (ValueError, IndexError):
+        pass
+    return out
+
+
+def dns_records(rows: DataFrame) -> DataFrame:
+    """dns, and the records of its sections. Names point into the message, which expressions cannot follow, so batches of messages go through Python."""
+    kept = dns(rows)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), f"records {DNS_RECORDS}"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(records=[_dns_sections(bytes(m)) for m in b["message"]])
+
+    return kept.mapInPandas(run, schema)
+
+
 def redis(rows: DataFrame) -> DataFrame:
     """command (the first word of a request, in capitals), data_type of a response."""
     text = F.decode(F.substring(_m(), 1, 256), "UTF-8")
@@ -148,14 +227,23 @@ def mongodb(rows: DataFrame) -> DataFrame:
 
 
 def kafka(rows: DataFrame) -> DataFrame:
-    """key (correlation id), api, version, client_id of requests, error_code of responses."""
+    """key (correlation id), api, version, client_id of requests, topic or group_id where it is the request's first name, error_code of responses."""
     size = uint(_m(), 12, 2)
+    after = F.lit(14) + F.when(size == 0xFFFF, 0).otherwise(size)
+    # Where the first name stands after the client's id: requests to the group coordinator begin with the group; older fetches and offset lists have fixed fields, then the
+    # number of topics, before the first topic; producing has acks and a timeout (and, from version 3, a transaction) first.
+    api, version = uint(_m(), 4, 2), uint(_m(), 6, 2)
+    grouped = F.col("role").eqNullSafe("Request") & api.isin(8, 9, 11, 12, 13, 14) & (version < 6)
+    skip = F.when((api == 0) & (version < 3), 10).when((api == 0) & (version < 9), 12).when((api == 1) & (version < 3), 16).when((api == 1) & (version == 3), 20).when((api == 1) & version.between(4, 6), 21).when((api == 2) & (version < 2), 8).when((api == 2) & version.between(2, 5), 9).when((api == 3) & (version < 9), 4)
+    first = lambda at: F.regexp_replace(_text(at + 2, uint(_m(), at.cast("int"), 2)), r"[^A-Za-z0-9_.:/-]", "")
     return rows.withColumns(
         {
             "key": F.when(_is("Request"), uint(_m(), 8, 4)).otherwise(uint(_m(), 4, 4)),
             "api": F.when(_is("Request"), _name(uint(_m(), 4, 2), KAFKA_APIS)),
             "version": F.when(_is("Request"), uint(_m(), 6, 2)),
             "client_id": F.when(_is("Request") & (size != 0xFFFF), F.regexp_replace(_text(14, size), r"[^A-Za-z0-9_:/-]", "")),
+            "group_id": F.when(grouped, first(after)),
+            "topic": F.when(_is("Request") & skip.isNotNull(), first(after + skip)),
             "error_code": F.when(_is("Response"), uint(_m(), 8, 2)),
         }
     )

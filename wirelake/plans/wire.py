@@ -201,3 +201,23 @@ def decode_grpc(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _h2_rows(spark, sf_dir, F.concat(F.lit("/pkg.S/"), "event_type"), True, "grpc")
     pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], ["service", "status", "grpc_status"])
     return pairs.groupBy("conn", F.col("req_service").alias("service"), F.col("rsp_status").alias("status"), F.col("rsp_grpc_status").alias("grpc_status")).agg(F.count("*").alias("n"))
+
+
+@register("decode_dns_records", "SELECT user_id AS conn, event_id AS at, 'answer' AS section, 'a.test.' AS name, 'A' AS type, CAST(300 AS BIGINT) AS ttl, '10.0.' || CAST(user_id // 256 % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS data FROM events UNION ALL SELECT user_id, event_id, 'authority', 'test.', 'NS', NULL, 'ns.a.test.' FROM events")
+def decode_dns_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question = cat(sized(raw("a"), 1), sized(raw("test"), 1), big(0, 1), big(1, 2), big(1, 2))
+    answer = cat(big(0xC00C, 2), big(1, 2), big(1, 2), big(300, 4), sized(cat(big(10, 1), big(0, 1), big(F.floor(F.col("conn") / 256) % 256, 1), big(F.col("conn") % 256, 1)), 2))
+    authority = cat(big(0xC00E, 2), big(2, 2), big(1, 2), big(60, 4), sized(cat(sized(raw("ns"), 1), big(0xC00C, 2)), 2))
+    message = cat(big(F.col("at") % 65536, 2), big(0x8180, 2), big(1, 2), big(1, 2), big(1, 2), big(0, 2), question, answer, authority)
+    rows = _events(spark, sf_dir).select("conn", "at", message.alias("message")).withColumn("size", F.octet_length("message"))
+    return decoders.dns_records(rows).select("conn", "at", F.inline("records"))
+
+
+@register("decode_kafka_topics", f"SELECT user_id AS conn, event_id AS key, CASE {_K} % 2 WHEN 0 THEN 'topic-' || event_type END AS topic, CASE {_K} % 2 WHEN 1 THEN 'group-' || event_type END AS group_id FROM events")
+def decode_kafka_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda p: sized(raw(F.concat(F.lit(p), "event_type")), 2)
+    produce = cat(big(0, 2), big(1, 2), big(F.col("at"), 4), sized(raw("c"), 2), big(1, 2), big(1000, 4), big(1, 4), name("topic-"))
+    heartbeat = cat(big(12, 2), big(0, 2), big(F.col("at"), 4), big(0xFFFF, 2), name("group-"), big(3, 4))
+    ask = sized(F.when(F.col("k") % 2 == 0, produce).otherwise(heartbeat))
+    m = _messages(_events(spark, sf_dir).select("conn", "at", F.lit("Request").alias("role"), ask.alias("bytes")), "kafka")
+    return m.select("conn", "key", "topic", "group_id")
