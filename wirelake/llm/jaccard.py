@@ -27,13 +27,12 @@ from .textcodes import Lookup, mix, per_text_sets, shingles, slices, word_codes
 #: Tokens counted together by a task before it hands on what it has.
 COUNTED = 4_000_000
 #: Times that a token must be seen among those to be handed on.
-LEAST_SEEN = 3
+LEAST_SEEN = 2
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """``known`` bounds how many frequent tokens are broadcast: with S tokens in all sets, those counted at least S / known times, of which there can be no more than
-    that. ``percent`` is the similarity, ``share`` the part of all sets from which on a token is frequent."""
+    """``known`` bounds how many frequent tokens are broadcast: those of the highest classes of frequency that together are no more than that. ``percent`` is the similarity, ``share`` the part of all sets from which on a token is frequent."""
 
     width: int = 5
     percent: int = 80
@@ -59,31 +58,35 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set given as codes and frequencies in any order; for each the frequency of its token, or the smaller one of two."""
+def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set given as codes and frequencies in any order; for each the frequency of its token, and the place of the token in the set's order. Of two
+    tokens the smaller frequency and the first place count."""
     n = len(tokens)
     order = np.lexsort((tokens, frequency))
     first = n - need(n, p.percent) + 1
-    out, often_seen = [], []
+    out, often_seen, places = [], [], []
     if n > p.small:
         out.append(tokens[order[:first]])
         often_seen.append(frequency[order[:first]])
+        places.append(np.arange(first))
     if n * p.percent <= p.small * 100:
         own = order[: min(n, first + 1)]
         rare = frequency[own] < frequent
         out.append(tokens[own[rare]])
         often_seen.append(frequency[own[rare]])
-        often, seen = tokens[own[~rare]], frequency[own[~rare]]
+        places.append(np.flatnonzero(rare))
+        often, seen, place = tokens[own[~rare]], frequency[own[~rare]], np.flatnonzero(~rare)
         i, j = np.triu_indices(len(often), 1)
         a, b = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
         out.append(mix(a * np.uint64(0xD6E8FEB86659FD93) + b))
         often_seen.append(np.minimum(seen[i], seen[j]))
+        places.append(place[i])
     sigs, at = np.unique(np.concatenate(out), return_index=True)
-    return sigs, np.concatenate(often_seen)[at]
+    return sigs, np.concatenate(often_seen)[at], np.concatenate(places)[at]
 
 
 def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Rows of kind 0: a document's id, set code and size; of kind 1: a token and how often it was seen in the different sets of a portion, if 3 times or more."""
+    """Rows of kind 0: a document's id, set code and size; of kind 1: a token and how often it was seen in the different sets of a portion, if more than once."""
 
     def counted(held: list[np.ndarray]) -> pd.DataFrame:
         codes = np.sort(np.concatenate(held))
@@ -116,8 +119,22 @@ def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
     return docs.mapInPandas(run, "kind int, doc_id long, code long, n long")
 
 
+def _frequent_tokens(inventory: DataFrame, scratch: Scratch, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and their classes of frequency, which are whole logarithms: of the classes from the highest on as many as hold no more than ``known`` tokens together."""
+    counted = inventory.where("kind = 1").groupBy("code").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("c"))
+    counted = scratch.table(counted.where("c >= 1"), "counted")
+    least, total = 64, 0
+    for r in counted.groupBy("c").count().orderBy(F.desc("c")).collect():
+        total += r["count"]
+        if total > p.known:
+            break
+        least = r["c"]
+    got = counted.where(F.col("c") >= least).toPandas()
+    return got["code"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int8)
+
+
 def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: int, p: JoinParams) -> DataFrame:
-    """(sig, rid, n, seen): the signatures of the different sets of each portion; seen is the frequency class of the signature's token."""
+    """(sig, rid, n, pos, seen): the signatures of the different sets of each portion; pos is the token's place in the set's order, seen its frequency class."""
     held = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +143,7 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
         for b in batches:
             for _, sets in sets_of(b["text"].tolist(), p):
                 every = table.get(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                at, sigs, rids, sizes, classes = 0, [], [], [], []
+                at, sigs, rids, sizes, classes, places = 0, [], [], [], [], []
                 for s in sets:
                     frequency = every[at : at + len(s)]
                     at += len(s)
@@ -135,34 +152,35 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
                         continue
                     if len(seen) < 200_000:
                         seen.add(code)
-                    own, own_seen = signatures(s, frequency, frequent, p)
+                    own, own_seen, own_place = signatures(s, frequency, frequent, p)
+                    places.append(own_place.astype(np.int32))
                     sigs.append(own)
                     classes.append(own_seen)
                     rids.append(np.full(len(own), code, np.int64))
                     sizes.append(np.full(len(own), len(s), np.int32))
                 if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "seen": np.concatenate(classes)})
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "pos": np.concatenate(places), "seen": np.concatenate(classes)})
 
-    return docs.mapInPandas(run, "sig long, rid long, n int, seen byte")
+    return docs.mapInPandas(run, "sig long, rid long, n int, pos int, seen byte")
 
 
 def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, rid, n, lead, lead_n) of the signatures that several sets have; lead is the least of those.
+    """(sig, rid, n, pos, lead, lead_n, lead_pos) of the signatures that several sets have; lead is the least of those.
 
     Signatures that more than 1/2000 of all rows have, 2000 at the most, come from an aggregate and meet their rows by a broadcast. Only tokens seen often can be among them. The
     rest is shuffled once; no signature of it is large.
     """
     rows = index.count()
     least = max(64, rows // 2000)
-    # A class is the logarithm of what the portions counted, and a portion hands on no token that it saw less than 3 times.
+    # A class is the logarithm of what the portions counted, and a portion hands on no token that it saw once.
     often = index.where(F.col("seen") >= int(np.log2(max(2, least // 4))))
-    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min("rid").alias("lead"), F.min_by("n", "rid").alias("lead_n"), F.max("rid").alias("last")).where(F.col("members") >= least)
+    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min("rid").alias("lead"), F.min_by("n", "rid").alias("lead_n"), F.min_by("pos", "rid").alias("lead_pos"), F.max("rid").alias("last")).where(F.col("members") >= least)
     hot = scratch.table(hot, "hot")
     few = F.broadcast(hot.select("sig"))
     w = Window.partitionBy("sig")
-    cold = index.select("sig", "rid", "n").join(few, "sig", "left_anti").withColumns({"lead": F.min("rid").over(w), "last": F.max("rid").over(w), "lead_n": F.min_by("n", "rid").over(w)})
-    warm = index.select("sig", "rid", "n").join(F.broadcast(hot.drop("members")), "sig")
-    both = warm.select("sig", "rid", "n", "lead", "last", "lead_n").unionByName(cold)
+    cold = index.select("sig", "rid", "n", "pos").join(few, "sig", "left_anti").withColumns({"lead": F.min("rid").over(w), "last": F.max("rid").over(w), "lead_n": F.min_by("n", "rid").over(w), "lead_pos": F.min_by("pos", "rid").over(w)})
+    warm = index.select("sig", "rid", "n", "pos").join(F.broadcast(hot.drop("members")), "sig")
+    both = warm.select("sig", "rid", "n", "pos", "lead", "last", "lead_n", "lead_pos").unionByName(cold)
     return scratch.table(both.where("lead <> last").drop("last"), "shared")
 
 
@@ -208,6 +226,12 @@ def _close(na: Column, nb: Column, p: JoinParams) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * p.percent
 
 
+def _fits(na: Column, nb: Column, pa: Column, pb: Column, p: JoinParams) -> Column:
+    """Whether a link is possible where the first token in common has these places: what follows in each set is all that can be in common. A pair's first common token
+    passes this if it links, whatever its other buckets say."""
+    return F.least(na - pa, nb - pb) * (100 + p.percent) >= (na + nb) * p.percent
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, p: JoinParams) -> DataFrame:
     """Adds the size of the intersection to (a, b, na, nb)."""
     left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -245,19 +269,15 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     rows = scratch.table(inventory.where("kind = 0").select("doc_id", F.col("code").alias("rid"), "n"), "rows")
     nodes = rows.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
     nodes = scratch.table(nodes, "nodes")
-    total, sets_n = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2 * LEAST_SEEN, -(-total // p.known))
-    known = inventory.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    tokens, counts = known["code"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
-    # Whole powers of two are frequency enough for the order.
-    classes = np.log2(np.maximum(counts, 1)).astype(np.int8)
+    sets_n = nodes.count()
+    tokens, classes = _frequent_tokens(inventory, scratch, p)
     frequent = int(np.log2(max(2, sets_n * p.share)))
     index = scratch.table(_index(docs, tokens, classes, frequent, p), "index")
     scratch.drop("inventory")
     shared = _shared(index, scratch)
     scratch.drop("index")
     scratch.release()
-    pairs = shared.where((F.col("rid") != F.col("lead")) & _close(F.col("n"), F.col("lead_n"), p))
+    pairs = shared.where((F.col("rid") != F.col("lead")) & _close(F.col("n"), F.col("lead_n"), p) & _fits(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), p))
     pairs = scratch.table(pairs.select(F.col("rid").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb")).distinct(), "pairs")
     tested = _tested(docs, pairs, scratch, "tested", p)
     edges = tested.where(_linked(p)).select("a", "b")
@@ -274,14 +294,14 @@ def _undecided(shared: DataFrame, tested: DataFrame, roots: DataFrame, p: JoinPa
     """Pairs of a bucket that are not yet in one component and may be linked, (a, b, na, nb), each once."""
     # The distance to the bucket's least set; null where sizes ruled a link out and it was not worked out: such rows take part whatever the other's distance.
     distance = tested.select(F.col("a").alias("rid"), F.col("b").alias("lead"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    own = shared.where("rid <> lead").select("sig", "rid", "n", "lead").distinct()
+    own = shared.where("rid <> lead").select("sig", "rid", "n", "pos", "lead").distinct()
     own = own.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = own.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
     own = own.join(mixed, "sig", "left_semi").join(distance, ["rid", "lead"], "left").drop("lead")
-    left = own.select("sig", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    right = own.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("d").alias("db"))
+    left = own.select("sig", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
+    right = own.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
     ruled_out = F.coalesce(F.abs(F.col("da") - F.col("db")) > 1 - p.percent / 100 + 1e-9, F.lit(False))
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb"), p) & ~ruled_out)
+    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb"), p) & _fits(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), p) & ~ruled_out)
     return pairs.select("a", "b", "na", "nb").distinct()
 
 
