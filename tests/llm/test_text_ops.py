@@ -142,19 +142,19 @@ def test_jaccard_empty(spark, docs):
 
 
 def brute_ppm(docs, train):
-    trie = defaultdict(Counter)
-    encoded = [[0xFE] * 4 + list(lower(t)) + [0xFF] for _, t in docs]
+    trie, k = defaultdict(Counter), ppm.ORDER
+    encoded = [[0xFE] * k + list(lower(t)) + [0xFF] for _, t in docs]
     for e, use in zip(encoded, train):
         if use:
-            for i in range(4, len(e)):
-                for j in range(5):
+            for i in range(k, len(e)):
+                for j in range(k + 1):
                     trie[tuple(e[i - j : i])][e[i]] += 1
     out = []
     for e in encoded:
         total = 0.0
-        for i in range(4, len(e)):
+        for i in range(k, len(e)):
             gone = set()
-            for j in range(4, -1, -1):
+            for j in range(k, -1, -1):
                 left = {s: c for s, c in trie.get(tuple(e[i - j : i]), {}).items() if s not in gone}
                 if not left:
                     continue
@@ -170,9 +170,10 @@ def brute_ppm(docs, train):
     return out
 
 
-def test_lm_scores(spark, docs):
+@pytest.mark.parametrize("common", [250_000, 300, 0])
+def test_lm_scores(spark, docs, common):
     docs = [d for d in docs if d[0] != 1005]
-    rows = ppm.scores(frame(spark, docs)).collect()
+    rows = ppm.scores(frame(spark, docs), ppm.PpmParams(blocks=6, common=common)).collect()
     assert len(rows) == len(docs)
     train = [i is not None and crc(i, 7) != 2 for i, _ in docs]
     tokens = [[*words(t), None] for _, t in docs]

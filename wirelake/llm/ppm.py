@@ -6,7 +6,7 @@ As symbols seen after a context are also seen after each of its ends, what is ex
 function of its ``ORDER`` preceding bytes, and is worked out once for each such gram that any text holds, by joins on the table.
 
 Texts are dealt into blocks by a hash. A block asks for the grams and words that it holds, gets their values by a join, and is then scored with them: neither the trie
-nor the vocabulary, which grow with the corpus, is ever in one place.
+nor the vocabulary, which grow with the corpus, is ever in one place. What most blocks ask for, up to a bounded number, is broadcast and need not be sent to each.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .storage import Scratch, crc_mod
 from .textcodes import LOWER, PIECE, Lookup, word_codes
 
-ORDER = 4
+ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -32,10 +32,11 @@ END_TOKEN = np.uint64(0x5BD1E995)
 
 @dataclass(frozen=True)
 class PpmParams:
-    """``block_bytes`` of text make a block; there are ``blocks`` at least."""
+    """``block_bytes`` of text make a block; there are ``blocks`` at least. Of words and of grams ``common`` at the most are broadcast."""
 
     block_bytes: int = 8_000_000
     blocks: int = 48
+    common: int = 250_000
 
 
 def gram_pieces(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
@@ -51,7 +52,7 @@ def gram_pieces(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[in
         starts = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
         eight = np.ndarray(total, ">u8", low.tobytes(), strides=(1,))
-        grams = eight.astype(np.uint64) >> np.uint64(24)
+        grams = eight.astype(np.uint64) >> np.uint64(8 * (7 - ORDER))
         keep = np.ones(total, bool)
         keep[(starts[:, None] + (lengths[:, None] - ORDER) + np.arange(ORDER)).ravel()] = False
         return grams[keep], list(own), (lengths - ORDER).tolist()
@@ -129,7 +130,7 @@ def answer(texts: list[bytes | None], words: Lookup, grams: Lookup, tokens: int,
 
 
 def code_lengths(grams: DataFrame) -> DataFrame:
-    """(key, value): log10 of the symbol's probability for each row (key, n) of ``grams``; n is its training count, 0 for grams of held-out texts alone."""
+    """(key, value, asks): log10 of the symbol's probability for each row (key, n, asks) of ``grams``; n is its training count, 0 for grams of held-out texts alone."""
     trained = grams.where("n > 0")
     # seen[j]: counts of (context of j bytes, symbol); its tables get small with j, those of up to two bytes having at most 65536 rows.
     low = lambda c, j: c.bitwiseAND((1 << (8 * (j + 1))) - 1)
@@ -137,7 +138,7 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     for j in range(ORDER - 1, -1, -1):
         up = seen[j + 1]
         seen[j] = up.groupBy(low(F.col(f"g{j + 1}"), j).alias(f"g{j}")).agg(F.sum(f"n{j + 1}").alias(f"n{j}"))
-    out = grams.select("key")
+    out = grams.select("key", "asks")
     for j in range(ORDER, -1, -1):
         small = j <= 1
         context = lambda c: F.shiftright(c, 8)
@@ -162,7 +163,24 @@ def code_lengths(grams: DataFrame) -> DataFrame:
         done = done | n.isNotNull()
         before = (F.coalesce(F.col(f"X{j}"), F.lit(0)) if j else F.lit(0), kinds)
     value = value + F.when(done, 0.0).otherwise(-F.log10(F.lit(float(SYMBOLS)) - before[1]))
-    return out.select("key", value.alias("value"))
+    return out.select("key", value.alias("value"), "asks")
+
+
+def _most_asked(values: DataFrame, most: int) -> Column:
+    """Words and grams of the highest classes of asking blocks that together are no more than ``most`` of each kind."""
+    out: Column = F.lit(False)
+    counts = values.groupBy("kind", "asks").count().orderBy("kind", F.desc("asks")).collect()
+    for kind in (0, 1):
+        total, least = 0, None
+        for r in counts:
+            if r["kind"] == kind and r["asks"] > 0:
+                total += r["count"]
+                if total > most:
+                    break
+                least = r["asks"]
+        if least is not None:
+            out = out | ((F.col("kind") == kind) & (F.col("asks") >= least))
+    return out
 
 
 def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
@@ -184,20 +202,29 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
 
     asked = scratch.table(docs.groupBy("block").applyInPandas(requests, "kind int, key long, n long, block int"), "asked")
     scratch.release()
-    known = scratch.table(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "known")
+    known = scratch.table(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.floor(F.log2(F.count("*"))).cast("int").alias("asks")), "known")
     scratch.release()
     tokens, kinds = known.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    values = known.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"))
-    values = values.unionByName(code_lengths(known.where("kind = 1").select("key", "n")).select(F.lit(1).alias("kind"), "key", "value"))
-    answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
+    values = known.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"), "asks")
+    lengths = code_lengths(known.where("kind = 1").select("key", "n", "asks"))
+    values = scratch.table(values.unionByName(lengths.select(F.lit(1).alias("kind"), "key", "value", "asks")), "values")
+    scratch.drop("known")
+    scratch.release()
+    common = values.where(_most_asked(values, p.common))
+    own = [common.where(F.col("kind") == k).select("key", "value").toPandas() for k in (0, 1)]
+    held = spark.sparkContext.broadcast([(t["key"].to_numpy(np.int64).view(np.uint64), t["value"].to_numpy(np.float64)) for t in own])
+    few = F.broadcast(common.select("kind", "key"))
+    rare = asked.select("block", "kind", "key").join(few, ["kind", "key"], "left_anti")
+    answers = rare.join(values.select("kind", "key", "value"), ["kind", "key"])
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(texts):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         tables = []
         for kind in (0, 1):
-            own = got[got["kind"] == kind]
-            tables.append(Lookup(own["key"].to_numpy(np.int64).view(np.uint64), own["value"].to_numpy(np.float64)))
+            mine = got[got["kind"] == kind]
+            keys, numbers = held.value[kind]
+            tables.append(Lookup(np.concatenate((keys, mine["key"].to_numpy(np.int64).view(np.uint64))), np.concatenate((numbers, mine["value"].to_numpy(np.float64)))))
         out = answer(texts["text"].tolist(), *tables, tokens, kinds)
         return out.assign(doc_id=texts["doc_id"].astype("Int64").to_numpy(), held_out=texts["held_out"].to_numpy())
 
