@@ -37,7 +37,7 @@ class JoinParams:
     width: int = 5
     percent: int = 80
     small: int = 64
-    known: int = 2_000_000
+    known: int = 1_500_000
     share: float = 0.002
     filter_bits: int = 26
 
@@ -129,8 +129,8 @@ def _frequent_tokens(inventory: DataFrame, scratch: Scratch, p: JoinParams) -> t
         if total > p.known:
             break
         least = r["c"]
-    got = counted.where(F.col("c") >= least).toPandas()
-    return got["code"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy().astype(np.int8)
+    got = counted.where(F.col("c") >= least).toArrow()
+    return got["code"].to_numpy().view(np.uint64), got["c"].to_numpy().astype(np.int8)
 
 
 def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: int, p: JoinParams) -> DataFrame:

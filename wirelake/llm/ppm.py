@@ -211,8 +211,8 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
     scratch.drop("known")
     scratch.release()
     common = values.where(_most_asked(values, p.common))
-    own = [common.where(F.col("kind") == k).select("key", "value").toPandas() for k in (0, 1)]
-    held = spark.sparkContext.broadcast([(t["key"].to_numpy(np.int64).view(np.uint64), t["value"].to_numpy(np.float64)) for t in own])
+    own = [common.where(F.col("kind") == k).select("key", "value").toArrow() for k in (0, 1)]
+    held = spark.sparkContext.broadcast([(t["key"].to_numpy().view(np.uint64), t["value"].to_numpy()) for t in own])
     few = F.broadcast(common.select("kind", "key"))
     rare = asked.select("block", "kind", "key").join(few, ["kind", "key"], "left_anti")
     answers = rare.join(values.select("kind", "key", "value"), ["kind", "key"])

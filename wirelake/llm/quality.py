@@ -106,11 +106,11 @@ def fit(documents: DataFrame, labels: DataFrame, p: FtrlParams = FtrlParams()) -
         return pd.DataFrame({"bucket": at, "weight": w[at], "share": float(len(group))})
 
     parts = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(p.shards))).groupBy("shard").applyInPandas(learn, "bucket long, weight double, share double")
-    got = parts.groupBy("bucket").agg(F.sum(F.col("weight") * F.col("share")).alias("weight")).toPandas()
+    got = parts.groupBy("bucket").agg(F.sum(F.col("weight") * F.col("share")).alias("weight")).toArrow()
     out = np.zeros((1 << p.bits) + 1)
     total = chosen.count()
     if total:
-        out[got["bucket"].to_numpy(np.int64)] = got["weight"].to_numpy() / total
+        out[got["bucket"].to_numpy()] = got["weight"].to_numpy() / total
     return out
 
 
