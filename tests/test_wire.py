@@ -158,3 +158,28 @@ def test_dns_data_formats():
     got = _dns_sections(head + body)
     assert [(r["type"], r["data"]) for r in got] == [("TXT", "hi/you"), ("MX", "a."), ("SRV", "a.:80/W:2/P:1"), ("SOA", "a./b./T:5/E:4"), ("AAAA", "::1")]
     assert all(r["ttl"] == 5 for r in got)
+
+
+def test_rules_are_read_for_every_batch(spark):
+    from wirelake.operators.filters import Rule
+    from wirelake.streaming.operations import routed_batches
+
+    rules, seen = [Rule("http", (80,))], []
+    run = routed_batches(lambda: rules, lambda df, n: seen.append([r["proto"] for r in df.collect()]))
+    packets = spark.createDataFrame([("tcp", "a", "b", 5000, 80), ("udp", "a", "b", 53, 5000)], "l4 string, src_ip string, dst_ip string, src_port int, dst_port int")
+    run(packets, 0)
+    rules.append(Rule("dns", (53,)))
+    run(packets, 1)
+    assert seen[0] == ["http"] and sorted(seen[1]) == ["dns", "http"]
+
+
+def test_self_metrics():
+    from types import SimpleNamespace
+
+    from wirelake.streaming.operations import SelfMetrics
+
+    m = SelfMetrics()
+    m.onQueryStarted(None)
+    m.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=5)))
+    m.onQueryTerminated(SimpleNamespace(exception=None))
+    assert "rows_total 5.000000" in m.lines() and m.values["streams_failed_total"] == 0

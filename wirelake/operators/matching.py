@@ -113,3 +113,19 @@ def bounded(messages: DataFrame, connection: Sequence[str], key: str, order: Seq
     schema = ", ".join([*(f"{c} {types[c]}" for c in connection), f"req {types[carry]}", f"rsp {types[carry]}"])
     cols = list(dict.fromkeys([*connection, "role", key, *order, carry]))
     return messages.select(*cols).groupBy(*connection).applyInPandas(fold, schema)
+
+
+#: Methods that answer, besides those whose name ends in -Ok.
+AMQP_ANSWERS = ("Ack", "Nack", "Reject")
+
+
+def amqp(messages: DataFrame, connection: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Pairs AMQP method frames with channel, class and method.
+
+    Who asks follows from the method, not from who speaks first: servers deliver and clients acknowledge. Frames pair within channel and class; on channel 0, which carries
+    the connection itself, an answer must also bear the name of what it answers. Written as a key, that is ``fuzzy`` matching.
+    """
+    answers = F.col("method").endswith("-Ok") | F.col("method").isin(*AMQP_ANSWERS)
+    named = messages.withColumn("role", F.when(answers, RESPONSE).otherwise(REQUEST))
+    named = named.withColumn("asked", F.when(F.col("channel") == 0, F.regexp_replace("method", "-Ok$", "")).otherwise(""))
+    return fuzzy(named, [*connection, "channel", "class", "asked"], order, carry).drop("asked")

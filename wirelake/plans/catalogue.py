@@ -214,6 +214,22 @@ def match_fuzzy_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.bounded(views.event_messages(spark, sf_dir), ["conn"], "key", ["ts", "event_id"], 4, "event_id", either_first=True)
 
 
+_AMQP = f"""a AS (SELECT user_id AS conn, {_K} % 3 AS channel, 'Basic' AS class, ts, event_id, CASE event_type WHEN 'view' THEN 'Publish' WHEN 'click' THEN 'Get' WHEN 'purchase' THEN 'Get-Ok' WHEN 'error' THEN 'Ack' ELSE 'Publish-Ok' END AS method FROM events),
+r AS (SELECT *, CASE WHEN method LIKE '%-Ok' OR method IN ('Ack', 'Nack', 'Reject') THEN 'Response' ELSE 'Request' END AS role, CASE WHEN channel = 0 THEN regexp_replace(method, '-Ok$', '') ELSE '' END AS asked FROM a),
+j AS (SELECT *, row_number() OVER (PARTITION BY conn, channel, asked, role ORDER BY ts, event_id) AS j FROM r)"""
+
+
+@register(
+    "match_amqp",
+    f"WITH {_AMQP} SELECT a.conn, a.channel, a.class, a.event_id AS req_event_id, b.event_id AS rsp_event_id FROM j a JOIN j b ON a.conn = b.conn AND a.channel = b.channel AND a.asked = b.asked AND a.j = b.j AND a.role = 'Request' AND b.role = 'Response'",
+)
+def match_amqp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_type")
+    method = F.when(t == "view", "Publish").when(t == "click", "Get").when(t == "purchase", "Get-Ok").when(t == "error", "Ack").otherwise("Publish-Ok")
+    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("conn"), (views.number() % 3).alias("channel"), F.lit("Basic").alias("class"), method.alias("method"), "ts", "event_id")
+    return matching.amqp(e, ["conn"], ["ts", "event_id"], ["event_id"])
+
+
 # Transport
 
 
