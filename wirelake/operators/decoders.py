@@ -10,7 +10,7 @@ import ipaddress
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.pcap import uint
@@ -194,6 +194,29 @@ def mysql(rows: DataFrame) -> DataFrame:
     )
 
 
+def mysql_exchanges(rows: DataFrame, connection: str = "conn") -> DataFrame:
+    """As mysql, with all packets of an answer as one row, and returned_rows of result sets.
+
+    An answer begins with the packet numbered 1. In a result set the rows stand between the packet that ends the columns and the one that ends it all; both begin with
+    0xFE and are short. Numbers count on through an answer, so a running count of first packets tells answers apart, and no packet needs another's bytes.
+    """
+    w = Window.partitionBy(connection, "role").orderBy("first_ns", F.when(_is("Response"), uint(_m(), 3, 1)).otherwise(0))
+    df = mysql(rows)
+    df = df.withColumn("_answer", F.sum(F.when(uint(_m(), 3, 1) <= F.when(_is("Response"), 1).otherwise(0), 1).otherwise(0)).over(w))
+    end = (uint(_m(), 4, 1) == 0xFE) & (F.col("size") < 13)
+    answer = Window.partitionBy(connection, "role", "_answer").orderBy("first_ns", uint(_m(), 3, 1))
+    df = df.withColumns({"_end": end.cast("int"), "_ends": F.sum(end.cast("int")).over(answer)})
+    first = lambda c: F.min_by(c, F.struct("first_ns", uint(_m(), 3, 1))).alias(c)
+    out = df.groupBy(connection, "role", "_answer").agg(
+        *[first(c) for c in ("command", "statement", "packet_kind", "affected_rows", "error_code")],
+        F.count_if((F.col("_ends") == 1) & (F.col("_end") == 0)).alias("_rows"),
+        F.sum("size").alias("size"),
+        F.min("first_ns").alias("first_ns"),
+        F.max("last_ns").alias("last_ns"),
+    )
+    return out.withColumn("returned_rows", F.when(F.col("packet_kind") == "ResultSet", F.col("_rows"))).drop("_rows", "_answer")
+
+
 def postgresql(rows: DataFrame) -> DataFrame:
     """command and statement of requests; packet_kind, tag and affected_rows of responses."""
     kind = F.decode(F.substring(_m(), 1, 1), "ISO-8859-1")

@@ -221,3 +221,18 @@ def decode_kafka_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = sized(F.when(F.col("k") % 2 == 0, produce).otherwise(heartbeat))
     m = _messages(_events(spark, sf_dir).select("conn", "at", F.lit("Request").alias("role"), ask.alias("bytes")), "kafka")
     return m.select("conn", "key", "topic", "group_id")
+
+
+@register("decode_mysql_rows", f"SELECT user_id AS conn, 'select ' || CAST({_K} AS VARCHAR) AS statement, 'ResultSet' AS packet_kind, CAST({_K} % 4 AS BIGINT) AS returned_rows, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def decode_mysql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = lambda b, n: cat(little(F.octet_length(b), 3), big(n, 1), b)
+    ask = frame(cat(big(3, 1), raw(F.concat(F.lit("select "), F.col("k").cast("string")))), 0)
+    end = cat(big(0xFE, 1), little(0, 4))
+    rows = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= F.col("k") % 4, frame(cat(big(1, 1), raw("x")), i + 3)).otherwise(F.lit(b"")))
+    body = F.unhex(F.array_join(F.transform(rows, F.hex), ""))
+    tell = cat(frame(big(1, 1), 1), frame(raw("column"), 2), frame(end, 3), body, frame(end, F.col("k") % 4 + 4))
+    e = _events(spark, sf_dir)
+    m = decoders.mysql_exchanges(heard(sent(_both(e, ask, tell), "mysql")))
+    pairs = matching.single(m, ["conn"], ["first_ns"], ["statement", "packet_kind", "returned_rows"])
+    out = pairs.groupBy("conn", F.col("req_statement").alias("statement"), F.col("rsp_packet_kind").alias("packet_kind"), F.col("rsp_returned_rows").alias("returned_rows"))
+    return out.agg(F.count("*").alias("n"))
