@@ -5,9 +5,10 @@ first n - ceil(t n) + 1 of each, and two among one more. Sets of more than ``sma
 any rare tokens, take one token more and index the rare ones singly and the frequent ones in pairs. (Sets between small and small / t do both, as they may link with
 either kind.)
 
-Candidates are verified in two steps, so that a large group of near copies does not make all its pairs. First every set is compared with the least set of each of its
-buckets; then, within buckets where sets are still in different components, the pairs of different components, without those whose distances to the bucket's least set
-differ by more than 1 - t, which the triangle inequality rules out. Both steps are exact; no bucket is capped.
+Candidates are verified in two steps, so that a large group of near copies does not make all its pairs. First every set is compared with the leader of each of its
+buckets, the set with the fewest rare tokens: an original comes before its edited copies, and is nearer to all of them than they are to one another. Then, within
+buckets where sets are still in different components, the pairs of different components are compared, without those whose distances to the leader differ by more than
+1 - t, which the triangle inequality rules out. Both steps are exact; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def _frequent_tokens(inventory: DataFrame, scratch: Scratch, p: JoinParams) -> t
 
 
 def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: int, p: JoinParams) -> DataFrame:
-    """(sig, rid, n, pos, seen): the signatures of the different sets of each portion; pos is the token's place in the set's order, seen its frequency class."""
+    """(sig, rid, n, pos, seen, odd): the signatures of the different sets of each portion; pos is the token's place in the set's order, seen its frequency class, odd
+    the number of the set's tokens that are in no class."""
     held = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +145,7 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
         for b in batches:
             for _, sets in sets_of(b["text"].tolist(), p):
                 every = table.get(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                at, sigs, rids, sizes, classes, places = 0, [], [], [], [], []
+                at, sigs, rids, sizes, classes, places, odd = 0, [], [], [], [], [], []
                 for s in sets:
                     frequency = every[at : at + len(s)]
                     at += len(s)
@@ -158,14 +160,15 @@ def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: in
                     classes.append(own_seen)
                     rids.append(np.full(len(own), code, np.int64))
                     sizes.append(np.full(len(own), len(s), np.int32))
+                    odd.append(np.full(len(own), np.count_nonzero(frequency == 0), np.int32))
                 if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "pos": np.concatenate(places), "seen": np.concatenate(classes)})
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "pos": np.concatenate(places), "seen": np.concatenate(classes), "odd": np.concatenate(odd)})
 
-    return docs.mapInPandas(run, "sig long, rid long, n int, pos int, seen byte")
+    return docs.mapInPandas(run, "sig long, rid long, n int, pos int, seen byte, odd int")
 
 
 def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, rid, n, pos, lead, lead_n, lead_pos) of the signatures that several sets have; lead is the least of those.
+    """(sig, rid, n, pos, lead, lead_n, lead_pos) of the signatures that several sets have; lead is their leader.
 
     Signatures that more than 1/2000 of all rows have, 2000 at the most, come from an aggregate and meet their rows by a broadcast. Only tokens seen often can be among them. The
     rest is shuffled once; no signature of it is large.
@@ -174,14 +177,14 @@ def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
     least = max(64, rows // 2000)
     # A class is the logarithm of what the portions counted, and a portion hands on no token that it saw once.
     often = index.where(F.col("seen") >= int(np.log2(max(2, least // 4))))
-    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min("rid").alias("lead"), F.min_by("n", "rid").alias("lead_n"), F.min_by("pos", "rid").alias("lead_pos"), F.max("rid").alias("last")).where(F.col("members") >= least)
-    hot = scratch.table(hot, "hot")
-    few = F.broadcast(hot.select("sig"))
+    me = F.struct("odd", "rid", "n", "pos")
+    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min(me).alias("l"), F.min("rid").alias("x"), F.max("rid").alias("y")).where(F.col("members") >= least)
+    hot = scratch.table(hot.drop("members"), "hot")
     w = Window.partitionBy("sig")
-    cold = index.select("sig", "rid", "n", "pos").join(few, "sig", "left_anti").withColumns({"lead": F.min("rid").over(w), "last": F.max("rid").over(w), "lead_n": F.min_by("n", "rid").over(w), "lead_pos": F.min_by("pos", "rid").over(w)})
-    warm = index.select("sig", "rid", "n", "pos").join(F.broadcast(hot.drop("members")), "sig")
-    both = warm.select("sig", "rid", "n", "pos", "lead", "last", "lead_n", "lead_pos").unionByName(cold)
-    return scratch.table(both.where("lead <> last").drop("last"), "shared")
+    entries = index.select("sig", "rid", "n", "pos", "odd")
+    cold = entries.join(F.broadcast(hot.select("sig")), "sig", "left_anti").withColumns({"l": F.min(me).over(w), "x": F.min("rid").over(w), "y": F.max("rid").over(w)})
+    both = entries.join(F.broadcast(hot), "sig").unionByName(cold).where("x <> y")
+    return scratch.table(both.select("sig", "rid", "n", "pos", F.col("l.rid").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")), "shared")
 
 
 def _wanted(rids: DataFrame, bits: int) -> np.ndarray:
