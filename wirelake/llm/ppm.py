@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .storage import Scratch, crc_mod
 from .textcodes import LOWER, PIECE, Lookup, word_codes
 
-ORDER = 5
+ORDER = 4
 #: Bytes that no UTF-8 text holds: before a text, and after it.
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -35,7 +35,7 @@ class PpmParams:
     """``block_bytes`` of text make a block; there are ``blocks`` at least. Of words and of grams ``common`` at the most are broadcast."""
 
     block_bytes: int = 8_000_000
-    blocks: int = 48
+    blocks: int = 24
     common: int = 250_000
 
 
@@ -129,7 +129,7 @@ def answer(texts: list[bytes | None], words: Lookup, grams: Lookup, tokens: int,
     return pd.DataFrame({"n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
 
-def code_lengths(grams: DataFrame) -> DataFrame:
+def code_lengths(grams: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, value, asks): log10 of the symbol's probability for each row (key, n, asks) of ``grams``; n is its training count, 0 for grams of held-out texts alone."""
     trained = grams.where("n > 0")
     # seen[j]: counts of (context of j bytes, symbol); its tables get small with j, those of up to two bytes having at most 65536 rows.
@@ -137,7 +137,7 @@ def code_lengths(grams: DataFrame) -> DataFrame:
     seen = {ORDER: trained.select(F.col("key").alias(f"g{ORDER}"), F.col("n").alias(f"n{ORDER}"))}
     for j in range(ORDER - 1, -1, -1):
         up = seen[j + 1]
-        seen[j] = up.groupBy(low(F.col(f"g{j + 1}"), j).alias(f"g{j}")).agg(F.sum(f"n{j + 1}").alias(f"n{j}"))
+        seen[j] = scratch.table(up.groupBy(low(F.col(f"g{j + 1}"), j).alias(f"g{j}")).agg(F.sum(f"n{j + 1}").alias(f"n{j}")), f"seen{j}")
     out = grams.select("key", "asks")
     for j in range(ORDER, -1, -1):
         small = j <= 1
@@ -206,7 +206,7 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
     scratch.release()
     tokens, kinds = known.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values = known.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"), "asks")
-    lengths = code_lengths(known.where("kind = 1").select("key", "n", "asks"))
+    lengths = code_lengths(known.where("kind = 1").select("key", "n", "asks"), scratch)
     values = scratch.table(values.unionByName(lengths.select(F.lit(1).alias("kind"), "key", "value", "asks")), "values")
     scratch.drop("known")
     scratch.release()
