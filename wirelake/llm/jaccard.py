@@ -26,7 +26,7 @@ from .storage import Scratch, skew_join
 from .textcodes import Lookup, mix, per_text_sets, shingles, slices, word_codes
 
 #: Tokens counted together by a task before it hands on what it has.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Times that a token must be seen among those to be handed on.
 LEAST_SEEN = 2
 
@@ -40,13 +40,12 @@ class JoinParams:
     small: int = 64
     known: int = 1_500_000
     share: float = 0.002
-    filter_bits: int = 26
+    filter_bits: int = 24
 
 
 def sets_of(texts: list[str | None], p: JoinParams) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    data = [None if t is None else t.encode() for t in texts]
-    for part in slices(data):
-        yield part, per_text_sets(*shingles(*word_codes(data[part]), p.width))
+    for part in slices(texts):
+        yield part, per_text_sets(*shingles(*word_codes([None if t is None else t.encode() for t in texts[part]]), p.width))
 
 
 def set_code(tokens: np.ndarray) -> int:
@@ -203,14 +202,14 @@ def _sets(docs: DataFrame, rids: DataFrame, p: JoinParams) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_wanted(rids, bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = np.unpackbits(held.value, bitorder="little")
+        bitmap = held.value
         seen: set[int] = set()
         for b in batches:
             for _, sets in sets_of(b["text"].tolist(), p):
                 rows = []
                 for s in sets:
                     code = set_code(s)
-                    if len(s) and code not in seen and bitmap[_place(code, bits)]:
+                    if len(s) and code not in seen and bitmap[(at := _place(code, bits)) >> 3] >> (at & 7) & 1:
                         if len(seen) < 200_000:
                             seen.add(code)
                         rows.append((code, s.view(np.int64)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Pre-tokens that a worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 
 
 @dataclass(frozen=True)

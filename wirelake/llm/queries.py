@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_text, jaccard, langid, packing, ppm, quality, url_filter, warc
+from . import ann, decontam, html_text, jaccard, langid, oracle, packing, ppm, quality, url_filter, warc
 
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
@@ -87,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on trained models, tokenizers or approximate search."""
+    return {"op1_warc": oracle.WARC, "op5_jaccard_join": oracle.JACCARD, "op10_decontamination": oracle.DECONTAMINATION}
