@@ -1,5 +1,8 @@
 """The pipeline's stages and the registered corpus queries."""
 
+import duckdb
+import pytest
+
 from tests.conftest import SF
 
 
@@ -24,3 +27,17 @@ def test_queries_are_registered():
 
     names = list(e.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op5_jaccard_join", "op10_decontamination"])
+def test_same_rows_as_sql(spark, name):
+    from wirelake.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
