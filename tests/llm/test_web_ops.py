@@ -82,6 +82,15 @@ def test_html(spark):
     assert by[None]["text"] == HTML[0][1] and len(got) == len(rows)
 
 
+def test_html_threshold_holds_beside_and_within_articles():
+    prose = "A long sentence, with commas, and more of it, goes on here; another follows, and it is long, too. " * 6
+    body = "<body><article><h1>Title</h1>" + f"<p>{prose}</p>" * 3 + "<h2>Part</h2>" + f"<p>{prose}</p>" * 2 + "<div><h4>More</h4><ul><li><span>Buy</span></li><li>Ok</li><li>Go</li></ul></div></article></body>"
+    lines = html_text.main_text(body).split("\n")
+    assert lines == ["Title", *[prose.strip()] * 3, "Part", *[prose.strip()] * 2]
+    beside = f"<body><article><p>See this.</p></article><div><h1>Title</h1><p>{prose}</p><p>{prose}</p></div></body>"
+    assert html_text.main_text(beside).split("\n")[-3:] == ["Title", prose.strip(), prose.strip()]
+
+
 def rule(url):
     if url is None or "://" not in url:
         return "", "", None
