@@ -163,6 +163,19 @@ def test_ann(spark):
     assert hits / (20 * len(by)) >= 0.9
 
 
+def test_ann_reads_all_lists_within_the_ratio(spark):
+    x = np.random.default_rng(4).normal(size=(2400, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 100  # beside it all distances are nearly equal
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.neighbours(df, 20, ann.AnnParams(list_size=4)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(score, -np.inf)
+    assert found == {q: set(np.argsort(-score[q])[:20].tolist()) for q in range(0, 2400, 20)}
+
+
 def test_ann_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.neighbours(df).orderBy("rank").collect()]

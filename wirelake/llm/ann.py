@@ -2,7 +2,7 @@
 
 Vectors get one more component that brings all to the same length, so that the largest inner product is the smallest distance. Centroids are fitted on a bounded sample
 with a penalty on large lists; a graph over them, kept in memory, finds the lists of a vector. A vector near a border stands in up to ``copies`` lists; a query reads
-the lists whose distance is within a ratio of the nearest one's. Lists that outgrow their share, as with one very common vector, are dealt into sublists, and equal
+all lists whose distance is within a ratio of the nearest one's, however many. Lists that outgrow their share, as with one very common vector, are dealt into sublists, and equal
 query vectors are searched once. Lists of neighbouring centroids make a shard, which is what one task compares, so that a query gets one answer a shard and not one a
 list.
 """
@@ -22,7 +22,8 @@ from .storage import Scratch, skew_join
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample`` bounds the rows that centroids are fitted on and ``centroids`` their number; ``sublist`` and ``query_block`` bound what one task compares."""
+    """``sample`` bounds the rows that centroids are fitted on and ``centroids`` their number; ``sublist`` and ``query_block`` bound what one task compares; ``probes`` is
+    how many lists of a query the graph is asked for at first, not how many are read."""
 
     k: int = 20
     sample: int = 20_000
@@ -126,19 +127,46 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def lists_of(batches: Iterator[pd.DataFrame], graph: CentroidGraph, most: int, least: int, ratio: float, beam: int, lengthened: bool) -> Iterator[pd.DataFrame]:
-    """Rows of each batch once for each of their lists: the nearest ``least`` and those within the ratio, ``most`` at the most."""
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), 1000):
-            part = b.iloc[at : at + 1000]
-            x = _matrix(part["embedding"])
-            x = lengthen(x, graph.norm) if lengthened else np.hstack((x, np.zeros((len(x), 1))))
-            ids, dist = graph.search(x, max(beam, most))
-            near = (dist <= dist[:, :1] * ratio**2 + 1e-12) | (np.arange(ids.shape[1]) < least)
-            near &= (np.arange(ids.shape[1]) < most) & np.isfinite(dist)
-            row, col = np.nonzero(near)
-            lists = ids[row, col]
-            yield part.iloc[row].assign(list=lists.astype(np.int32), shard=graph.shards[lists])
+            yield b.iloc[at : at + 1000]
+
+
+def lists_of(batches: Iterator[pd.DataFrame], graph: CentroidGraph, p: AnnParams) -> Iterator[pd.DataFrame]:
+    """Rows of each batch once for each of their lists: the nearest and those within the ratio, ``copies`` at the most."""
+    for part in _parts(batches):
+        ids, dist = graph.search(lengthen(_matrix(part["embedding"]), graph.norm), max(p.beam, p.copies))
+        near = (dist <= dist[:, :1] * p.copy_ratio**2 + 1e-12) | (np.arange(ids.shape[1]) < 1)
+        near &= (np.arange(ids.shape[1]) < p.copies) & np.isfinite(dist)
+        row, col = np.nonzero(near)
+        lists = ids[row, col]
+        yield part.iloc[row].assign(list=lists.astype(np.int32), shard=graph.shards[lists])
+
+
+def probes_of(batches: Iterator[pd.DataFrame], graph: CentroidGraph, p: AnnParams) -> Iterator[pd.DataFrame]:
+    """Queries once for each shard with the lists to read there: the nearest ``least_probes`` and all within the ratio. The graph gives the nearest ``probes``; where even
+    the last of them is within, there may be more, and the query is compared with every centroid."""
+    k = len(graph.points)
+    for part in _parts(batches):
+        x = _matrix(part["embedding"])
+        x = np.hstack((x, np.zeros((len(x), 1))))
+        ids, dist = graph.search(x, max(p.beam, p.probes))
+        near = ((dist <= dist[:, :1] * p.probe_ratio**2 + 1e-12) | (np.arange(ids.shape[1]) < p.least_probes)) & np.isfinite(dist)
+        chosen = np.zeros((len(x), k), bool)
+        row, col = np.nonzero(near)
+        chosen[row, ids[row, col]] = True
+        more = np.flatnonzero(near.all(1)) if ids.shape[1] < k else np.zeros(0, np.int64)
+        if len(more):
+            y = x[more]
+            every = np.maximum((y * y).sum(1)[:, None] + (graph.points * graph.points).sum(1) - 2 * y @ graph.points.T, 0)
+            chosen[more] |= every <= every.min(1, keepdims=True) * p.probe_ratio**2 + 1e-12
+        row, lists = np.nonzero(chosen)
+        shards = graph.shards[lists]
+        order = np.lexsort((lists, shards, row))
+        row, lists, shards = row[order], lists[order].astype(np.int32), shards[order]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shards[1:] != shards[:-1])]) if len(row) else np.zeros(0, np.int64)
+        yield part.iloc[row[starts]].assign(lists=np.split(lists, starts[1:]) if len(starts) else [], shard=shards[starts])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -168,7 +196,7 @@ def build(vectors: DataFrame, scratch: Scratch, p: AnnParams = AnnParams()) -> I
     sample = _matrix(chosen["embedding"]) if len(chosen) else _matrix(rows.orderBy("vec_id").limit(1).toPandas()["embedding"])
     graph = fit_graph(sample, n, norm, p)
     held = rows.sparkSession.sparkContext.broadcast(graph)
-    assigned = rows.mapInPandas(lambda it: lists_of(it, held.value, p.copies, 1, p.copy_ratio, p.beam, True), "vec_id long, embedding array<float>, list int, shard int")
+    assigned = rows.mapInPandas(lambda it: lists_of(it, held.value, p), "vec_id long, embedding array<float>, list int, shard int")
     assigned = scratch.table(assigned, "assigned")
     sizes = {r["shard"]: r["count"] for r in assigned.groupBy("shard").count().collect()}  # one row for each centroid at most
     subs = {k: -(-v // p.sublist) for k, v in sizes.items()}
@@ -197,8 +225,8 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, p: AnnParams = An
     # Equal vectors share a key (two that differ would need equal 64-bit hashes).
     distinct = asked.groupBy("qkey").agg(F.min("embedding").alias("embedding"))
     held = queries.sparkSession.sparkContext.broadcast(index.graph)
-    probed = scratch.table(distinct.mapInPandas(lambda it: lists_of(it, held.value, p.probes, p.least_probes, p.probe_ratio, p.beam, False), "qkey long, embedding array<float>, list int, shard int"), "probed")
-    counts = {r["shard"]: r["n"] for r in probed.groupBy("shard").agg(F.countDistinct("qkey").alias("n")).collect()}
+    probed = scratch.table(distinct.mapInPandas(lambda it: probes_of(it, held.value, p), "qkey long, embedding array<float>, lists array<int>, shard int"), "probed")
+    counts = {r["shard"]: r["n"] for r in probed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     table = [(int(k), s, -(-counts.get(k, 0) // p.query_block)) for k, s in index.subs.items()]
     cells = F.broadcast(queries.sparkSession.createDataFrame([t for t in table if t[2]] or [(-1, 1, 1)], "shard int, subs int, blocks int"))
     left = probed.join(cells, "shard").withColumn("block", F.pmod(F.col("qkey"), F.col("blocks")).cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
@@ -208,7 +236,7 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, p: AnnParams = An
         none = pd.DataFrame({"qkey": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         out = [none]
         there = {k: own for k, own in v.groupby("list")}
-        for k, asked_here in q.groupby("list"):
+        for k, asked_here in q.explode("lists").groupby("lists"):
             if k not in there:
                 continue
             vectors, ids = _matrix(there[k]["embedding"]), there[k]["vec_id"].to_numpy(np.int64)
@@ -220,7 +248,7 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, p: AnnParams = An
         return every[every.groupby("qkey").cumcount() < need]
 
     keys = ["shard", "sub", "block"]
-    found = left.select(*keys, "list", "qkey", "embedding").groupBy(*keys).cogroup(right.select(*keys, "list", "vec_id", "embedding").groupBy(*keys)).applyInPandas(compare, "qkey long, vec_id long, score double")
+    found = left.select(*keys, "lists", "qkey", "embedding").groupBy(*keys).cogroup(right.select(*keys, "list", "vec_id", "embedding").groupBy(*keys)).applyInPandas(compare, "qkey long, vec_id long, score double")
     top = _ranked(found.groupBy("qkey", "vec_id").agg(F.max("score").alias("score")), "qkey").where(F.col("rank") <= need)
     rows = top.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))  # at most k + 1 of them
     rows = scratch.table(rows, "found")
