@@ -72,6 +72,28 @@ def test_foreign_bytes_are_dropped():
     assert [m[0] for m in b.feed("redis", b"+OK\r\n", 2)] == [b"+OK\r\n"]
 
 
+@pytest.mark.parametrize("size", [80_001, 150_000, 17 << 20])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_long_http_bodies(spark, size, chunked):
+    from wirelake.operators import decoders
+
+    body = "é".encode() * (size // 2) + b"z" * (size % 2)
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[k : k + 30_000] for k in range(0, size, 30_000))) + b"0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + (b"Transfer-Encoding: chunked" if chunked else b"Content-Length: %d" % size) + b"\r\n\r\n"
+    message, after = head + (chunks if chunked else body), MESSAGES["http"][1]
+    b = Buffer()
+    got = []
+    for at in range(0, len(message + after), 60_000):
+        got.extend(b.feed("http", (message + after)[at : at + 60_000], at))
+        assert len(b.data) + len(b.kept) < 250_000
+    assert [m[1] for m in got] == [len(message), len(after)] and got[1][0] == after
+    assert got[0][0] == message[: len(head) + 102_400]
+    if not chunked:
+        rows = spark.createDataFrame([(bytearray(got[0][0]), got[0][1])], "message binary, size bigint")
+        r = decoders.http(rows).select("status", "body_bytes", "body").first()
+        assert (r["status"], r["body_bytes"], r["body"]) == ("200", size, body[:102_400].decode())
+
+
 def test_remote_write(spark, tmp_path):
     folder = str(tmp_path)
 

@@ -160,8 +160,13 @@ def redis(rows: DataFrame) -> DataFrame:
 
 
 def http(rows: DataFrame) -> DataFrame:
-    """method, path, remote_host of requests; status of responses; headers, content_type and body (text types) of both."""
-    text = F.decode(_m(), "UTF-8")
+    """method, path, remote_host of requests; status of responses; headers, content_type and body (text types, as far as framing keeps it) of both.
+
+    Bytes that are no UTF-8 become U+FFFD; a character that the end of what is kept cuts is left out.
+    """
+    whole = F.octet_length(_m()) >= F.col("size")
+    raw = F.make_valid_utf8(_m().cast("string"))
+    text = F.when(whole, raw).otherwise(F.regexp_replace(raw, "\ufffd+$", ""))
     head = F.substring_index(text, "\r\n\r\n", 1)
     line = F.substring_index(head, "\r\n", 1)
     named = F.transform(F.filter(F.split(head, "\r\n"), lambda x, i: (i > 0) & x.contains(":")), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
@@ -174,7 +179,7 @@ def http(rows: DataFrame) -> DataFrame:
             "path": F.when(~line.startswith("HTTP/1."), F.regexp_extract(line, r"^\S+ ([^ ?]*)", 1)),
             "remote_host": F.when(~line.startswith("HTTP/1."), F.col("headers")["host"]),
             "status": F.when(line.startswith("HTTP/1."), F.regexp_extract(line, r"^HTTP/1\.\d (\d{3})", 1)),
-            "body_bytes": F.col("size") - F.octet_length(head) - 4,
+            "body_bytes": F.col("size") - F.octet_length(F.substring_index(_m().cast("string"), "\r\n\r\n", 1)) - 4,
             "body": F.when(F.col("headers")["content-type"].rlike("json|plain|html"), F.substring(text, F.length(head) + 5, 102400)),
         }
     )

@@ -1,8 +1,8 @@
 """Cutting byte streams into protocol messages.
 
 Segments are shuffled once by stream, sorted within partitions, and read on in order; a task holds the unfinished message of one stream at a time, so memory does not
-grow with a connection. Of each message its first ``kept`` bytes are handed on, with its whole size and the times of its first and last segment; what the bytes mean is
-worked out by column expressions in ``decoders``.
+grow with a connection. Of each message its first bytes are handed on (``KEPT``; of HTTP the head and ``BODY`` bytes after it), with its whole size and the times of its
+first and last segment; the others are counted and let go, so that an HTTP body may have any length. What the bytes mean is worked out by column expressions in ``decoders``.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from .hpack import Headers
 
-#: Longest message that a stream may hold open; a stream beyond it is read on from its next segment.
+#: Longest message, HTTP apart, and most bytes that may wait for a length; a stream beyond it is read on from its next segment.
 MOST = 16 << 20
 KEPT = 65_536
+#: Bytes after the head that are kept of an HTTP message.
+BODY = 102_400
 #: What a client says first in HTTP/2 and AMQP.
 PREFACE_HTTP2, PREFACE_AMQP = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n", b"AMQP"
 
@@ -69,7 +71,8 @@ def _redis(b: bytes) -> int | None:
     return at
 
 
-def _http(b: bytes) -> int | None:
+def _http(b: bytes) -> tuple[int, int | None] | int | None:
+    """Length of the head and of the body after it, None for one in chunks."""
     end = b.find(b"\r\n\r\n")
     if end < 0:
         return None if b"HTTP/1." in b[:4096] or len(b) < 4096 else -1
@@ -77,27 +80,15 @@ def _http(b: bytes) -> int | None:
     if b"HTTP/1." not in lines[0]:
         return -1
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-    at = end + 4
     if fields.get(b"transfer-encoding", b"").lower().endswith(b"chunked"):
-        while True:
-            stop = b.find(b"\r\n", at)
-            if stop < 0:
-                return None
-            try:
-                size = int(b[at:stop].split(b";")[0], 16)
-            except ValueError:
-                return -1
-            at = stop + 2 + size + 2
-            if at > len(b):
-                return None
-            if not size:
-                return at
+        return end + 4, None
     size = fields.get(b"content-length", b"0")
-    return at + int(size) if size.isdigit() else -1
+    return (end + 4, int(size)) if size.isdigit() else -1
 
 
-#: For each protocol the length of the message that a buffer begins with: None where more bytes are needed to say, -1 where the bytes are not of the protocol.
-LENGTH: dict[str, Callable[[bytes], int | None]] = {
+#: For each protocol the length of the message that a buffer begins with (HTTP: of head and body): None where more bytes are needed to say, -1 where the bytes are not of the
+#: protocol.
+LENGTH: dict[str, Callable[[bytes], tuple[int, int | None] | int | None]] = {
     "mysql": _sized(4, 0, 3, "little", 4),
     "postgresql": _postgresql,
     "mongodb": _sized(4, 0, 4, "little", 0),
@@ -113,29 +104,71 @@ LENGTH: dict[str, Callable[[bytes], int | None]] = {
 
 @dataclass
 class Buffer:
-    """The unfinished message of a stream."""
+    """The unfinished message of a stream: ``data`` not yet read, and of the open message what is kept (``most`` bytes of it; 0: none is open), its size so far and the bytes
+    ``left`` of it or, in chunks, of its head or chunk."""
 
     data: bytearray = field(default_factory=bytearray)
     first_ns: int = 0
+    kept: bytearray = field(default_factory=bytearray)
+    most: int = 0
+    size: int = 0
+    left: int = 0
+    chunked: bool = False
 
     def feed(self, proto: str, payload: bytes, ns: int) -> Iterator[tuple[bytes, int, int, int]]:
         """(kept bytes, size, first time, last time) of the messages that this segment completes."""
-        if not self.data:
+        if not self.data and not self.most:
             self.first_ns = ns
         self.data += payload
         while self.data:
-            n = LENGTH[proto](bytes(self.data))
-            if n is None and len(self.data) <= MOST:
-                return
-            if n is None or n <= 0 or n > MOST:
-                self.data.clear()
-                return
-            if n > len(self.data):
+            if not self.most and not self._open(proto) or not self._read():
                 return
-            yield bytes(self.data[: min(n, KEPT)]), n, self.first_ns, ns
-            del self.data[:n]
+            yield bytes(self.kept), self.size, self.first_ns, ns
+            self._reset()
             self.first_ns = ns
 
+    def _reset(self) -> None:
+        self.kept, self.most, self.size, self.left, self.chunked = bytearray(), 0, 0, 0, False
+
+    def _open(self, proto: str) -> bool:
+        n = LENGTH[proto](bytes(self.data))
+        if n is None and len(self.data) <= MOST:
+            return False
+        if isinstance(n, tuple):
+            head, body = n
+            self.most, self.left, self.chunked = head + BODY, head + (body or 0), body is None
+            return True
+        if n is None or n <= 0 or n > MOST:
+            self.data.clear()
+            return False
+        self.most, self.left = KEPT, n
+        return True
+
+    def _read(self) -> bool:
+        """Whether the open message is complete."""
+        while True:
+            n = min(self.left, len(self.data))
+            self.kept += self.data[: min(n, max(0, self.most - len(self.kept)))]
+            del self.data[:n]
+            self.size, self.left = self.size + n, self.left - n
+            if self.left:
+                return False
+            if not self.chunked:
+                return True
+            stop = self.data.find(b"\r\n")
+            if stop < 0 and len(self.data) <= MOST:
+                return False
+            digits = bytes(self.data[: max(stop, 0)]).split(b";")[0].strip()
+            try:
+                size = int(digits, 16) if digits.isalnum() else -1
+            except ValueError:
+                size = -1
+            if size < 0:
+                self.data.clear()
+                self._reset()
+                return False
+            self.left, self.chunked = stop + 2 + size + 2, size > 0
+
 
 def messages(segments: DataFrame, stream: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(stream, proto, message, size, first_ns, last_ns, fields) from segments with proto, payload (what the cursor delivers) and capture_ns; ``order`` is total within a stream.

@@ -74,12 +74,26 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id AS conn, '/en/' || CAST(page_id AS VARCHAR) AS path, 'h' || CAST(page_id % 7 AS VARCHAR) || '.test' AS remote_host, 'GET' AS method, '200' AS status, CAST(octet_length(encode(html)) AS BIGINT) AS body_bytes, substr(html, 1, 200) AS body FROM pages""",
 )
 def decode_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _http_pairs(spark, sf_dir)
+    return pairs.select("conn", F.col("req_path").alias("path"), F.col("req_remote_host").alias("remote_host"), F.col("req_method").alias("method"), F.col("rsp_status").alias("status"), F.col("rsp_body_bytes").alias("body_bytes"), F.substring("rsp_body", 1, 200).alias("body"))
+
+
+def _http_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("conn"), F.col("page_id").alias("at"), "html")
     ask = raw(F.concat(F.lit("GET /en/"), F.col("conn").cast("string"), F.lit("?a=1 HTTP/1.1\r\nHost: h"), (F.col("conn") % 7).cast("string"), F.lit(".test\r\nAccept: */*\r\n\r\n")))
     tell = raw(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"), "html"))
     m = _messages(_both(p.withColumn("html", F.coalesce("html", F.lit(""))), ask, tell), "http")
-    pairs = matching.single(m, ["conn"], ["first_ns"], ["path", "remote_host", "method", "status", "body_bytes", "body"])
-    return pairs.select("conn", F.col("req_path").alias("path"), F.col("req_remote_host").alias("remote_host"), F.col("req_method").alias("method"), F.col("rsp_status").alias("status"), F.col("rsp_body_bytes").alias("body_bytes"), F.substring("rsp_body", 1, 200).alias("body"))
+    return matching.single(m, ["conn"], ["first_ns"], ["path", "remote_host", "method", "status", "body_bytes", "body"])
+
+
+@register(
+    "decode_http_body",
+    """SELECT page_id AS conn, CAST(octet_length(encode(html)) AS BIGINT) AS body_bytes, CASE WHEN octet_length(encode(html)) <= 102400 THEN html END AS body FROM pages""",
+)
+def decode_http_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies as captured, whole; null for those longer than what framing keeps."""
+    pairs = _http_pairs(spark, sf_dir)
+    return pairs.select("conn", F.col("rsp_body_bytes").alias("body_bytes"), F.when(F.octet_length("rsp_body") == F.col("rsp_body_bytes"), F.col("rsp_body")).alias("body"))
 
 
 @register("decode_redis", "SELECT user_id AS conn, upper(event_type) AS command, 'Integer' AS data_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
