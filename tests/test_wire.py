@@ -94,6 +94,32 @@ def test_long_http_bodies(spark, size, chunked):
         assert (r["status"], r["body_bytes"], r["body"]) == ("200", size, body[:102_400].decode())
 
 
+def test_mysql_counts_of_all_widths(spark):
+    from wirelake.operators import decoders
+
+    counts = {250: b"\xfa", 251: b"\xfc\xfb\0", 65_535: b"\xfc\xff\xff", 70_000: b"\xfd" + (70_000).to_bytes(3, "little"), 1 << 40: b"\xfe" + (1 << 40).to_bytes(8, "little")}
+    rows = [(n, bytearray(b"\x07\0\0\1\0" + c + b"\0\2\0\0\0"), 20, "Response") for n, c in counts.items()]
+    got = decoders.mysql(spark.createDataFrame(rows, "n long, message binary, size long, role string")).select("n", "affected_rows").collect()
+    assert len(got) == 5 and all(n == found for n, found in got)
+
+
+def test_mongodb_reads_the_whole_body_section(spark):
+    from wirelake.operators import decoders
+
+    text = lambda name, v: b"\x02" + name + b"\0" + (len(v) + 1).to_bytes(4, "little") + v + b"\0"
+    number = lambda name, v: b"\x10" + name + b"\0" + v.to_bytes(4, "little")
+
+    def message(answers, doc):
+        doc = (len(doc) + 5).to_bytes(4, "little") + doc + b"\0"
+        return bytearray(b"\0" * 4 + (7).to_bytes(4, "little") + answers.to_bytes(4, "little") + (2013).to_bytes(4, "little") + b"\0" * 5 + doc)
+
+    one = b"\x01ok\0" + struct.pack("<d", 1.0)
+    docs = [(0, text(b"insert", b"things") + text(b"c", b"x" * 30_000) + text(b"$db", b"ninechars")), (7, number(b"n", 5) + one), (7, b"\x01ok\0" + struct.pack("<d", 0.0) + number(b"code", 11000))]
+    rows = [(k, message(*d), 0) for k, d in enumerate(docs)]
+    got = decoders.mongodb(spark.createDataFrame(rows, "k int, message binary, size long")).orderBy("k").select("command", "command_value", "source", "ok", "code").collect()
+    assert [tuple(r) for r in got] == [("insert", "things", "ninechars", None, None), (None, None, None, 1, None), (None, None, None, 0, 11000)]
+
+
 def test_remote_write(spark, tmp_path):
     folder = str(tmp_path)
 

@@ -185,15 +185,22 @@ def http(rows: DataFrame) -> DataFrame:
     )
 
 
+def _counted(at: int) -> Column:
+    """MySQL's integer whose first byte says how many follow."""
+    first = uint(_m(), at, 1)
+    wide = F.shiftleft(uint(_m(), at + 5, 4, little=True), 32).bitwiseOR(uint(_m(), at + 1, 4, little=True))
+    return F.when(first < 251, first).when(first == 251, 0).when(first == 252, uint(_m(), at + 1, 2, little=True)).when(first == 253, uint(_m(), at + 1, 3, little=True)).when(first == 254, wide)
+
+
 def mysql(rows: DataFrame) -> DataFrame:
-    """command and statement of requests; packet_kind, affected_rows (one-byte counts) or error_code of responses."""
+    """command and statement of requests; packet_kind, affected_rows or error_code of responses."""
     code = uint(_m(), 4, 1)
     return rows.withColumns(
         {
             "command": F.when(_is("Request"), _name(code, MYSQL_COMMANDS)),
             "statement": F.when(_is("Request") & code.isin(2, 3, 22), F.translate(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\n", " ")),
             "packet_kind": F.when(_is("Response"), F.when(code == 0, "OK").when(code == 255, "ERR").when(code == 254, "EOF").otherwise("ResultSet")),
-            "affected_rows": F.when(_is("Response") & (code == 0) & (uint(_m(), 5, 1) < 251), uint(_m(), 5, 1)),
+            "affected_rows": F.when(_is("Response") & (code == 0), _counted(5)),
             "error_code": F.when(_is("Response") & (code == 255), uint(_m(), 5, 2, little=True)),
         }
     )
@@ -240,16 +247,25 @@ def postgresql(rows: DataFrame) -> DataFrame:
 
 
 def mongodb(rows: DataFrame) -> DataFrame:
-    """key (request id, or the id answered), opcode, database and command of messages, ok of answers."""
+    """key (request id, or the id answered), opcode; command, command_value (where it is a text) and source of messages; ok and code of answers.
+
+    All of the body section that framing keeps is searched.
+    """
     asked, answers = uint(_m(), 4, 4, little=True), uint(_m(), 8, 4, little=True)
-    body = F.decode(F.substring(_m(), 22, 512), "ISO-8859-1")
+    body = F.decode(F.substring(_m(), F.lit(22), F.least(uint(_m(), 21, 4, little=True), F.lit(1 << 24)).cast("int")), "ISO-8859-1")
+    found = lambda pattern: F.nullif(F.regexp_extract(body, "(?s)" + pattern, 1), F.lit(""))
+    number = lambda name: uint(F.encode(found(rf"\x10{name}\x00(.{{4}})"), "ISO-8859-1"), 0, 4, little=True)
+    double = lambda name: F.hex(F.encode(found(rf"\x01{name}\x00(.{{8}})"), "ISO-8859-1"))
     return rows.withColumns(
         {
             "role": F.when(answers == 0, "Request").otherwise("Response"),
             "key": F.when(answers == 0, asked).otherwise(answers),
             "opcode": _name(uint(_m(), 12, 4, little=True), MONGO_OPCODES),
-            "command": F.when(answers == 0, F.nullif(F.regexp_extract(body, r"^.{4}.([A-Za-z]+)\x00", 1), F.lit(""))),
-            "source": F.when(answers == 0, F.nullif(F.regexp_extract(body, r"\x02\$db\x00.{4}([^\x00]+)\x00", 1), F.lit(""))),
+            "command": F.when(answers == 0, found(r"^.{4}.([A-Za-z]+)\x00")),
+            "command_value": F.when(answers == 0, found(r"^.{4}\x02[A-Za-z]+\x00.{4}([^\x00]+)\x00")),
+            "source": F.when(answers == 0, found(r"\x02\$db\x00.{4}([^\x00]+)\x00")),
+            "ok": F.when(answers != 0, F.coalesce(F.when(double("ok") == "000000000000F03F", 1).when(double("ok") == "0" * 16, 0), number("ok"))),
+            "code": F.when(answers != 0, number("code")),
         }
     )
 

@@ -110,7 +110,11 @@ def decode_redis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("decode_mysql", f"SELECT user_id AS conn, 'QUERY' AS command, 'select ' || CAST({_K} AS VARCHAR) || ' from t' AS statement, 'OK' AS packet_kind, CAST(sum({_K}) AS BIGINT) AS affected_rows FROM events GROUP BY user_id, {_K}")
 def decode_mysql(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = cat(big(3, 1), raw(F.concat(F.lit("select "), F.col("k").cast("string"), F.lit("\nfrom t"))))
-    ok = cat(big(0, 1), big(F.col("k"), 1), big(0, 1), little(2, 2), little(0, 2))
+    # A count in each of the widths that the protocol has for one.
+    wide = lambda mark, size: cat(big(mark, 1), little(F.col("k"), size))
+    turn = F.col("at") % 4
+    count = F.when(turn == 0, big(F.col("k"), 1)).when(turn == 1, wide(252, 2)).when(turn == 2, wide(253, 3)).otherwise(wide(254, 8))
+    ok = cat(big(0, 1), count, big(0, 1), little(2, 2), little(0, 2))
     frame = lambda b, n: cat(little(F.octet_length(b), 3), big(n, 1), b)
     m = _messages(_both(_events(spark, sf_dir), frame(body, 0), frame(ok, 1)), "mysql")
     pairs = matching.single(m, ["conn"], ["first_ns"], ["command", "statement", "packet_kind", "affected_rows"])
@@ -140,7 +144,7 @@ def decode_kafka(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("decode_mongodb", "SELECT user_id AS conn, event_id AS key, 'MSG' AS opcode, 'find' AS command, 'db' || CAST(user_id AS VARCHAR) AS source FROM events")
 def decode_mongodb(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda v: cat(little(F.octet_length(v) + 1, 4), v, big(0, 1))
-    doc = cat(raw(b"\x02find\x00"), text(raw("things")), raw(b"\x02$db\x00"), text(raw(F.concat(F.lit("db"), F.col("conn").cast("string")))), big(0, 1))
+    doc = cat(raw(b"\x02find\x00"), text(raw("things")), raw(b"\x02comment\x00"), text(raw("long " * 200)), raw(b"\x02$db\x00"), text(raw(F.concat(F.lit("db"), F.col("conn").cast("string")))), big(0, 1))
     frame = lambda asked, answered, body: cat(little(F.octet_length(body) + 16, 4), little(asked, 4), little(answered, 4), little(2013, 4), body)
     ask = frame(F.col("at") + 1, 0, cat(little(0, 4), big(0, 1), little(F.octet_length(doc) + 4, 4), doc))
     tell = frame(F.col("at") + 2, F.col("at") + 1, cat(little(0, 4), big(0, 1), little(5, 4), big(0, 1)))
