@@ -90,3 +90,25 @@ def test_overflow_split_is_exact(spark, seqs):
     over = {r["conn"] for r in marked.where("overflow").select("conn").distinct().collect()}
     assert over and over != set(seqs)
     assert all(got.get(c, []) == listed(s, 3) for c, s in seqs.items() if c not in over)
+
+
+def test_fuzzy_overflow_split_is_exact(spark, seqs):
+    marked = matching.mark_fuzzy_overflow(frame(spark, seqs), ["conn"], "key", ["seq"], 3)
+    got = found(matching.fuzzy(marked.where("NOT overflow"), ["conn", "key"], ["seq"], ["seq"]), "req_seq", "rsp_seq")
+    over = {r["conn"] for r in marked.where("overflow").select("conn").distinct().collect()}
+    assert over and over != set(seqs)
+    assert all(got.get(c, []) == listed(s, 3, True) for c, s in seqs.items() if c not in over)
+
+
+def test_bounded_carries_its_list_over_batches(spark):
+    """A connection comes to the fold in pieces, never as one group."""
+    rng = random.Random(8)
+    s = [(rng.choice("RS"), rng.randrange(3)) for _ in range(500)]
+    assert listed(s, 3, True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = matching.bounded(frame(spark, {1: s, 2: s}), ["conn"], "key", ["seq"], 3, "seq", True)
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+        assert found(df, "req", "rsp") == {1: listed(s, 3, True), 2: listed(s, 3, True)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -6,7 +6,7 @@ functions give it; ``bounded`` runs the rest, with eviction, and is fed only wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -84,35 +84,53 @@ def mark_overflow(messages: DataFrame, connection: Sequence[str], key: str, orde
     return df.withColumn("overflow", F.max("_open").over(Window.partitionBy(*connection)) > size).drop("_sum", "_step", "_open")
 
 
+def mark_fuzzy_overflow(messages: DataFrame, connection: Sequence[str], key: str, order: Sequence[str], size: int) -> DataFrame:
+    """Adds overflow: whether a message ever came to a full list where either side may wait. Where it is false, ``fuzzy`` gives what a list of that size gives.
+
+    Of a key the messages that wait are the difference of both sides so far; a message adds to the list or takes from it by how that difference changes.
+    """
+    step = F.when(F.col("role") == REQUEST, 1).otherwise(-1)
+    df = messages.withColumn("_sum", F.sum(step).over(Window.partitionBy(*connection, key).orderBy(*order)))
+    df = df.withColumn("_step", F.abs("_sum") - F.abs(F.col("_sum") - step))
+    df = df.withColumn("_open", F.sum("_step").over(Window.partitionBy(*connection).orderBy(*order)) - F.col("_step"))
+    # Whatever comes to a full list drops its oldest, a mate or not.
+    return df.withColumn("overflow", F.max("_open").over(Window.partitionBy(*connection)) >= size).drop("_sum", "_step", "_open")
+
+
 def bounded(messages: DataFrame, connection: Sequence[str], key: str, order: Sequence[str], size: int, carry: str, either_first: bool = False) -> DataFrame:
     """(connection, req, rsp): as ``by_key`` or ``fuzzy`` with at most ``size`` waiting; the oldest goes when another comes and the list is full.
 
-    The work of a connection is a fold over its messages with a list of bounded length; only the columns it needs are shuffled.
+    The work of a connection is a fold over its messages with a list of bounded length; only the columns it needs are shuffled. Sorted partitions are read on in order, so that
+    memory does not grow with a connection.
     """
+    cols = list(dict.fromkeys([*connection, "role", key, *order, carry]))
+    n = len(connection)
+    places = [cols.index(c) for c in ("role", key, carry)]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
         waiting: list[tuple[str, object, object]] = []
-        pairs = []
-        for role, k, value in zip(group["role"], group[key], group[carry]):
-            if (either_first or role == REQUEST) and len(waiting) >= size:
-                waiting.pop(0)
-            other = RESPONSE if role == REQUEST else REQUEST
-            found = next((i for i, x in enumerate(waiting) if x[0] == other and x[1] == k), None) if either_first or role == RESPONSE else None
-            if found is not None:
-                mate = waiting.pop(found)[2]
-                pairs.append((mate, value) if role == RESPONSE else (value, mate))
-            elif either_first or role == REQUEST:
-                waiting.append((role, k, value))
-        out = pd.DataFrame(pairs, columns=["req", "rsp"])
-        for c in connection:
-            out[c] = group[c].iloc[0]
-        return out
+        for b in batches:
+            pairs = []
+            values = [[None if x is pd.NA or x is pd.NaT or x != x else x for x in b[c]] for c in b.columns]
+            for row in zip(*values):
+                if row[:n] != now:
+                    now, waiting = row[:n], []
+                role, k, value = (row[i] for i in places)
+                if (either_first or role == REQUEST) and len(waiting) >= size:
+                    waiting.pop(0)
+                other = RESPONSE if role == REQUEST else REQUEST
+                found = next((i for i, x in enumerate(waiting) if x[0] == other and x[1] == k), None) if either_first or role == RESPONSE else None
+                if found is not None:
+                    mate = waiting.pop(found)[2]
+                    pairs.append((*now, *((mate, value) if role == RESPONSE else (value, mate))))
+                elif either_first or role == REQUEST:
+                    waiting.append((role, k, value))
+            yield pd.DataFrame(pairs, columns=[*connection, "req", "rsp"])
 
     types = dict(messages.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in connection), f"req {types[carry]}", f"rsp {types[carry]}"])
-    cols = list(dict.fromkeys([*connection, "role", key, *order, carry]))
-    return messages.select(*cols).groupBy(*connection).applyInPandas(fold, schema)
+    return messages.select(*cols).repartition(*connection).sortWithinPartitions(*connection, *order).mapInPandas(run, schema)
 
 
 #: Methods that answer, besides those whose name ends in -Ok.

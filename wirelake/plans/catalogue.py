@@ -211,7 +211,10 @@ def match_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("match_fuzzy_evict")
 def match_fuzzy_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.bounded(views.event_messages(spark, sf_dir), ["conn"], "key", ["ts", "event_id"], 4, "event_id", either_first=True)
+    """As match_evict, where either side may come first."""
+    marked = matching.mark_fuzzy_overflow(views.event_messages(spark, sf_dir), ["conn"], "key", ["ts", "event_id"], 4)
+    safe = matching.fuzzy(marked.where("NOT overflow"), ["conn", "key"], ["ts", "event_id"], ["event_id"]).select("conn", F.col("req_event_id").alias("req"), F.col("rsp_event_id").alias("rsp"))
+    return safe.unionByName(matching.bounded(marked.where("overflow"), ["conn"], "key", ["ts", "event_id"], 4, "event_id", either_first=True))
 
 
 _AMQP = f"""a AS (SELECT user_id AS conn, {_K} % 3 AS channel, 'Basic' AS class, ts, event_id, CASE event_type WHEN 'view' THEN 'Publish' WHEN 'click' THEN 'Get' WHEN 'purchase' THEN 'Get-Ok' WHEN 'error' THEN 'Ack' ELSE 'Publish-Ok' END AS method FROM events),
