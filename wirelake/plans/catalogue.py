@@ -499,6 +499,15 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.command_word(t).alias("command"), text.plain_name(F.substring(t, 1, 64)).alias("plain"), text.one_line(t).alias("statement"), text.service_of(path).alias("service"))
 
 
+@register(
+    "plain_names",
+    """SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z0-9_:/-]', '', 'g') AS plain FROM conversations""",
+)
+def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plain_name of whole texts, whatever their length."""
+    return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.plain_name(F.col("text")).alias("plain"))
+
+
 @register(
     "pipeline_fan_out",
     f"WITH {_TRIPS} SELECT 'metrics' AS pipeline, CAST(count(*) AS BIGINT) AS records FROM trips UNION ALL SELECT 'traces', CAST(count(*) AS BIGINT) FROM trips WHERE secs > 0",
