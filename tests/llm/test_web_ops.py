@@ -138,6 +138,14 @@ def vectors(n=600, d=16):
     return (centers[rng.integers(0, 6, n)] + 0.5 * rng.normal(size=(n, d))).astype(np.float32)
 
 
+def test_url_rare_label_is_learned(spark):
+    """Three blocked urls among 3000, and a sample of 200."""
+    rows = [(f"http://a{k}.good.org/x{k}", f"a{k}.good.org", "/x", 0) for k in range(3000)] + [(f"http://b{k}.bad.biz/y{k}", f"b{k}.bad.biz", "/y", 1) for k in range(3)]
+    df = spark.createDataFrame(rows, "url string, host string, path string, label int")
+    model = url_filter.fit(df, url_filter.UrlParams(sample=200))
+    assert model.trees is not None and model.suffixes == {"org": 1 / 3002, "biz": 4 / 5}
+
+
 def test_ann(spark):
     x = vectors()
     x[100:300] = x[100]  # one very common vector

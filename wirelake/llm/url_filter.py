@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class UrlParams:
-    """``sample`` bounds the labelled urls that the trees learn from (about so many, by a hash of the url)."""
+    """``sample`` bounds the labelled urls that the trees learn from (about so many, by a hash of the url, evenly for each label)."""
 
     sample: int = 20_000
     rounds: int = 12
@@ -88,10 +88,9 @@ def suffix_of(host: Column) -> Column:
 
 
 def suffix_statistics(labelled: DataFrame) -> dict[str, float]:
-    """Share of blocked urls of each host suffix with at least 10 labelled ones, smoothed; at most the 1000 most frequent suffixes."""
+    """Share of blocked urls of each host suffix, smoothed. A labelled host ends with the host of a rule, so there are no more suffixes than rules."""
     s = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    rows = s.where("n >= 10").orderBy(F.desc("n"), "suffix").limit(1000).collect()
-    return {r["suffix"]: (r["bad"] + 1.0) / (r["n"] + 2.0) for r in rows}
+    return {r["suffix"]: (r["bad"] + 1.0) / (r["n"] + 2.0) for r in s.collect()}
 
 
 @dataclass(frozen=True)
@@ -117,15 +116,20 @@ def _vector(df: DataFrame, suffixes: dict[str, float]) -> DataFrame:
 def fit(labelled: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
     """Learns from rows (url, host, path, label), label 1 for blocked. Each url counts once."""
     rows = labelled.where("label IS NOT NULL").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("label").cast("double").alias("label"))
-    n = rows.count()
-    few = rows.where(F.pmod(F.xxhash64("url", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, p.sample / max(n, 1))))
-    blocked, seen = few.agg(F.avg("label"), F.count("*")).first()
-    if not seen or blocked in (0.0, 1.0):
-        return UrlModel(None, {}, float(blocked or 0.0))
-    suffixes = suffix_statistics(few)
-    data = _vector(few, suffixes).select("_features", "label").repartition(max(2, math.ceil(seen / 5000)))
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=p.rounds, maxDepth=p.depth, stepSize=0.3, seed=3, cacheNodeIds=False).fit(data)
-    return UrlModel(trees, suffixes, float(blocked))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    blocked = counts.get(1.0, 0) / max(sum(counts.values()), 1)
+    if len(counts) < 2:
+        return UrlModel(None, {}, blocked)
+    # Half of the sample is for each label, and what one leaves is for the other; weights bring back their shares.
+    room = {k: max(p.sample // 2, p.sample - (sum(counts.values()) - n)) for k, n in counts.items()}
+    share = {k: min(1.0, max(room[k], 1) / n) for k, n in counts.items()}
+    of_label = lambda d: F.when(F.col("label") == 1, F.lit(d[1.0])).otherwise(F.lit(d[0.0]))
+    few = rows.where(F.pmod(F.xxhash64("url", F.lit(13)), F.lit(1 << 40)) < of_label({k: int(v * (1 << 40)) for k, v in share.items()}))
+    suffixes = suffix_statistics(rows)
+    data = _vector(few.withColumn("_weight", of_label({k: 1 / v for k, v in share.items()})), suffixes).select("_features", "label", "_weight")
+    data = data.repartition(max(2, math.ceil(min(p.sample, sum(counts.values())) / 5000)))
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=p.rounds, maxDepth=p.depth, stepSize=0.3, seed=3, cacheNodeIds=False).fit(data)
+    return UrlModel(trees, suffixes, blocked)
 
 
 def judge(urls: DataFrame, allow: Sequence[str], block: Sequence[str], p: UrlParams = UrlParams()) -> DataFrame:
