@@ -108,25 +108,72 @@ def test_jaccard_join(spark, docs):
     assert key(tuple(r) for r in got) == key(brute_components(docs))
 
 
-@pytest.mark.parametrize("small,share", [(4, 0.01), (200, 0.001)])
-def test_signatures_meet_for_every_link(small, share):
+def hot_docs():
+    """Groups of edited copies of texts of 20 to 900 words, most of whose shingles are in passages that many texts share, and unlinked texts with those passages."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    passages = [rng.choices(vocab, k=40) for _ in range(6)]
+    docs = []
+    for k in range(70):
+        body = [w for q in rng.choices(passages, k=rng.choice([1, 1, 3, 12])) for w in q] + rng.choices(vocab, k=rng.choice([0, 4, 15, 60, 400]))
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            words = list(body)
+            for _ in range(rng.randrange(0, 1 + len(words) // 60)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            docs.append((len(docs), " ".join(words)))
+    return docs + [(len(docs) + k, " ".join(passages[0][j : j + n])) for k, (j, n) in enumerate([(0, 5), (0, 5), (1, 6), (3, 3), (0, 9), (0, 8)])]
+
+
+@pytest.mark.parametrize("p", [jaccard.JoinParams(often=4, cell=3), jaccard.JoinParams(often=1 << 20), jaccard.JoinParams(often=8, known=50)])
+def test_jaccard_join_with_tokens_of_many_sets(spark, p):
+    docs = hot_docs()
+    want = brute_components(docs)
+    assert sum(n > 64 for _, n, _ in want) > 60 and len({c for *_, c in want}) < len(docs)
+    got = jaccard.groups(frame(spark, docs), p).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(tuple(r) for r in got) == key(want)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 60])
+def test_signatures_meet_for_every_link(percent):
     rng = random.Random(2)
-    p = jaccard.JoinParams(small=small)
+    p = jaccard.JoinParams(percent=percent, often=64)
     frequency = {}
-    for _ in range(400):
-        n = rng.randrange(4, 90)
-        a = {rng.randrange(1, 300) for _ in range(n)}
+    met = 0
+    for k in range(600):
+        n = rng.randrange(2, 90) if k % 3 else rng.randrange(90, 700)
+        a = {rng.randrange(1, 4 * n + 2) for _ in range(n)}
         b = set(a)
         for _ in range(rng.randrange(0, max(1, n // 8) + 1)):
-            b.discard(rng.choice(sorted(b))) if len(b) > 1 and rng.random() < 0.5 else b.add(rng.randrange(300, 400))
-        if a == b or 100 * len(a & b) < 80 * len(a | b):
+            b.discard(rng.choice(sorted(b))) if len(b) > 1 and rng.random() < 0.5 else b.add(rng.randrange(5000, 5400))
+        if a == b or 100 * len(a & b) < percent * len(a | b):
             continue
         sig = []
         for s in (a, b):
-            tokens = np.array(sorted(s), np.uint64)
-            seen = np.array([frequency.setdefault(t, rng.randrange(0, 12)) for t in tokens.tolist()])
-            sig.append(set(jaccard.signatures(tokens, seen, 6, p)[0].tolist()))
-        assert sig[0] & sig[1], (a, b)
+            tokens = np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            seen = np.array([frequency.setdefault(t, rng.choice([0, 0, 3, 6, 7, 9])) for t in tokens.tolist()], np.int8)
+            own, _, place = jaccard.signatures(tokens, seen, p)
+            sig.append(dict(zip(own.tolist(), place.tolist())))
+        both = sig[0].keys() & sig[1].keys()
+        met += 1
+        # Of the signatures in common one at least has places that let the link through.
+        assert any(min(len(a) - sig[0][s], len(b) - sig[1][s]) * (100 + percent) >= (len(a) + len(b)) * percent for s in both), (a, b)
+    assert met > 100
+
+
+def test_bitmaps_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    p = jaccard.JoinParams()
+    rows = []
+    for n in (1, 5, 63, 64, 65, 120, 129, 1000):
+        for change in (0, n // 12, n // 8, n // 3):
+            for more in (0, n // 8):
+                a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+                b = np.concatenate((a[change:], rng.integers(1, 1 << 62, change + more).astype(np.uint64)))
+                linked = 100 * (n - change) >= 80 * (n + change + more)
+                rows.append((len(a), len(b), jaccard.parities(a).tolist(), jaccard.parities(b).tolist(), bool(linked)))
+    df = spark.createDataFrame(rows, "na int, nb int, x array<long>, y array<long>, linked boolean")
+    got = df.select("linked", jaccard._possible(*(df[c] for c in ("na", "nb", "x", "y")), p).alias("may")).collect()
+    assert all(r["may"] for r in got if r["linked"]) and sum(not r["may"] for r in got) >= 8
 
 
 def test_keep_one(spark, docs):

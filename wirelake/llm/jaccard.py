@@ -1,14 +1,18 @@
 """Exact Jaccard join of word-shingle sets, by prefixes and token combinations, and the groups that its links make.
 
-Texts with the same set are one node. Tokens are ordered from rare to frequent by a count over all texts. Two sets of Jaccard similarity t or more share a token among the
-first n - ceil(t n) + 1 of each, and two among one more. Sets of more than ``small`` tokens index each token of that prefix; smaller ones, which have hardly
-any rare tokens, take one token more and index the rare ones singly and the frequent ones in pairs. (Sets between small and small / t do both, as they may link with
-either kind.)
+Texts with the same set are one node. Tokens are ordered from rare to frequent; a set of n tokens that links with another lacks at most e = n - ceil(t n) of its own there.
+So if prefixes are long enough that more than e of their tokens are covered, linked sets share a signature: a rare token is a signature by itself and covers one. Frequent
+tokens are dealt into groups by a hash, and the pairs within a group are signatures: x tokens of a group cover x - 1, as without a pair in common at most one of them is in
+common. How many groups there are depends on the octave of n alone; a set that may link with one of the next octave is signed for both. Hence the longer a set, the
+more groups, and pairs stay about as many as the tokens that they stand for, whatever its size.
 
-Candidates are verified in two steps, so that a large group of near copies does not make all its pairs. First every set is compared with the leader of each of its
+Candidates are compared by parity bitmaps before any set is fetched: each set has about as many bits as tokens, and the number of bits in which two differ is at most the
+number of tokens that only one of them has. What passes is verified with the sets themselves.
+
+That goes in two steps, so that a large group of near copies does not make all its pairs. First every set is compared with the leader of each of its
 buckets, the set with the fewest rare tokens: an original comes before its edited copies, and is nearer to all of them than they are to one another. Then, within
 buckets where sets are still in different components, the pairs of different components are compared, without those whose distances to the leader differ by more than
-1 - t, which the triangle inequality rules out. Both steps are exact; no bucket is capped.
+1 - t, which the triangle inequality rules out; large buckets are dealt into cells of bounded size. Both steps are exact; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -26,21 +30,24 @@ from .storage import Scratch, skew_join
 from .textcodes import Lookup, mix, per_text_sets, shingles, slices, word_codes
 
 #: Tokens counted together by a task before it hands on what it has.
-COUNTED = 2_000_000
+COUNTED = 4_000_000
 #: Times that a token must be seen among those to be handed on.
 LEAST_SEEN = 2
+#: Bits of an index row's number for the tokens in no class, the size and the place.
+ODD_BITS, SIZE_BITS, PLACE_BITS = 15, 28, 20
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """``known`` bounds how many frequent tokens are broadcast: those of the highest classes of frequency that together are no more than that. ``percent`` is the similarity, ``share`` the part of all sets from which on a token is frequent."""
+    """``percent`` is the similarity. Tokens counted ``often`` times or more are frequent. ``known`` bounds how many tokens with their frequencies are broadcast: those of
+    the highest classes that together are no more. Tokens beyond it count as rare, in the order of their codes, which makes buckets larger but loses no link.
+    ``cell`` is about the number of sets that are compared with one another at once in the second step."""
 
     width: int = 5
     percent: int = 80
-    small: int = 64
+    often: int = 256
     known: int = 1_500_000
-    share: float = 0.002
-    filter_bits: int = 24
+    cell: int = 512
 
 
 def sets_of(texts: list[str | None], p: JoinParams) -> Iterator[tuple[slice, list[np.ndarray]]]:
@@ -58,42 +65,85 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, frequent: int, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a set given as codes and frequencies in any order; for each the frequency of its token, and the place of the token in the set's order. Of two
-    tokens the smaller frequency and the first place count."""
+def _covering(order: np.ndarray, rare: int, groups: np.ndarray, enough: int) -> int:
+    """How many of the first tokens cover ``enough``: the ``rare`` first ones each cover one, later ones one unless they are the first of their group."""
+    if rare >= enough:
+        return enough
+    first = np.ones(len(groups), bool)
+    first[np.unique(groups, return_index=True)[1]] = False
+    covered = rare + np.cumsum(first)
+    return min(len(order), rare + int(np.searchsorted(covered, enough)) + 1)
+
+
+def signatures(tokens: np.ndarray, frequency: np.ndarray, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set given as codes and classes of frequency in any order; for each the class of its token, and a place: what the set has in common with one that
+    shares this signature first is at most what follows from there on. A single frequent token has none, as it links with its like alone, which is the same set. Of two tokens the smaller class and the first place count, less the groups before it, each of
+    which may have hidden one token in common."""
     n = len(tokens)
     order = np.lexsort((tokens, frequency))
-    first = n - need(n, p.percent) + 1
-    out, often_seen, places = [], [], []
-    if n > p.small:
-        out.append(tokens[order[:first]])
-        often_seen.append(frequency[order[:first]])
-        places.append(np.arange(first))
-    if n * p.percent <= p.small * 100:
-        own = order[: min(n, first + 1)]
-        rare = frequency[own] < frequent
-        out.append(tokens[own[rare]])
-        often_seen.append(frequency[own[rare]])
-        places.append(np.flatnonzero(rare))
-        often, seen, place = tokens[own[~rare]], frequency[own[~rare]], np.flatnonzero(~rare)
-        i, j = np.triu_indices(len(often), 1)
-        a, b = np.minimum(often[i], often[j]), np.maximum(often[i], often[j])
-        out.append(mix(a * np.uint64(0xD6E8FEB86659FD93) + b))
-        often_seen.append(np.minimum(seen[i], seen[j]))
-        places.append(place[i])
-    sigs, at = np.unique(np.concatenate(out), return_index=True)
-    return sigs, np.concatenate(often_seen)[at], np.concatenate(places)[at]
+    enough = n - need(n, p.percent) + 1
+    rare = int(np.count_nonzero(frequency < p.often.bit_length() - 1))
+    one = order[: min(enough, rare)]
+    sigs, seen, places = tokens[one], frequency[one], np.arange(len(one))
+    if enough <= rare:
+        return sigs, seen, places
+    often = order[rare:]
+    out, classes, at = [], [], []
+    for octave in range(n.bit_length() - 1, (n * 100 // p.percent).bit_length()):
+        # With that many groups all tokens together cover enough, in every set of this octave.
+        many = max(1, min((1 << octave) // 8, need(1 << octave, p.percent) - 1))
+        group = (tokens[often] >> np.uint64(8)) % np.uint64(many)
+        size = _covering(order, rare, group, enough) - rare
+        group, mine, kind = group[:size], tokens[often[:size]], frequency[often[:size]]
+        before = np.zeros(size, bool)
+        before[np.unique(group, return_index=True)[1]] = True
+        place = np.maximum(rare + np.arange(size) - (np.cumsum(before) - 1), 0)
+        by = np.argsort(group, kind="stable")
+        border = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1], [True])))
+        for lo, hi in zip(border[:-1].tolist(), border[1:].tolist()):
+            if hi - lo > 1:
+                i, j = np.triu_indices(hi - lo, 1)
+                i, j = by[lo + i], by[lo + j]
+                a, b = np.minimum(mine[i], mine[j]), np.maximum(mine[i], mine[j])
+                out.append(mix(a * np.uint64(0xD6E8FEB86659FD93) + b))
+                classes.append(np.minimum(kind[i], kind[j]))
+                at.append(place[i])
+    sigs, seen, places = np.concatenate([sigs, *out]), np.concatenate([seen, *classes]), np.concatenate([places, *at])
+    by = np.lexsort((places, sigs))
+    by = by[np.diff(sigs[by], prepend=~sigs[by][:1]) != 0]
+    return sigs[by], seen[by], places[by]
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of at least as many bits as tokens, a power of two: bit k is odd if an odd number of tokens has k as its lowest bits."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """In how many bits two bitmaps of (nearly) equal size differ; the larger is folded on the smaller one's size."""
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+
+
+def _possible(na: Column, nb: Column, a: Column, b: Column, p: JoinParams) -> Column:
+    """Whether bitmaps allow a link. One has at most twice the other's size if ``percent`` is 50 or more and sizes allow one; bitmaps farther apart rule out nothing."""
+    both = na.cast("long") + nb
+    return F.coalesce((both - _differing(a, b)) * (100 + p.percent) >= both * (2 * p.percent), F.lit(True))
 
 
 def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Rows of kind 0: a document's id, set code and size; of kind 1: a token and how often it was seen in the different sets of a portion, if more than once."""
+    """Rows of kind 0: a document's id, set code, size and its set's bitmap (null if a row of the same task has it); of kind 1: a token and how often it was seen in the
+    different sets of a portion, if more than once."""
 
     def counted(held: list[np.ndarray]) -> pd.DataFrame:
         codes = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
         n = np.diff(np.append(first, len(codes)))
         often = n >= LEAST_SEEN
-        return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "code": codes[first[often]].view(np.int64), "n": n[often]})
+        return pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), "Int64"), "code": codes[first[often]].view(np.int64), "n": n[often], "bits": None})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -104,19 +154,20 @@ def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
             for _, sets in sets_of(b["text"].tolist(), p):
                 for s in sets:
                     code = set_code(s)
-                    rows.append((code, len(s)))
-                    if len(s) and code not in seen:
+                    new = len(s) > 0 and code not in seen
+                    rows.append((code, len(s), parities(s) if new else None))
+                    if new:
                         seen.add(code)
                         held.append(s)
                         size += len(s)
                 if size >= COUNTED:
                     yield counted(held)
                     held, size, seen = [], 0, set()
-            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "code": [r[0] for r in rows], "n": [r[1] for r in rows]})
+            yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"].astype("Int64"), "code": [r[0] for r in rows], "n": [r[1] for r in rows], "bits": [r[2] for r in rows]})
         if held:
             yield counted(held)
 
-    return docs.mapInPandas(run, "kind int, doc_id long, code long, n long")
+    return docs.mapInPandas(run, "kind int, doc_id long, code long, n long, bits array<long>")
 
 
 def _frequent_tokens(inventory: DataFrame, scratch: Scratch, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
@@ -133,94 +184,113 @@ def _frequent_tokens(inventory: DataFrame, scratch: Scratch, p: JoinParams) -> t
     return got["code"].to_numpy().view(np.uint64), got["c"].to_numpy().astype(np.int8)
 
 
-def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, frequent: int, p: JoinParams) -> DataFrame:
-    """(sig, rid, n, pos, seen, odd): the signatures of the different sets of each portion; pos is the token's place in the set's order, seen its frequency class, odd
-    the number of the set's tokens that are in no class."""
+def _index(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, p: JoinParams) -> DataFrame:
+    """(sig, rid, meta, seen): the signatures of the different sets of each portion. meta has the number of the set's tokens that are in no class, its size and the
+    signature's place, in bits of that order; the first and the last stop at the largest number that they have bits for. seen is the class."""
     held = docs.sparkSession.sparkContext.broadcast((tokens, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Lookup(*held.value, missing=0)
-        seen: set[int] = set()
+        done: set[int] = set()
         for b in batches:
             for _, sets in sets_of(b["text"].tolist(), p):
                 every = table.get(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-                at, sigs, rids, sizes, classes, places, odd = 0, [], [], [], [], [], []
+                at, sigs, rids, metas, classes = 0, [], [], [], []
                 for s in sets:
                     frequency = every[at : at + len(s)]
                     at += len(s)
                     code = set_code(s)
-                    if not len(s) or code in seen:
+                    if not len(s) or code in done:
                         continue
-                    if len(seen) < 200_000:
-                        seen.add(code)
-                    own, own_seen, own_place = signatures(s, frequency, frequent, p)
-                    places.append(own_place.astype(np.int32))
+                    if len(done) < 200_000:
+                        done.add(code)
+                    own, seen, place = signatures(s, frequency, p)
                     sigs.append(own)
-                    classes.append(own_seen)
+                    classes.append(seen)
                     rids.append(np.full(len(own), code, np.int64))
-                    sizes.append(np.full(len(own), len(s), np.int32))
-                    odd.append(np.full(len(own), np.count_nonzero(frequency == 0), np.int32))
+                    odd = min(int(np.count_nonzero(frequency == 0)), (1 << ODD_BITS) - 1)
+                    metas.append((odd << SIZE_BITS + PLACE_BITS) + (len(s) << PLACE_BITS) + np.minimum(place, (1 << PLACE_BITS) - 1))
                 if sigs:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "n": np.concatenate(sizes), "pos": np.concatenate(places), "seen": np.concatenate(classes), "odd": np.concatenate(odd)})
+                    yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "rid": np.concatenate(rids), "meta": np.concatenate(metas), "seen": np.concatenate(classes)})
+
+    return docs.mapInPandas(run, "sig long, rid long, meta long, seen byte")
+
+
+def _size(meta: Column) -> Column:
+    return F.shiftright(meta, PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1).cast("int")
+
 
-    return docs.mapInPandas(run, "sig long, rid long, n int, pos int, seen byte, odd int")
+def _place(meta: Column) -> Column:
+    return meta.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+
+
+def _led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (sig, meta, rid) with the first of their signature, which leads them, each once and without the leaders' own."""
+    carried = np.zeros((0, 3), np.int64)  # the open signature's leader, and the row that came last
+    for b in batches:
+        if not len(b):
+            continue
+        rows = np.concatenate((carried, b[["sig", "meta", "rid"]].to_numpy(np.int64)))
+        first = np.concatenate(([True], rows[1:, 0] != rows[:-1, 0]))
+        lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+        keep = np.concatenate(([False], (rows[1:] != rows[:-1]).any(1))) & (rows[:, 2] != lead[:, 2])
+        keep[: len(carried)] = False
+        carried = rows[-1:] if first[-1] else np.concatenate((lead[-1:], rows[-1:]))
+        if keep.any():
+            yield pd.DataFrame({"sig": rows[keep, 0], "rid": rows[keep, 2], "meta": rows[keep, 1], "lead": lead[keep, 2], "lead_meta": lead[keep, 1]})
 
 
 def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, rid, n, pos, lead, lead_n, lead_pos) of the signatures that several sets have; lead is their leader.
+    """(sig, rid, n, pos, lead, lead_n, lead_pos) of the signatures that several sets have; lead is their leader, whose own rows are left out.
 
     Signatures that more than 1/2000 of all rows have, 2000 at the most, come from an aggregate and meet their rows by a broadcast. Only tokens seen often can be among them. The
-    rest is shuffled once; no signature of it is large.
+    rest is shuffled once and read on in order; no signature of it is large.
     """
     rows = index.count()
     least = max(64, rows // 2000)
     # A class is the logarithm of what the portions counted, and a portion hands on no token that it saw once.
     often = index.where(F.col("seen") >= int(np.log2(max(2, least // 4))))
-    me = F.struct("odd", "rid", "n", "pos")
-    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min(me).alias("l"), F.min("rid").alias("x"), F.max("rid").alias("y")).where(F.col("members") >= least)
-    hot = scratch.table(hot.drop("members"), "hot")
-    w = Window.partitionBy("sig")
-    entries = index.select("sig", "rid", "n", "pos", "odd")
-    cold = entries.join(F.broadcast(hot.select("sig")), "sig", "left_anti").withColumns({"l": F.min(me).over(w), "x": F.min("rid").over(w), "y": F.max("rid").over(w)})
-    both = entries.join(F.broadcast(hot), "sig").unionByName(cold).where("x <> y")
-    return scratch.table(both.select("sig", "rid", "n", "pos", F.col("l.rid").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")), "shared")
-
-
-def _wanted(rids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size with a bit for some bits of each rid; made by aggregates."""
-    place = F.shiftright("rid", 7).bitwiseAND((1 << bits) - 1) + 1
-    rows = rids.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min(F.struct("meta", "rid")).alias("l")).where(F.col("members") >= least)
+    hot = scratch.table(hot.select("sig", F.col("l.rid").alias("lead"), F.col("l.meta").alias("lead_meta")), "hot")
+    entries = index.select("sig", "rid", "meta")
+    cold = entries.join(F.broadcast(hot.select("sig")), "sig", "left_anti").repartition("sig").sortWithinPartitions("sig", "meta", "rid")
+    cold = cold.mapInPandas(_led, "sig long, rid long, meta long, lead long, lead_meta long")
+    both = cold.unionByName(entries.join(F.broadcast(hot), "sig").where("rid <> lead").distinct())
+    named = both.select("sig", "rid", _size(F.col("meta")).alias("n"), _place(F.col("meta")).alias("pos"), "lead", _size(F.col("lead_meta")).alias("lead_n"), _place(F.col("lead_meta")).alias("lead_pos"))
+    return scratch.table(named, "shared")
+
+
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """A bitmap with a bit for some bits of each key, about 16 bits for each, 128 MB at the most; made by aggregates."""
+    bits = min(30, max(18, int(16 * keys.count()).bit_length()))
+    place = F.shiftright("key", 7).bitwiseAND((1 << bits) - 1) + 1
+    rows = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    got = rows.toArrow()
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    for k, part in zip(got["k"].to_pylist(), got["bits"]):
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(part.as_buffer(), np.uint8)
     return out
 
 
-def _sets(docs: DataFrame, rids: DataFrame, p: JoinParams) -> DataFrame:
-    """(rid, tokens) of the sets asked for (and some others, which do no harm), each once."""
-    bits = p.filter_bits
-    held = docs.sparkSession.sparkContext.broadcast(_wanted(rids, bits))
+def _sets(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """(rid, tokens) of the sets of ``nodes`` (and some others, which do no harm), read from the documents that stand for them."""
+    held = docs.sparkSession.sparkContext.broadcast(_wanted(nodes.select(F.col("rid").bitwiseXOR(F.xxhash64("doc_id")).alias("key"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = held.value
-        seen: set[int] = set()
+        mask = len(bitmap) * 8 - 1
         for b in batches:
-            for _, sets in sets_of(b["text"].tolist(), p):
+            hashes = b["hash"].tolist()
+            for part, sets in sets_of(b["text"].tolist(), p):
                 rows = []
-                for s in sets:
+                for s, own in zip(sets, hashes[part]):
                     code = set_code(s)
-                    if len(s) and code not in seen and bitmap[(at := _place(code, bits)) >> 3] >> (at & 7) & 1:
-                        if len(seen) < 200_000:
-                            seen.add(code)
+                    if len(s) and bitmap[(at := (code ^ own) >> 7 & mask) >> 3] >> (at & 7) & 1:
                         rows.append((code, s.view(np.int64)))
                 if rows:
                     yield pd.DataFrame({"rid": [r[0] for r in rows], "tokens": [r[1] for r in rows]})
 
-    return docs.mapInPandas(run, "rid long, tokens array<long>").dropDuplicates(["rid"])
-
-
-def _place(code: int, bits: int) -> int:
-    return (code >> 7) & ((1 << bits) - 1)
+    return docs.select("text", F.xxhash64("doc_id").alias("hash")).mapInPandas(run, "rid long, tokens array<long>")
 
 
 def _close(na: Column, nb: Column, p: JoinParams) -> Column:
@@ -234,22 +304,20 @@ def _fits(na: Column, nb: Column, pa: Column, pb: Column, p: JoinParams) -> Colu
     return F.least(na - pa, nb - pb) * (100 + p.percent) >= (na + nb) * p.percent
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, p: JoinParams) -> DataFrame:
-    """Adds the size of the intersection to (a, b, na, nb)."""
-    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta")), "a")
-    few = pairs.groupBy("b").count()
-    total = pairs.count()
-    hot = few.where(F.col("count") >= max(256, total // 1000)).select("b")
-    both = skew_join(left, sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb")), "b", "inner", scratch.table(hot, f"{name}-hot"))
-    return scratch.table(both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common")), name)
+def _with_both(pairs: DataFrame, own: DataFrame, value: str, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b, na, nb) with ``value`` of both, as x and y, from (rid, value). Many pairs may have the same b, as a leader has."""
+    left = pairs.join(own.select(F.col("rid").alias("a"), F.col(value).alias("x")), "a")
+    hot = pairs.groupBy("b").count().where(F.col("count") >= max(256, pairs.count() // 1000)).select("b")
+    return skew_join(left, own.select(F.col("rid").alias("b"), F.col(value).alias("y")), "b", "inner", scratch.table(hot, name))
 
 
-def _tested(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, p: JoinParams) -> DataFrame:
-    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid")))
-    sets = scratch.table(_sets(docs, rids, p), f"{name}-sets")
-    scratch.release()
-    out = _verify(pairs, sets, scratch, name, p)
-    scratch.drop(f"{name}-sets")
+def _tested(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, p: JoinParams) -> DataFrame:
+    """Pairs (a, b, na, nb) with the size of their intersection, each once."""
+    named = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    sets = scratch.table(_sets(docs, nodes.join(named, "rid", "left_semi"), p), f"{name}-sets")
+    both = _with_both(pairs, sets, "tokens", scratch, f"{name}-hot")
+    out = scratch.table(both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("common")).distinct(), name)
+    scratch.drop(f"{name}-sets", f"{name}-hot")
     scratch.release()
     return out
 
@@ -266,45 +334,52 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     besides doc_id and text are not read.
     """
     scratch = Scratch(documents.sparkSession, "jaccard")
-    docs = documents.select("doc_id", "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     inventory = scratch.table(_inventory(docs, p), "inventory")
     rows = scratch.table(inventory.where("kind = 0").select("doc_id", F.col("code").alias("rid"), "n"), "rows")
-    nodes = rows.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    nodes = scratch.table(nodes, "nodes")
-    sets_n = nodes.count()
+    nodes = inventory.where("kind = 0 AND n > 0").groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").cast("int").alias("n"), F.max("bits").alias("bits"))
+    nodes = scratch.table(nodes.withColumnRenamed("code", "rid"), "nodes")
     tokens, classes = _frequent_tokens(inventory, scratch, p)
-    frequent = int(np.log2(max(2, sets_n * p.share)))
-    index = scratch.table(_index(docs, tokens, classes, frequent, p), "index")
-    scratch.drop("inventory")
+    index = scratch.table(_index(docs, tokens, classes, p), "index")
+    scratch.drop("inventory", "counted")
     shared = _shared(index, scratch)
-    scratch.drop("index")
+    scratch.drop("index", "hot")
     scratch.release()
-    pairs = shared.where((F.col("rid") != F.col("lead")) & _close(F.col("n"), F.col("lead_n"), p) & _fits(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), p))
+    pairs = shared.where(_close(F.col("n"), F.col("lead_n"), p) & _fits(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), p))
     pairs = scratch.table(pairs.select(F.col("rid").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb")).distinct(), "pairs")
-    tested = _tested(docs, pairs, scratch, "tested", p)
+    likely = _with_both(pairs, nodes, "bits", scratch, "pairs-hot").where(_possible(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), p))
+    likely = scratch.table(likely.select("a", "b", "na", "nb"), "likely")
+    scratch.drop("pairs", "pairs-hot")
+    tested = _tested(docs, likely, nodes, scratch, "tested", p)
     edges = tested.where(_linked(p)).select("a", "b")
     roots = scratch.table(components(edges, scratch, "first"), "roots")
-    rest = scratch.table(_undecided(shared, tested, roots, p), "undecided")
+    rest = scratch.table(_undecided(shared, tested, nodes, roots, scratch, p), "undecided")
     if not rest.isEmpty():
-        more = _tested(docs, rest, scratch, "tested2", p)
+        more = _tested(docs, rest, nodes, scratch, "tested2", p)
         roots = scratch.table(components(edges.unionByName(more.where(_linked(p)).select("a", "b")), scratch, "second"), "roots2")
-    scratch.drop("shared", "pairs", "undecided")
-    return _named(rows, nodes, roots, scratch)
+    out = _named(rows, nodes, roots, scratch)
+    scratch.drop("shared", "likely", "undecided", "rooted-rows", "mixed", "tested", "tested2", "roots", "roots2", "nodes")
+    return out
 
 
-def _undecided(shared: DataFrame, tested: DataFrame, roots: DataFrame, p: JoinParams) -> DataFrame:
+def _undecided(shared: DataFrame, tested: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
     """Pairs of a bucket that are not yet in one component and may be linked, (a, b, na, nb), each once."""
-    # The distance to the bucket's least set; null where sizes ruled a link out and it was not worked out: such rows take part whatever the other's distance.
+    # The distance to the bucket's leader; null where sizes, places or bitmaps ruled a link out and it was not worked out: such rows take part whatever the other's distance.
     distance = tested.select(F.col("a").alias("rid"), F.col("b").alias("lead"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    own = shared.where("rid <> lead").select("sig", "rid", "n", "pos", "lead").distinct()
-    own = own.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = own.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    own = own.join(mixed, "sig", "left_semi").join(distance, ["rid", "lead"], "left").drop("lead")
-    left = own.select("sig", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    right = own.select("sig", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-    ruled_out = F.coalesce(F.abs(F.col("da") - F.col("db")) > 1 - p.percent / 100 + 1e-9, F.lit(False))
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _close(F.col("na"), F.col("nb"), p) & _fits(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), p) & ~ruled_out)
-    return pairs.select("a", "b", "na", "nb").distinct()
+    own = shared.select("sig", "rid", "n", "pos", "lead").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    own = scratch.table(own, "rooted-rows")
+    mixed = own.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).where("x <> y")
+    mixed = scratch.table(mixed.select("sig", "members", F.ceil(F.col("members") / p.cell).cast("int").alias("cells")), "mixed")
+    hot = mixed.where(F.col("members") >= max(64, own.count() // 2000)).select("sig")
+    own = skew_join(own, mixed.select("sig", "cells"), "sig", "inner", hot).join(distance, ["rid", "lead"], "left").drop("lead").join(nodes.select("rid", "bits"), "rid")
+    own = own.withColumn("cell", F.pmod("rid", "cells").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    side = lambda k, i, j: own.select("sig", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{k}_{c}") for c in ("rid", "n", "pos", "root", "d", "bits")])
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    ruled_out = F.coalesce(F.abs(a("d") - b("d")) > 1 - p.percent / 100 + 1e-9, F.lit(False))
+    may = (a("rid") < b("rid")) & (a("root") != b("root")) & _close(a("n"), b("n"), p) & _fits(a("n"), b("n"), a("pos"), b("pos"), p) & ~ruled_out & _possible(a("n"), b("n"), a("bits"), b("bits"), p)
+    left, right = side("a", "cell", "other").withColumnsRenamed({"sig": "s", "i": "ai", "j": "aj"}), side("b", "other", "cell")
+    pairs = left.join(right, (F.col("s") == F.col("sig")) & (F.col("ai") == F.col("i")) & (F.col("aj") == F.col("j")) & may)
+    return pairs.select(a("rid").alias("a"), b("rid").alias("b"), a("n").alias("na"), b("n").alias("nb")).distinct()
 
 
 def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
