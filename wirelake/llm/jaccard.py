@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,6 +33,8 @@ from .textcodes import Lookup, mix, per_text_sets, shingles, slices, word_codes
 COUNTED = 4_000_000
 #: Times that a token must be seen among those to be handed on.
 LEAST_SEEN = 2
+#: Index rows that a task sorts, about.
+SORTED = 1_000_000
 #: Bits of an index row's number for the tokens in no class, the size and the place.
 ODD_BITS, SIZE_BITS, PLACE_BITS = 15, 28, 20
 
@@ -121,17 +123,28 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """In how many bits two bitmaps of (nearly) equal size differ; the larger is folded on the smaller one's size."""
-    half = lambda x: (F.size(x) / 2).cast("int")
-    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
-    return F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
-
-
-def _possible(na: Column, nb: Column, a: Column, b: Column, p: JoinParams) -> Column:
-    """Whether bitmaps allow a link. One has at most twice the other's size if ``percent`` is 50 or more and sizes allow one; bitmaps farther apart rule out nothing."""
-    both = na.cast("long") + nb
-    return F.coalesce((both - _differing(a, b)) * (100 + p.percent) >= both * (2 * p.percent), F.lit(True))
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) brought to a smaller size, a power of two."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def possible(na: np.ndarray, nb: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, p: JoinParams) -> np.ndarray:
+    """Which pairs of a[i] and b[j] the bitmaps allow to link; na and nb are the sizes of the sets. Of two bitmaps the larger is folded on the smaller one's size."""
+    out = np.zeros(len(i), bool)
+    wide_a, wide_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for wa, wb in np.unique(np.stack((wide_a[i], wide_b[j]), 1), axis=0).tolist() if len(i) else []:
+        mine = np.flatnonzero((wide_a[i] == wa) & (wide_b[j] == wb))
+        step = max(1, (1 << 20) // max(wa, wb))
+        for at in range(0, len(mine), step):
+            k = mine[at : at + step]
+            u, v = np.stack([a[x] for x in i[k]]).view(np.uint64), np.stack([b[x] for x in j[k]]).view(np.uint64)
+            differing = np.bitwise_count(_folded(u, min(wa, wb)) ^ _folded(v, min(wa, wb))).sum(1, dtype=np.int64)
+            both = na[i[k]] + nb[j[k]]
+            out[k] = (both - differing) * (100 + p.percent) >= both * (2 * p.percent)
+    return out
 
 
 def _inventory(docs: DataFrame, p: JoinParams) -> DataFrame:
@@ -253,7 +266,8 @@ def _shared(index: DataFrame, scratch: Scratch) -> DataFrame:
     hot = often.groupBy("sig").agg(F.count("*").alias("members"), F.min(F.struct("meta", "rid")).alias("l")).where(F.col("members") >= least)
     hot = scratch.table(hot.select("sig", F.col("l.rid").alias("lead"), F.col("l.meta").alias("lead_meta")), "hot")
     entries = index.select("sig", "rid", "meta")
-    cold = entries.join(F.broadcast(hot.select("sig")), "sig", "left_anti").repartition("sig").sortWithinPartitions("sig", "meta", "rid")
+    cold = entries.join(F.broadcast(hot.select("sig")), "sig", "left_anti")
+    cold = cold.repartition(max(12, rows // SORTED), "sig").sortWithinPartitions("sig", "meta", "rid")
     cold = cold.mapInPandas(_led, "sig long, rid long, meta long, lead long, lead_meta long")
     both = cold.unionByName(entries.join(F.broadcast(hot), "sig").where("rid <> lead").distinct())
     named = both.select("sig", "rid", _size(F.col("meta")).alias("n"), _place(F.col("meta")).alias("pos"), "lead", _size(F.col("lead_meta")).alias("lead_n"), _place(F.col("lead_meta")).alias("lead_pos"))
@@ -347,8 +361,13 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     scratch.release()
     pairs = shared.where(_close(F.col("n"), F.col("lead_n"), p) & _fits(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), p))
     pairs = scratch.table(pairs.select(F.col("rid").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("lead_n").alias("nb")).distinct(), "pairs")
-    likely = _with_both(pairs, nodes, "bits", scratch, "pairs-hot").where(_possible(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), p))
-    likely = scratch.table(likely.select("a", "b", "na", "nb"), "likely")
+
+    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = np.arange(len(b))
+            yield b.loc[possible(b["na"].to_numpy(np.int64), b["nb"].to_numpy(np.int64), b["x"].tolist(), b["y"].tolist(), at, at, p), ["a", "b", "na", "nb"]]
+
+    likely = scratch.table(_with_both(pairs, nodes, "bits", scratch, "pairs-hot").mapInPandas(allowed, "a long, b long, na int, nb int"), "likely")
     scratch.drop("pairs", "pairs-hot")
     tested = _tested(docs, likely, nodes, scratch, "tested", p)
     edges = tested.where(_linked(p)).select("a", "b")
@@ -372,14 +391,50 @@ def _undecided(shared: DataFrame, tested: DataFrame, nodes: DataFrame, roots: Da
     mixed = scratch.table(mixed.select("sig", "members", F.ceil(F.col("members") / p.cell).cast("int").alias("cells")), "mixed")
     hot = mixed.where(F.col("members") >= max(64, own.count() // 2000)).select("sig")
     own = skew_join(own, mixed.select("sig", "cells"), "sig", "inner", hot).join(distance, ["rid", "lead"], "left").drop("lead").join(nodes.select("rid", "bits"), "rid")
-    own = own.withColumn("cell", F.pmod("rid", "cells").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    side = lambda k, i, j: own.select("sig", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{k}_{c}") for c in ("rid", "n", "pos", "root", "d", "bits")])
-    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    ruled_out = F.coalesce(F.abs(a("d") - b("d")) > 1 - p.percent / 100 + 1e-9, F.lit(False))
-    may = (a("rid") < b("rid")) & (a("root") != b("root")) & _close(a("n"), b("n"), p) & _fits(a("n"), b("n"), a("pos"), b("pos"), p) & ~ruled_out & _possible(a("n"), b("n"), a("bits"), b("bits"), p)
-    left, right = side("a", "cell", "other").withColumnsRenamed({"sig": "s", "i": "ai", "j": "aj"}), side("b", "other", "cell")
-    pairs = left.join(right, (F.col("s") == F.col("sig")) & (F.col("ai") == F.col("i")) & (F.col("aj") == F.col("j")) & may)
-    return pairs.select(a("rid").alias("a"), b("rid").alias("b"), a("n").alias("na"), b("n").alias("nb")).distinct()
+    # Each two cells meet once: the lesser one's rows have side 0 and the other's 1, those of a cell by itself 2.
+    own = own.withColumn("c", F.pmod("rid", "cells").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    meeting = F.xxhash64("sig", F.least("c", "o"), F.greatest("c", "o")).alias("meeting")
+    side = F.when(F.col("c") < F.col("o"), 0).when(F.col("c") > F.col("o"), 1).otherwise(2).cast("byte").alias("side")
+    met = own.select(meeting, side, "rid", "n", "pos", "root", "d", "bits").repartition("meeting").sortWithinPartitions("meeting")
+    return met.mapInPandas(lambda it: _compared(it, p), "a long, b long, na int, nb int").distinct()
+
+
+def _compared(batches: Iterator[pd.DataFrame], p: JoinParams) -> Iterator[pd.DataFrame]:
+    """Pairs that may link, of rows sorted by meeting. A meeting that a batch leaves open, which has few rows, waits for the next."""
+    held = None
+    for b in batches:
+        if held is not None:
+            b = pd.concat((held, b))
+        if len(b):
+            key = b["meeting"].to_numpy(np.int64)
+            last = int(np.argmax(key == key[-1]))
+            held = b.iloc[last:]
+            yield _met(b.iloc[:last], p)
+    if held is not None:
+        yield _met(held, p)
+
+
+def _met(rows: pd.DataFrame, p: JoinParams) -> pd.DataFrame:
+    """The pairs within meetings: sizes, places, roots and distances are looked at first, then bitmaps."""
+    key, rid, n, pos, root, side = (rows[c].to_numpy(np.int64) for c in ("meeting", "rid", "n", "pos", "root", "side"))
+    d = rows["d"].to_numpy(np.float64)
+    at, apart, left, right = np.arange(len(rows)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at):
+        apart += 1
+        at = at[at + apart < len(rows)]
+        at = at[key[at] == key[at + apart]]
+        i, j = at, at + apart
+        may = ((side[i] == 2) | (side[i] != side[j])) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * p.percent)
+        may &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (100 + p.percent) >= (n[i] + n[j]) * p.percent
+        may &= ~(np.abs(d[i] - d[j]) > 1 - p.percent / 100 + 1e-9)
+        left.append(i[may])
+        right.append(j[may])
+    i, j = np.concatenate(left), np.concatenate(right)
+    bits = rows["bits"].tolist()
+    good = possible(n, n, bits, bits, i, j, p)
+    i, j = i[good], j[good]
+    i, j = np.where(rid[i] < rid[j], i, j), np.where(rid[i] < rid[j], j, i)
+    return pd.DataFrame({"a": rid[i], "b": rid[j], "na": n[i].astype(np.int32), "nb": n[j].astype(np.int32)})
 
 
 def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
