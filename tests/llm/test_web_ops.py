@@ -1,6 +1,10 @@
 """Corpus operators on pages, urls and vectors."""
 
 import hashlib
+import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -91,6 +95,43 @@ def test_html_threshold_holds_beside_and_within_articles():
     assert html_text.main_text(beside).split("\n")[-3:] == ["Title", prose.strip(), prose.strip()]
 
 
+def test_class_names_are_hints_as_wholes():
+    prose = "Text of an article, with marks; and more, and so on, until it is long enough to be one. " * 3
+    page = f'<article><h1 class="post-header">Head</h1><p class="side-effects">{prose}</p><p>{prose}</p></article><div class="cookie-banner"><p>{prose}</p></div><div id="Comments">{prose}</div>'
+    assert html_text.main_text(page).split("\n") == ["Head", prose.strip(), prose.strip()]
+    assert html_text.main_text(f"<nav>{prose}</nav>") == ""
+
+
+def test_deep_markup_takes_linear_time():
+    began = time.time()
+    for page in ("<div>" * 200_000, "<p><table>" + "<div><li>" * 60_000, "<b><span>" * 60_000 + "</i></em>" * 50_000):
+        assert html_text.main_text(page + "text, and more. " * 20).startswith("text,")
+    assert time.time() - began < 20
+
+
+def test_path_values_against_plain_ratios():
+    rng = random.Random(4)
+    p = html_text.RatioParams()
+    for _ in range(50):
+        found = []
+        for _ in range(rng.randrange(1, 40)):
+            path = rng.randrange(8)
+            found.append((html_text.Block(path, path in (2, 5), path in (1, 2), 0, linked=0), "x" * rng.randrange(1, 60) + "." * rng.randrange(4)))
+        values, limit, _ = html_text.path_values(found, p)
+        order = list(dict.fromkeys(b.path for b, _ in found))
+        size = lambda k: sum(len(t) for b, t in found if b.path == k) / sum(b.path == k for b, _ in found)
+        marks = lambda k: (sum(t.count(".") for b, t in found if b.path == k) + 1) / sum(b.path == k for b, _ in found)
+        want = {}
+        for group in ([k for k in order if k in (2, 5)], [k for k in order if k not in (2, 5)]):
+            for at, k in enumerate(group):
+                near = group[max(0, at - 1) : at + 2]
+                want[k] = sum(map(size, near)) / len(near) * sum(map(marks, near)) / len(near) * (p.inside if k in (1, 2) else 1)
+        free = [k for k in order if k not in (2, 5)] or order
+        letters = {k: sum(len(t) for b, t in found if b.path == k) for k in order}
+        assert math.isclose(limit, p.share * sum(want[k] * letters[k] for k in free) / sum(letters[k] for k in free))
+        assert all(math.isclose(values[k], want[k] * (p.hint if k in (2, 5) else 1)) for k in order)
+
+
 def rule(url):
     if url is None or "://" not in url:
         return "", "", None
@@ -123,6 +164,34 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge(frame(spark, [(1, "http://a.org/", None)]), ALLOW, BLOCK).collect()} == {"allow"}
 
 
+def test_url_columns_that_clash(spark):
+    rows = [(k, f"http://{h}/{p}/{k}", 1.0, "p", [0.5], "r", 3) for k in range(30) for h, p in (("a.net", "es"), ("b.com", "x"), ("c.org", "y"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, prediction double, probability string, _features array<double>, rawPrediction string, _url_length int")
+    got = url_filter.judge(df, ALLOW, BLOCK, url_filter.UrlParams(rounds=2, depth=2))
+    assert set(df.columns) <= set(got.columns) and {(r["prediction"], r["_url_length"], r["rawPrediction"]) for r in got.collect()} == {(1.0, 3, "r")}
+
+
+def test_url_trees_against_a_walk(spark):
+    """The score is the sigmoid of twice the weighted sum of the trees' leaves, read from the trees as they are printed."""
+    rows = [(f"http://{'x9' * (k % 5 + 1) if k % 3 else 'plain'}.test/{'a/' * (k % 7)}{k}", int(k % 3 > 0 and k % 5 < 3)) for k in range(300)]
+    df = spark.createDataFrame(rows, "url string, label int").withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    model = url_filter.fit(df, url_filter.UrlParams(rounds=3, depth=2))
+
+    def walk(lines, x):
+        at = 0
+        while not (m := re.match(r" *Predict: (\S+)", lines[at])):
+            depth, f, op, limit = re.match(r"( *)If \(feature (\d+) (<=|>) (\S+)\)", lines[at]).groups()
+            if (x[int(f)] <= float(limit)) == (op == "<="):
+                at += 1
+            else:
+                at = next(k for k in range(at + 1, len(lines)) if lines[k].startswith(f"{depth}Else")) + 1
+        return float(m[1])
+
+    for r in model.trees.transform(url_filter._vector(df, model.suffixes)).limit(60).collect():
+        total = sum(w * walk(t.toDebugString.splitlines()[1:], r["_features"].toArray()) for t, w in zip(model.trees.trees, model.trees.treeWeights))
+        assert math.isclose(r["probability"][1], 1 / (1 + math.exp(-2 * total)), rel_tol=1e-6)
+
+
 def test_url_trees_learn(spark):
     rows = [(f"http://{'x9' * (k % 5 + 1) if k % 2 else 'plain'}.test/{k}", k % 2) for k in range(300)]
     df = spark.createDataFrame(rows, "url string, label int")
