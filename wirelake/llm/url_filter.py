@@ -102,15 +102,25 @@ class UrlModel:
     constant: float
 
 
-def _vector(df: DataFrame, suffixes: dict[str, float]) -> DataFrame:
+def _free(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in columns}
+    prefix = "_url_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def _vector(df: DataFrame, suffixes: dict[str, float], name: str = "_features") -> DataFrame:
     url, host, path = F.col("url"), F.col("host"), F.col("path")
     cols = lexical(url, host, path)
     share = F.lit(0.5)
     if suffixes:
         share = F.coalesce(F.create_map(*[F.lit(x) for kv in suffixes.items() for x in kv])[suffix_of(host)], share)
     cols["suffix_share"] = share
-    wide = df.withColumns({f"_f_{k}": c.cast("double") for k, c in cols.items()})
-    return VectorAssembler(inputCols=[f"_f_{k}" for k in cols], outputCol="_features").transform(wide).drop(*[f"_f_{k}" for k in cols])
+    own = dict(zip(cols, _free(df.columns, *cols)))
+    wide = df.withColumns({own[k]: c.cast("double") for k, c in cols.items()})
+    return VectorAssembler(inputCols=list(own.values()), outputCol=name).transform(wide).drop(*own.values())
 
 
 def fit(labelled: DataFrame, p: UrlParams = UrlParams()) -> UrlModel:
@@ -148,7 +158,9 @@ def judge(urls: DataFrame, allow: Sequence[str], block: Sequence[str], p: UrlPar
     if model.trees is None:
         scored = base.withColumn("block_score", F.lit(model.constant))
     else:
-        out = model.trees.transform(_vector(base, model.suffixes))
-        scored = out.withColumn("block_score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+        names = _free(base.columns, "features", "raw", "probability", "prediction")
+        trees = model.trees.copy().setFeaturesCol(names[0]).setRawPredictionCol(names[1]).setProbabilityCol(names[2]).setPredictionCol(names[3])
+        out = trees.transform(_vector(base, model.suffixes, names[0]))
+        scored = out.withColumn("block_score", vector_to_array(names[2])[1]).drop(*names)
     by_model = F.when(F.col("block_score") >= p.threshold, "block").otherwise("allow")
     return scored.withColumn("verdict", F.when(F.col("rule").isNull(), by_model).when(blocked, "block").otherwise("allow"))
