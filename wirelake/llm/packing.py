@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .storage import Scratch
+
 #: Pre-tokens that a worker keeps.
 CACHE = 300_000
 
@@ -146,7 +148,8 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def cut(documents: DataFrame, p: PackParams) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, part_key for every piece of every row; part_key numbers the rows, repeated ones apart."""
+    """doc_id, start, length, ids_crc32, doc_tokens, part_key for every piece of every row; part_key numbers the rows, repeated ones apart, and may differ when it is worked out
+    again: ``pack`` commits it before anything depends on it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = _TOKENIZERS.setdefault(p.tokenizer, WordTokenizer(p.tokenizer))
@@ -182,4 +185,6 @@ def pack(documents: DataFrame, p: PackParams) -> DataFrame:
 
     # A group is drawn anew for each piece of a full sequence, so that a very long document does not make its group large.
     grp = F.pmod(F.when(F.col("length") == p.capacity, F.xxhash64("part_key", "start")).otherwise(F.col("part_key")), F.lit(groups)).alias("grp")
-    return cut(documents, p).select("*", grp).groupBy("grp").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # Groups are drawn from committed keys: were a lost executor's pieces cut anew, their groups would stay the same.
+    pieces = Scratch(documents.sparkSession, "packing").table(cut(documents, p), "pieces")
+    return pieces.select("*", grp).groupBy("grp").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
