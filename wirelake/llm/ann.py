@@ -93,9 +93,11 @@ def fit_graph(sample: np.ndarray, rows: int, norm: float, p: AnnParams) -> Centr
     points = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
     square = (x * x).sum(1)[:, None]
     load = np.zeros(k)
+    step = max(1, (1 << 22) // k)  # rows compared with all centroids at once: 32 MB
     for _ in range(15):
-        d = square + (points * points).sum(1) - 2 * x @ points.T
-        own = (d + 0.05 * np.median(d.min(1)) * load).argmin(1)
+        distances = lambda at: square[at : at + step] + (points * points).sum(1) - 2 * x[at : at + step] @ points.T
+        scale = 0.05 * np.median(np.concatenate([distances(at).min(1) for at in range(0, len(x), step)]))
+        own = np.concatenate([(distances(at) + scale * load).argmin(1) for at in range(0, len(x), step)])
         sizes = np.bincount(own, minlength=k)
         load += 0.3 * (np.minimum(sizes / (len(x) / k), 4) - 1)
         for c in np.flatnonzero(sizes):
@@ -104,9 +106,12 @@ def fit_graph(sample: np.ndarray, rows: int, norm: float, p: AnnParams) -> Centr
             points[c] = mean * (norm / max(np.sqrt(mean @ mean), 1e-12))
         for c in np.flatnonzero(sizes == 0):
             points[c] = x[rng.integers(len(x))]
-    d = (points * points).sum(1)[:, None] + (points * points).sum(1) - 2 * points @ points.T
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(p.degree, k - 1))]
+    near = []
+    for at in range(0, k, step):
+        d = (points[at : at + step] ** 2).sum(1)[:, None] + (points * points).sum(1) - 2 * points[at : at + step] @ points.T
+        d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+        near.append(np.argsort(d, axis=1, kind="stable")[:, : max(1, min(p.degree, k - 1))])
+    near = np.concatenate(near)
     far = rng.integers(0, k, (k, 4))
     return CentroidGraph(points, np.hstack((near, far)), _shards(points, p.shard_lists), np.sort(rng.choice(k, min(k, 16), replace=False)), norm)
 
@@ -223,7 +228,7 @@ def search(index: Index, queries: DataFrame, scratch: Scratch, p: AnnParams = An
     need = p.k + 1
     asked = scratch.table(queries.select("query_id", "embedding", F.xxhash64(F.col("embedding").cast("array<double>")).alias("qkey")), "queries")
     # Equal vectors share a key (two that differ would need equal 64-bit hashes).
-    distinct = asked.groupBy("qkey").agg(F.min("embedding").alias("embedding"))
+    distinct = asked.groupBy("qkey").agg(F.min("embedding").alias("embedding")).repartition(max(12, index.rows // 20_000), "qkey")
     held = queries.sparkSession.sparkContext.broadcast(index.graph)
     probed = scratch.table(distinct.mapInPandas(lambda it: probes_of(it, held.value, p), "qkey long, embedding array<float>, lists array<int>, shard int"), "probed")
     counts = {r["shard"]: r["n"] for r in probed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
