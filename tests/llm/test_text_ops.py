@@ -219,7 +219,7 @@ def brute_ppm(docs, train):
 
 @pytest.mark.parametrize("common", [250_000, 300, 0])
 def test_lm_scores(spark, docs, common):
-    docs = [d for d in docs if d[0] != 1005]
+    docs = [d if d[0] != 1005 else (1005, d[1][:9000]) for d in docs] + [docs[4]] * 150
     rows = ppm.scores(frame(spark, docs), ppm.PpmParams(blocks=6, common=common)).collect()
     assert len(rows) == len(docs)
     train = [i is not None and crc(i, 7) != 2 for i, _ in docs]
@@ -284,10 +284,19 @@ def test_decontamination_without_items(spark, docs):
 def test_longest_matches():
     b = decontam.prepare([7], [b"a b c d e f g h"], 3)
     codes, counts = word_codes([b"x a b c d e y f g h", b"c d e f"], ALNUM)
-    pos, _, offset, length = decontam.longest_matches(*decontam.occurrences(codes, counts, b))
+    (found,) = decontam.occurrences(codes, counts, b)
+    pos, _, offset, length = decontam.longest_matches(*found)
     assert sorted(zip(pos.tolist(), offset.tolist(), length.tolist())) == [(1, 0, 5), (7, 5, 3), (10, 2, 4)]
 
 
+def test_many_occurrences_of_many_items_are_held_in_parts():
+    b = decontam.prepare(list(range(400)), [b"word"] * 400, 10)
+    codes, counts = word_codes([b"word other " * 10_000, b"word " * 2, b"other"], ALNUM)
+    assert max(len(part[0]) for part in decontam.occurrences(codes, counts, b)) <= decontam.PAIRS
+    first, end, doc, item = decontam.shard_hits(codes, counts, b)
+    assert (end - first).sum() == 10_002 and len(item) == 800 and set(doc.tolist()) == {0, 1}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

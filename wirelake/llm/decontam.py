@@ -4,7 +4,7 @@ Each shard of documents (some megabytes of text in one task) gets a suffix array
 vocabulary, sorted by prefix doubling. Every window of the benchmark, that is the start of every suffix of an item, is looked up in it by binary search, all at once; the
 range of suffixes found are its verbatim occurrences. Windows that follow one another on a diagonal of document and item make the longest matches.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words, which bounds what is broadcast; several blocks are several passes whose hits are united.
+The benchmark goes to the tasks in blocks of at most ``block_words`` words, which bounds what is broadcast; with several blocks a row passes through one after another, and no rows are brought together.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .textcodes import ALNUM, word_codes
 
 SHARD_BYTES = 4_000_000
+#: Occurrences looked at together, each with one place in the benchmark.
+PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -100,11 +102,10 @@ def _bounds(text: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[n
     return out[0], out[1]
 
 
-def occurrences(codes: np.ndarray, counts: np.ndarray, b: Benchmark) -> tuple[np.ndarray, ...]:
-    """(position among all words of the shard, item, offset in the item, length) of every occurrence of a window."""
-    none = (np.zeros(0, np.int64),) * 4
+def occurrences(codes: np.ndarray, counts: np.ndarray, b: Benchmark) -> Iterator[tuple[np.ndarray, ...]]:
+    """(position among all words of the shard, item, offset in the item, length) of every occurrence of a window, about ``PAIRS`` at a time."""
     if not len(codes) or not len(b.vocabulary):
-        return none
+        return
     place = np.searchsorted(b.vocabulary, codes)
     place[place == len(b.vocabulary)] = 0
     number = np.where(b.vocabulary[place] == codes, place + 1, 0)
@@ -121,14 +122,13 @@ def occurrences(codes: np.ndarray, counts: np.ndarray, b: Benchmark) -> tuple[np
     long = ends - starts >= least
     starts, ends = starts[long], ends[long]
     if not len(starts):
-        return none
+        return
     sizes = ends - starts + 1
     begin = np.cumsum(sizes) - sizes
     position = np.repeat(starts - begin, sizes) + np.arange(sizes.sum())
     text = number[np.minimum(position, len(codes) - 1)]
     text[begin + sizes - 1] = 0
     order = suffix_array(text, int(sizes.max()))
-    found = []
     for width, (queries, item, offset) in b.windows.items():
         low, high = _bounds(text, order, queries)
         hit = np.flatnonzero(high > low)
@@ -137,13 +137,14 @@ def occurrences(codes: np.ndarray, counts: np.ndarray, b: Benchmark) -> tuple[np
         border = b.borders[width]
         # Each occurrence in the texts with each place in the benchmark that has this window.
         here, there = (high - low)[hit], (border[1:] - border[:-1])[hit]
-        pairs = here * there
-        own = np.repeat(np.arange(len(hit)), pairs)
-        k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        pos = position[order[low[hit][own] + k // there[own]]]
-        ref = border[:-1][hit][own] + k % there[own]
-        found.append((pos, item[ref], offset[ref], np.full(len(pos), width)))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(4)) if found else none
+        reach = np.cumsum(here * there)
+        for at in range(0, int(reach[-1]), PAIRS):
+            k = np.arange(at, min(at + PAIRS, int(reach[-1])))
+            own = np.searchsorted(reach, k, side="right")
+            k -= (reach - here * there)[own]
+            pos = position[order[low[hit][own] + k // there[own]]]
+            ref = border[:-1][hit][own] + k % there[own]
+            yield pos, item[ref], offset[ref], np.full(len(pos), width)
 
 
 def longest_matches(pos: np.ndarray, item: np.ndarray, offset: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -187,10 +188,27 @@ def _blocks(benchmark: DataFrame, p: DecontamParams) -> Iterator[Benchmark]:
         yield prepare(ids, texts, p.window)
 
 
-_RAW = "doc_id long, row_key long, n_words long, starts array<long>, ends array<long>, items array<string>"
+def shard_hits(codes: np.ndarray, counts: np.ndarray, b: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the longest matches, united where they overlap, as (first word, one after the last), and the different pairs (document, item), both sorted. Of the
+    occurrences no more than a bounded number is held."""
+    spans, named = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+    borders = np.cumsum(counts)
+    for part in occurrences(codes, counts, b):
+        pos, item, _, length = longest_matches(*part)
+        own = np.stack((pos, pos + length), 1)
+        own = np.concatenate((spans, own))[np.lexsort((np.r_[spans[:, 1], own[:, 1]], np.r_[spans[:, 0], own[:, 0]]))]
+        reach = np.maximum.accumulate(own[:, 1])
+        new = np.flatnonzero(np.r_[True, own[1:, 0] >= reach[:-1]])  # spans that only touch may be of two documents
+        spans = np.stack((own[new, 0], reach[np.r_[new[1:] - 1, len(own) - 1]]), 1)
+        named = np.unique(np.concatenate((named, np.stack((np.searchsorted(borders, pos, side="right"), item), 1))), axis=0)
+    return spans[:, 0], spans[:, 1], named[:, 0], named[:, 1]
+
+
+_RAW = "doc_id long, text binary, n_words long, spans array<long>, items array<string>"
 
 
 def _hits(docs: DataFrame, b: Benchmark) -> DataFrame:
+    """Rows of ``_RAW`` with what this block's items add: spans as first words and ends in turn, and names of items. No row meets another."""
     held = docs.sparkSession.sparkContext.broadcast(b)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,27 +216,26 @@ def _hits(docs: DataFrame, b: Benchmark) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for i, j in shards(texts):
+                part = batch.iloc[i:j]
                 codes, counts = word_codes(texts[i:j], ALNUM)
-                pos, item, _, length = longest_matches(*occurrences(codes, counts, bench))
+                first, end, doc, item = shard_hits(codes, counts, bench)
                 ends = np.cumsum(counts)
-                doc = np.searchsorted(ends, pos, side="right")
-                order = np.lexsort((pos, doc))
-                borders = np.searchsorted(doc[order], np.arange(j - i + 1))
-                rows = []
-                for k in range(j - i):
-                    own = order[borders[k] : borders[k + 1]]
-                    at = pos[own] - (ends[k] - counts[k])
-                    rows.append((at.tolist(), (at + length[own]).tolist(), sorted({bench.items[x] for x in item[own].tolist()})))
-                got = pd.DataFrame(rows, columns=["starts", "ends", "items"])
-                part = batch.iloc[i:j]
-                yield got.assign(doc_id=part["doc_id"].astype("Int64").to_numpy(), row_key=part["row_key"].to_numpy(), n_words=counts)
+                spans, items = part["spans"].tolist(), part["items"].tolist()
+                own = np.searchsorted(ends, first, side="right")
+                for k in np.unique(own).tolist():
+                    lo, hi = np.searchsorted(own, [k, k + 1])
+                    here = np.stack((first[lo:hi], end[lo:hi]), 1) - (ends[k] - counts[k])
+                    names = item[np.searchsorted(doc, k) : np.searchsorted(doc, k + 1)]
+                    spans[k] = [*spans[k], *here.ravel().tolist()]
+                    items[k] = [*items[k], *(bench.items[x] for x in names.tolist())]
+                yield part.assign(doc_id=part["doc_id"].astype("Int64"), n_words=counts, spans=spans, items=items)
 
     return docs.mapInPandas(run, _RAW)
 
 
-def _covered(starts: list[int], ends: list[int]) -> int:
+def _covered(spans: list[int]) -> int:
     total, reach = 0, 0
-    for s, e in sorted(zip(starts, ends)):
+    for s, e in sorted(zip(spans[::2], spans[1::2])):
         total += max(0, e - max(s, reach))
         reach = max(reach, e)
     return total
@@ -226,7 +243,7 @@ def _covered(starts: list[int], ends: list[int]) -> int:
 
 def _digest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in rows:
-        hit = [_covered(s, e) for s, e in zip(b["starts"], b["ends"])]
+        hit = [_covered(list(x)) for x in b["spans"]]
         items = [sorted(set(x)) for x in b["items"]]
         yield pd.DataFrame(
             {
@@ -246,26 +263,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, p: DecontamParams
     Null texts have no words; items without id, text or words have no windows; rows of the benchmark with one id count as one item; repeated documents are each judged;
     without items nothing is contaminated (the digest is that of the empty text); other columns are not read.
     """
-    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
-    parts = [_hits(docs, b) for b in _blocks(benchmark, p)] or [_hits(docs, prepare([], [], p.window))]
-    if len(parts) > 1:
-        every = parts[0]
-        for x in parts[1:]:
-            every = every.unionByName(x)
-        n = len(parts)
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  as many short lists as there are blocks, times equal rows
-        every = every.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("starts"), flat("ends"), flat("items"), (F.count("*") / n).cast("int").alias("copies"))
-        merged = every.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "row_key", "n_words", "starts", "ends", "items")
-    else:
-        merged = parts[0]
-    return merged.mapInPandas(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items")]
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *none)
+    for b in [*_blocks(benchmark, p)] or [prepare([], [], p.window)]:
+        docs = _hits(docs, b)
+    return docs.select("doc_id", "n_words", "spans", "items").mapInPandas(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, p: DecontamParams = DecontamParams()) -> DataFrame:
     """The documents without those that hold a window of the benchmark. A document goes only where an occurrence was found in its own text."""
-    blocks = list(_blocks(benchmark, p))
     out = documents
-    for b in blocks:
+    for b in _blocks(benchmark, p):
         held = documents.sparkSession.sparkContext.broadcast(b)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -274,8 +282,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, p: DecontamParams = Decont
                 bad = np.zeros(len(texts), bool)
                 for i, j in shards(texts):
                     codes, counts = word_codes(texts[i:j], ALNUM)
-                    pos = occurrences(codes, counts, held.value)[0]
-                    bad[i + np.searchsorted(np.cumsum(counts), pos, side="right")] = True
+                    first = shard_hits(codes, counts, held.value)[0]
+                    bad[i + np.searchsorted(np.cumsum(counts), first, side="right")] = True
                 yield batch[~bad]
 
         out = out.mapInPandas(run, out.schema)
