@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch, crc_mod
+from .storage import Scratch, crc_mod, hot_values
 from .textcodes import LOWER, PIECE, Lookup, word_codes
 
 ORDER = 4
@@ -81,27 +81,25 @@ def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.nd
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
-def ask(texts: list[bytes | None], held_out: np.ndarray) -> pd.DataFrame:
-    """What a block needs to know, (kind, key), with the times that its training texts hold it. kind 0: words, 1: grams."""
+def ask(texts: list[bytes | None], times: np.ndarray) -> pd.DataFrame:
+    """What a block needs to know, (kind, key), with the times that its training texts hold it. kind 0: words, 1: grams. Each text counts ``times``, held-out ones 0."""
     out = []
     for kind in (0, 1):
         keys, counts = [], []
-        for held in (False, True):
-            own = [t for t, h in zip(texts, held_out) if h == held]
-            if not own:
-                continue
+        for m in np.unique(times).tolist():
+            own = [t for t, x in zip(texts, times.tolist()) if x == m]
             if kind == 0:
                 for at in range(0, len(own), 500):
                     k, n = np.unique(word_codes(own[at : at + 500])[0], return_counts=True)
                     keys.append(k)
-                    counts.append(n * (not held))
+                    counts.append(n * m)
                 keys.append(np.array([END_TOKEN]))
-                counts.append(np.array([0 if held else len(own)]))
+                counts.append(np.array([len(own) * m]))
             else:
                 for grams, _, _ in gram_pieces(own):
                     k, n = np.unique(grams, return_counts=True)
                     keys.append(k)
-                    counts.append(n * (not held))
+                    counts.append(n * m)
         k, n = _sum_by_key(keys, counts)
         out.append(pd.DataFrame({"kind": np.full(len(k), kind, np.int32), "key": k.view(np.int64), "n": n.astype(np.int64)}))
     return pd.concat(out)
@@ -194,11 +192,17 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
     docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), (crc_mod("doc_id", 7) == 2).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(p.blocks, size // p.block_bytes + 1)
-    docs = docs.withColumn("block", F.pmod(F.coalesce(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("text")), F.lit(blocks)).cast("int"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    # A row that very many repeat is brought together, part by part, to one that counts as often; the rest is dealt by a hash of id and text.
+    hot = hot_values(docs, "row")
+    many = docs.join(F.broadcast(hot), "row", "left_semi").groupBy("row", "doc_id", "held_out").agg(F.max("text").alias("text"), F.count("*").alias("times"))
+    docs = docs.join(F.broadcast(hot), "row", "left_anti").withColumn("times", F.lit(1).cast("long")).unionByName(many)
+    docs = docs.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")).drop("row")
 
     def requests(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # pd.isna: a null doc_id is in no training set.
-        return ask(group["text"].tolist(), np.array([True if pd.isna(h) else bool(h) for h in group["held_out"]])).assign(block=np.int32(key[0]))
+        times = [0 if pd.isna(h) or h else n for h, n in zip(group["held_out"], group["times"])]
+        return ask(group["text"].tolist(), np.array(times, np.int64)).assign(block=np.int32(key[0]))
 
     asked = scratch.table(docs.groupBy("block").applyInPandas(requests, "kind int, key long, n long, block int"), "asked")
     scratch.release()
@@ -219,15 +223,18 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
 
     def score(texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(texts):
-            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "times"])
         tables = []
         for kind in (0, 1):
             mine = got[got["kind"] == kind]
             keys, numbers = held.value[kind]
             tables.append(Lookup(np.concatenate((keys, mine["key"].to_numpy(np.int64).view(np.uint64))), np.concatenate((numbers, mine["value"].to_numpy(np.float64)))))
         out = answer(texts["text"].tolist(), *tables, tokens, kinds)
-        return out.assign(doc_id=texts["doc_id"].astype("Int64").to_numpy(), held_out=texts["held_out"].to_numpy())
+        return out.assign(doc_id=texts["doc_id"].astype("Int64").to_numpy(), held_out=texts["held_out"].to_numpy(), times=texts["times"].to_numpy())
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, times long"
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
+    # As many rows again as there were, in portions.
+    out = out.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(times - 1) div 10000"))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(10_000), F.col("times") - 10_000 * F.col("portion")))))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
