@@ -100,7 +100,10 @@ def solve(packed: np.ndarray, langs: list[str], p: KernelParams) -> KernelModel:
 
 
 def fit(labelled: DataFrame, p: KernelParams = KernelParams()) -> KernelModel | None:
-    """Learns from rows (doc_id, text, lang); those without text, letters, lang or doc_id are left out, repeated rows count once. None where nothing is left."""
+    """Learns from rows (doc_id, text, lang); those without text, letters, lang or doc_id are left out, repeated rows count once. None where nothing is left.
+
+    ``sample`` bounds the labelled rows, and with them the languages: of more than a quarter of it, the commonest count (ties to the first by name). At most twice as many
+    rows, those of the smallest ids, are learned from."""
     known = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(p.sample // 4).collect()
     if not counts:
@@ -112,9 +115,8 @@ def fit(labelled: DataFrame, p: KernelParams = KernelParams()) -> KernelModel |
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for d, t, c in zip(b["doc_id"], b["text"], b["lang"]):
-                if has_letter(t):
-                    yield pd.DataFrame({"doc_id": [d], "lang": [c], "bits": [np.packbits(_rows([t], settings)[0] > 0).tobytes()]})
+            own = b[[has_letter(t) for t in b["text"]]]
+            yield own[["doc_id", "lang"]].assign(bits=[np.packbits(_rows([t], settings)[0] > 0).tobytes() for t in own["text"]])
 
     got = chosen.mapInPandas(run, "doc_id long, lang string, bits binary").groupBy("doc_id", "lang").agg(F.min("bits").alias("bits")).toPandas().sort_values(["doc_id", "lang"])
     if not len(got):
