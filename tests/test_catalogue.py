@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
-from wirelake.plans import catalogue, wire  # noqa: F401
+from wirelake.plans import catalogue, protocols, wire  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -62,7 +62,7 @@ def test_framing_does_not_depend_on_segments(proto, step):
     data = b"".join(MESSAGES[proto])
     b = Buffer()
     got = [m for at in range(0, len(data), step) for m in b.feed(proto, data[at : at + step], at)]
-    assert [m[0] for m in got] == MESSAGES[proto]
+    assert [m[0] for m in got] == [m.replace(b"3\r\nabc\r\n0\r\n\r\n", b"abc") for m in MESSAGES[proto]]  # what chunks hold
     assert all(first <= last for _, _, first, last in got) and not b.data
 
 
@@ -86,12 +86,67 @@ def test_long_http_bodies(spark, size, chunked):
     for at in range(0, len(message + after), 60_000):
         got.extend(b.feed("http", (message + after)[at : at + 60_000], at))
         assert len(b.data) + len(b.kept) < 250_000
-    assert [m[1] for m in got] == [len(message), len(after)] and got[1][0] == after
-    assert got[0][0] == message[: len(head) + 102_400]
-    if not chunked:
-        rows = spark.createDataFrame([(bytearray(got[0][0]), got[0][1])], "message binary, size bigint")
-        r = decoders.http(rows).select("status", "body_bytes", "body").first()
-        assert (r["status"], r["body_bytes"], r["body"]) == ("200", size, body[:102_400].decode())
+    assert [m[1] for m in got] == [len(head) + size, len(after)] and got[1][0] == after
+    assert got[0][0] == (head + body)[: len(head) + 102_400]
+    rows = spark.createDataFrame([(bytearray(got[0][0]), got[0][1])], "message binary, size bigint")
+    r = decoders.http(rows).select("status", "body_bytes", "body").first()
+    assert (r["status"], r["body_bytes"], r["body"]) == ("200", size, body[:102_400].decode())
+
+
+def test_chunks_with_trailers_and_small_segments():
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    data = head + b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\nA: b\r\n\r\n" + head + b"0\r\n\r\n"
+    for step in (1, 3, 1000):
+        b = Buffer()
+        got = [m for at in range(0, len(data), step) for m in b.feed("http", data[at : at + step], at)]
+        assert [m[:2] for m in got] == [(head + b"abcde", len(head) + 5), (head, len(head))]
+
+
+def test_fields_of_rare_messages(spark):
+    from wirelake.operators import decoders
+
+    def one(proto, message, role, *names):
+        rows = spark.createDataFrame([(bytearray(message), len(message), role)], "message binary, size bigint, role string")
+        return tuple(decoders.DECODERS[proto](rows).select(*names).first())
+
+    my = lambda body, n=0: len(body).to_bytes(3, "little") + bytes([n]) + body
+    assert one("mysql", my(b"\x02shop"), "Request", "command", "statement") == ("INIT_DB", "shop")
+    assert one("mysql", my(b"\x1f"), "Request", "command", "statement") == ("RESET_CONNECTION", None)
+    assert one("mysql", my(b"\xff\x28\x04#42000You have an error", 1), "Response", "error_code", "sql_state", "error") == (1064, "42000", "You have an error")
+    pg = lambda kind, body: kind + (len(body) + 4).to_bytes(4, "big") + body
+    assert one("postgresql", pg(b"E", b"SERROR\0VERROR\0C42P01\0Mrelation \"x\" does not exist\0\0"), "Response", "severity", "error_code", "error", "packet_kind") == ("ERROR", "42P01", 'relation "x" does not exist', "ErrorResponse")
+    assert one("redis", b"*3\r\n$6\r\nconfig\r\n$3\r\nget\r\n$1\r\n*\r\n", "Request", "command") == ("CONFIG GET",)
+    assert one("redis", b"*2\r\n$3\r\nget\r\n$3\r\nget\r\n", "Request", "command") == ("GET",)
+    assert one("redis", b"-WRONGTYPE no\r\n", "Response", "data_type", "error") == ("Error", "WRONGTYPE no")
+    short = lambda x: bytes([len(x)]) + x
+    am = lambda cls, method, body: b"\1\0\7" + (len(body) + 4).to_bytes(4, "big") + cls.to_bytes(2, "big") + method.to_bytes(2, "big") + body + b"\xce"
+    names = ("class_method", "exchange", "routing_key", "queue_name", "error_code", "error")
+    assert one("amqp", am(50, 10, b"\0\0" + short(b"jobs") + b"\0\0\0\0\0"), "Request", *names) == ("Queue.Declare", None, None, "jobs", None, None)
+    assert one("amqp", am(50, 20, b"\0\0" + short(b"jobs") + short(b"ex") + short(b"key")), "Request", *names) == ("Queue.Bind", "ex", "key", "jobs", None, None)
+    assert one("amqp", am(60, 60, short(b"tag") + bytes(9) + short(b"ex") + short(b"key")), "Response", *names) == ("Basic.Deliver", "ex", "key", None, None, None)
+    assert one("amqp", am(60, 71, bytes(9) + short(b"ex") + short(b"key")), "Response", *names) == ("Basic.Get-Ok", "ex", "key", None, None, None)
+    assert one("amqp", am(60, 50, b"\x01\x38" + short(b"NO_ROUTE") + short(b"ex") + short(b"key")), "Response", *names) == ("Basic.Return", "ex", "key", None, 312, "NO_ROUTE")
+    assert one("amqp", am(20, 40, b"\x01\x94" + short(b"gone") + bytes(4)), "Response", *names) == ("Channel.Close", None, None, None, 404, "NOT_FOUND")
+    assert one("amqp", b"\2\0\7\0\0\0\x0e\0\x3c\0\0" + (5_000_000_000).to_bytes(8, "big") + b"\0\0\xce", "Request", "frame_kind", "body_size") == ("Header", 5_000_000_000)
+    ka = lambda code: (8).to_bytes(4, "big") + bytes(4) + code.to_bytes(2, "big", signed=True) + bytes(2)
+    assert [one("kafka", ka(c), "Response", "error")[0] for c in (-1, 0, 3, 36, 106, 999)] == ["UnknownServerError", "NoError", "UnknownTopicOrPartition", "TopicAlreadyExists", "FetchSessionTopicIDError", "999"]
+
+
+def test_sizes_of_name_tables():
+    from wirelake.functions import names as n
+
+    assert [len(t) for t in (n.KAFKA_APIS, n.KAFKA_ERRORS, n.AMQP_CLASSES, n.AMQP_ERRORS, n.MYSQL_COMMANDS, n.MONGO_OPCODES, n.DNS_TYPES, n.DNS_CLASSES, n.DNS_RCODES, n.DNS_OPERATIONS)] == [64, 108, 7, 12, 31, 10, 9, 5, 6, 3]
+    assert sum(map(len, n.AMQP_METHODS.values())) == 55 and len(n.POSTGRES_CLIENT) + len(n.POSTGRES_SERVER) == 33
+
+
+def test_statements_of_binds(spark):
+    from wirelake.operators import decoders
+
+    pg = lambda kind, body: bytearray(kind + (len(body) + 4).to_bytes(4, "big") + body)
+    sent = [pg(b"P", b"a\0select 1\0\0\0"), pg(b"B", b"\0a\0\0\0"), pg(b"P", b"a\0select 2\0\0\0"), pg(b"P", b"b\0select 3\0\0\0"), pg(b"B", b"\0a\0\0\0"), pg(b"B", b"\0c\0\0\0")]
+    rows = spark.createDataFrame([(1, k, m, len(m), "Request") for k, m in enumerate(sent)], "conn int, first_ns bigint, message binary, size bigint, role string")
+    got = decoders.postgresql_statements(rows).where("command = 'Bind'").orderBy("first_ns").select("statement").collect()
+    assert [r[0] for r in got] == ["select 1", "select 2", None]
 
 
 def test_mysql_counts_of_all_widths(spark):
@@ -180,6 +235,16 @@ def test_stream_counter(spark, tmp_path):
     assert sum(r["value"] for r in spark.table("counted").collect()) == 100
 
 
+def test_watch_ends_at_its_limit_or_when_idle(spark, tmp_path):
+    from wirelake.streaming.operations import watch
+
+    spark.range(30).selectExpr("id AS k").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("k bigint").parquet(str(tmp_path / "in"))
+    assert len(watch(stream(), most=7, idle_seconds=30)) == 7
+    lines = watch(stream(), most=100, idle_seconds=8)
+    assert sorted(lines) == sorted(f'{{"k":{k}}}' for k in range(30))
+
+
 def test_header_compression():
     from wirelake.operators.hpack import Decoder, Headers
 
@@ -195,6 +260,17 @@ def test_header_compression():
     assert h.feed(frame(1, 4, b"\xff\xff\xff")) is None
 
 
+def test_huffman_codes_of_all_bytes():
+    from wirelake.operators import hpack
+
+    code = {c: (n, v) for (n, v), c in hpack.CODES.items()}
+    assert sorted(code) == list(range(256)) and sum(2.0**-n for n, _ in code.values()) + 2.0**-30 == 1
+    text = bytes(range(128)) + "äß€".encode()
+    bits = "".join(f"{code[c][1]:0{code[c][0]}b}" for c in text)
+    bits += "1" * (-len(bits) % 8)
+    assert hpack.huffman(int(bits, 2).to_bytes(len(bits) // 8, "big")) == text.decode()
+
+
 def test_dns_data_formats():
     from wirelake.operators.decoders import _dns_sections
 

@@ -1,7 +1,7 @@
 """What protocol messages say, as column expressions on their bytes.
 
 Each function adds the protocol's fields to rows with ``message`` (its first bytes), ``size`` and ``role``, as request_* and response_* parts of one flat row; fields of the
-other role are null. The lookup tables hold the names that the public protocol specifications give to numbers.
+other role are null. Names of numbers are in ``functions.names``.
 """
 
 from __future__ import annotations
@@ -13,10 +13,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import (
+    AMQP_CLASSES,
+    AMQP_ERRORS,
+    AMQP_METHODS,
+    DNS_CLASSES,
+    DNS_OPERATIONS,
+    DNS_RCODES,
+    DNS_TYPES,
+    HTTP2_FRAMES,
+    KAFKA_APIS,
+    KAFKA_ERRORS,
+    MONGO_CODES,
+    MONGO_OPCODES,
+    MYSQL_COMMANDS,
+    POSTGRES_CLIENT,
+    POSTGRES_SERVER,
+    REDIS_CONTAINERS,
+    REDIS_TYPES,
+)
+from ..functions.names import look_up as _name
 from ..sources.pcap import uint
 
 
-
 def _m() -> Column:
     return F.col("message")
 
@@ -27,40 +46,28 @@ def _text(at: Column | int, size: Column | int) -> Column:
     return F.decode(F.substring(_m(), (at + 1).cast("int"), size.cast("int")), "UTF-8")
 
 
-def _name(of: Column, table: dict[int, str]) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[of.cast("int")], of.cast("string"))
-
-
 def _is(role: str) -> Column:
     return F.col("role") == role
 
 
-#: Fixed values, from the protocol's registries.
-DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV"}
-DNS_RCODES = {0: "Success", 1: "FormatError", 2: "ServerFailure", 3: "NameError", 4: "NotImplemented", 5: "Refused"}
-MYSQL_COMMANDS = {1: "QUIT", 2: "INIT_DB", 3: "QUERY", 4: "FIELD_LIST", 5: "CREATE_DB", 6: "DROP_DB", 7: "REFRESH", 8: "SHUTDOWN", 9: "STATISTICS", 10: "PROCESS_INFO", 12: "PROCESS_KILL", 13: "DEBUG", 14: "PING", 17: "CHANGE_USER", 22: "STMT_PREPARE", 23: "STMT_EXECUTE", 24: "STMT_SEND_LONG_DATA", 25: "STMT_CLOSE", 26: "STMT_RESET", 27: "SET_OPTION", 28: "STMT_FETCH"}
-MONGO_OPCODES = {1: "REPLY", 2001: "UPDATE", 2002: "INSERT", 2004: "QUERY", 2005: "GET_MORE", 2006: "DELETE", 2007: "KILL_CURSORS", 2012: "COMPRESSED", 2013: "MSG"}
-KAFKA_APIS = {0: "Produce", 1: "Fetch", 2: "ListOffsets", 3: "Metadata", 8: "OffsetCommit", 9: "OffsetFetch", 10: "FindCoordinator", 11: "JoinGroup", 12: "Heartbeat", 13: "LeaveGroup", 14: "SyncGroup", 15: "DescribeGroups", 16: "ListGroups", 17: "SaslHandshake", 18: "ApiVersions", 19: "CreateTopics", 20: "DeleteTopics", 22: "InitProducerId", 36: "SaslAuthenticate"}
-AMQP_CLASSES = {10: "Connection", 20: "Channel", 40: "Exchange", 50: "Queue", 60: "Basic", 85: "Confirm", 90: "Tx"}
-AMQP_BASIC = {10: "Qos", 11: "Qos-Ok", 20: "Consume", 21: "Consume-Ok", 30: "Cancel", 31: "Cancel-Ok", 40: "Publish", 50: "Return", 60: "Deliver", 70: "Get", 71: "Get-Ok", 72: "Get-Empty", 80: "Ack", 90: "Reject", 120: "Nack"}
-HTTP2_FRAMES = {0: "DATA", 1: "HEADERS", 2: "PRIORITY", 3: "RST_STREAM", 4: "SETTINGS", 5: "PUSH_PROMISE", 6: "PING", 7: "GOAWAY", 8: "WINDOW_UPDATE", 9: "CONTINUATION"}
-POSTGRES_REQUESTS = {"Q": "Query", "P": "Parse", "B": "Bind", "D": "Describe", "E": "Execute", "C": "Close", "S": "Sync", "X": "Terminate", "H": "Flush", "p": "Password"}
-REDIS_TYPES = {"*": "Array", "$": "BulkString", "+": "SimpleString", "-": "Error", ":": "Integer"}
+def _dns_question(messages: pd.Series) -> pd.DataFrame:
+    """The question's name and where its end is, a batch of messages at a time: labels are as many as a message has, which expressions could only follow in steps of a fixed
+    number. A name ends at an empty label, at what is none, or with the message."""
+    names, ends = [], []
+    for b in messages:
+        at, labels = 12, []
+        while b is not None and at < len(b) and 0 < b[at] < 64:
+            labels.append(bytes(b[at + 1 : at + 1 + b[at]]).decode("utf-8", "replace"))
+            at += b[at] + 1
+        names.append("".join(x + "." for x in labels))
+        ends.append(at)
+    return pd.DataFrame({"name": names, "at": ends})
 
 
 def dns(rows: DataFrame) -> DataFrame:
-    """key (the id), question, question_type, status, answers."""
+    """key (the id), question, its type and class, operation, status, answers."""
     flags = uint(_m(), 2, 2)
-    # Labels of the question's name: at each step the position, the name so far and whether its end was met.
-    start = F.struct(F.lit(12).cast("bigint").alias("at"), F.lit("").alias("name"), F.lit(False).alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        n = uint(_m(), s["at"].cast("int"), 1)
-        end = s["done"] | n.isNull() | (n == 0) | (n >= 64)
-        return F.struct(F.when(end, s["at"]).otherwise(s["at"] + n + 1).alias("at"), F.when(end, s["name"]).otherwise(F.concat(s["name"], _text(s["at"] + 1, n), F.lit("."))).alias("name"), end.alias("done"))
-
-    name = F.aggregate(F.sequence(F.lit(1), F.lit(128)), start, step)
-    df = rows.withColumn("_q", name)
+    df = rows.withColumn("_q", F.pandas_udf(_dns_question, "name string, at int")(_m()))
     kind = uint(_m(), (F.col("_q.at") + 1).cast("int"), 2)
     return df.withColumns(
         {
@@ -68,6 +75,8 @@ def dns(rows: DataFrame) -> DataFrame:
             "role": F.when(flags.bitwiseAND(0x8000) == 0, "Request").otherwise("Response"),
             "question": F.col("_q.name"),
             "question_type": _name(kind, DNS_TYPES),
+            "question_class": _name(uint(_m(), (F.col("_q.at") + 3).cast("int"), 2), DNS_CLASSES),
+            "operation": _name(F.shiftright(flags, 11).bitwiseAND(15), DNS_OPERATIONS),
             "status": F.when(flags.bitwiseAND(0x8000) != 0, _name(flags.bitwiseAND(15), DNS_RCODES)),
             "answers": uint(_m(), 6, 2),
         }
@@ -152,11 +161,20 @@ def dns_records(rows: DataFrame) -> DataFrame:
 
 
 def redis(rows: DataFrame) -> DataFrame:
-    """command (the first word of a request, in capitals), data_type of a response."""
-    text = F.decode(F.substring(_m(), 1, 256), "UTF-8")
-    first = F.regexp_extract(text, r"^\*\d+\r\n\$\d+\r\n([^\r\n]{1,64})", 1)
+    """command of a request (its first word in capitals, with the second one where the command is a container of others), data_type of a response, error of one that is."""
+    text = F.decode(F.substring(_m(), 1, 256), "ISO-8859-1")
+    word = r"\$\d+\r\n([A-Za-z][A-Za-z0-9._-]{0,63})\r\n"
+    first = F.upper(F.regexp_extract(text, r"^\*\d+\r\n" + word, 1))
+    second = F.upper(F.regexp_extract(text, r"^\*\d+\r\n\$\d+\r\n[^\r\n]*\r\n" + word, 1))
+    command = F.when(first.isin(*REDIS_CONTAINERS) & (second != ""), F.concat_ws(" ", first, second)).otherwise(F.nullif(first, F.lit("")))
     kind = F.create_map(*[F.lit(x) for kv in REDIS_TYPES.items() for x in kv])[F.substring(text, 1, 1)]
-    return rows.withColumns({"command": F.when(_is("Request"), F.nullif(F.upper(first), F.lit(""))), "data_type": F.when(_is("Response"), kind)})
+    return rows.withColumns(
+        {
+            "command": F.when(_is("Request"), command),
+            "data_type": F.when(_is("Response"), kind),
+            "error": F.when(_is("Response") & text.startswith("-"), F.regexp_extract(text, r"^-([^\r\n]*)", 1)),
+        }
+    )
 
 
 def http(rows: DataFrame) -> DataFrame:
@@ -193,15 +211,21 @@ def _counted(at: int) -> Column:
 
 
 def mysql(rows: DataFrame) -> DataFrame:
-    """command and statement of requests; packet_kind, affected_rows or error_code of responses."""
+    """command and statement of requests (line feeds as blanks; none for commands whose bytes are no text); packet_kind, affected_rows, error_code, sql_state or error text
+    of responses."""
     code = uint(_m(), 4, 1)
+    said = F.translate(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\n", " ")
+    failed = _is("Response") & (code == 255)
+    state = F.decode(F.substring(_m(), 8, 6), "ISO-8859-1").rlike("^#[0-9A-Z]{5}$")
     return rows.withColumns(
         {
             "command": F.when(_is("Request"), _name(code, MYSQL_COMMANDS)),
-            "statement": F.when(_is("Request") & code.isin(2, 3, 22), F.translate(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\n", " ")),
+            "statement": F.when(_is("Request") & ~code.isin(5, 10, 13) & (F.col("size") > 5), said),
             "packet_kind": F.when(_is("Response"), F.when(code == 0, "OK").when(code == 255, "ERR").when(code == 254, "EOF").otherwise("ResultSet")),
             "affected_rows": F.when(_is("Response") & (code == 0), _counted(5)),
-            "error_code": F.when(_is("Response") & (code == 255), uint(_m(), 5, 2, little=True)),
+            "error_code": F.when(failed, uint(_m(), 5, 2, little=True)),
+            "sql_state": F.when(failed & state, _text(8, 5)),
+            "error": F.when(failed, F.when(state, _text(13, F.least(F.lit(256), F.col("size") - 13))).otherwise(_text(7, F.least(F.lit(256), F.col("size") - 7)))),
         }
     )
 
@@ -220,7 +244,7 @@ def mysql_exchanges(rows: DataFrame, connection: str = "conn") -> DataFrame:
     df = df.withColumns({"_end": end.cast("int"), "_ends": F.sum(end.cast("int")).over(answer)})
     first = lambda c: F.min_by(c, F.struct("first_ns", uint(_m(), 3, 1))).alias(c)
     out = df.groupBy(connection, "role", "_answer").agg(
-        *[first(c) for c in ("command", "statement", "packet_kind", "affected_rows", "error_code")],
+        *[first(c) for c in ("command", "statement", "packet_kind", "affected_rows", "error_code", "sql_state", "error")],
         F.count_if((F.col("_ends") == 1) & (F.col("_end") == 0)).alias("_rows"),
         F.sum("size").alias("size"),
         F.min("first_ns").alias("first_ns"),
@@ -230,24 +254,40 @@ def mysql_exchanges(rows: DataFrame, connection: str = "conn") -> DataFrame:
 
 
 def postgresql(rows: DataFrame) -> DataFrame:
-    """command and statement of requests; packet_kind, tag and affected_rows of responses."""
+    """command of requests, statement of queries and parses, the name a prepared statement has in parses and binds; packet_kind of responses, tag and affected_rows of
+    completions, severity, error_code and error of errors."""
     kind = F.decode(F.substring(_m(), 1, 1), "ISO-8859-1")
-    body = F.decode(F.substring(_m(), 6, 1024), "ISO-8859-1")
-    zero = F.lit("\0")
-    tag = F.substring_index(body, "\0", 1)
+    parts = F.split(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\0")
+    latin = F.decode(F.substring(_m(), 6, 1024), "ISO-8859-1")
+    asked, answered = (lambda *k: _is("Request") & kind.isin(*k)), (lambda *k: _is("Response") & kind.isin(*k))
+    tag = F.substring_index(latin, "\0", 1)
+    part = lambda letter: F.when(answered("E"), F.regexp_extract(F.concat(F.lit("\0"), latin), f"\0{letter}([^\0]*)", 1))
     return rows.withColumns(
         {
-            "command": F.when(_is("Request"), F.create_map(*[F.lit(x) for kv in POSTGRES_REQUESTS.items() for x in kv])[kind]),
-            "statement": F.when(_is("Request") & (kind == "Q"), F.substring_index(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\0", 1)).when(_is("Request") & (kind == "P"), F.split_part(_text(5, F.least(F.lit(1024), F.col("size") - 5)), zero, F.lit(2))),
-            "packet_kind": F.when(_is("Response"), F.when(kind == "C", "CommandComplete").when(kind == "E", "Error").when(kind == "Z", "Ready").otherwise(kind)),
-            "tag": F.when(_is("Response") & (kind == "C"), F.substring_index(tag, " ", 1)),
-            "affected_rows": F.when(_is("Response") & (kind == "C"), F.try_to_number(F.regexp_extract(tag, r" (\d+)$", 1), F.lit("999999999999")).cast("bigint")),
+            "command": F.when(_is("Request"), _name(kind, POSTGRES_CLIENT)),
+            "statement": F.when(asked("Q"), F.get(parts, F.lit(0))).when(asked("P"), F.get(parts, F.lit(1))),
+            "prepared": F.when(asked("P"), F.get(parts, F.lit(0))).when(asked("B"), F.split_part(latin, F.lit("\0"), F.lit(2))),
+            "packet_kind": F.when(_is("Response"), _name(kind, POSTGRES_SERVER)),
+            "tag": F.when(answered("C"), F.substring_index(tag, " ", 1)),
+            "affected_rows": F.when(answered("C"), F.try_to_number(F.regexp_extract(tag, r" (\d+)$", 1), F.lit("999999999999")).cast("bigint")),
+            "severity": part("S"),
+            "error_code": part("C"),
+            "error": part("M"),
         }
     )
 
 
+def postgresql_statements(rows: DataFrame, connection: str = "conn") -> DataFrame:
+    """As postgresql, with the statement of binds: that of the last parse of the same name before them in the connection."""
+    df = postgresql(rows)
+    before = Window.partitionBy(connection, "role", "prepared").orderBy("first_ns").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("command") == "Parse", F.col("statement")), ignorenulls=True).over(before)
+    return df.withColumn("statement", F.coalesce("statement", F.when(F.col("command") == "Bind", last)))
+
+
 def mongodb(rows: DataFrame) -> DataFrame:
-    """key (request id, or the id answered), opcode; command, command_value (where it is a text) and source of messages; ok and code of answers.
+    """key (request id, or the id answered), opcode; command, command_value (where it is a text, as a collection's name is) and source of messages; ok, code and its name of
+    answers.
 
     All of the body section that framing keeps is searched.
     """
@@ -266,12 +306,13 @@ def mongodb(rows: DataFrame) -> DataFrame:
             "source": F.when(answers == 0, found(r"\x02\$db\x00.{4}([^\x00]+)\x00")),
             "ok": F.when(answers != 0, F.coalesce(F.when(double("ok") == "000000000000F03F", 1).when(double("ok") == "0" * 16, 0), number("ok"))),
             "code": F.when(answers != 0, number("code")),
+            "code_name": F.when(answers != 0, _name(number("code"), MONGO_CODES)),
         }
     )
 
 
 def kafka(rows: DataFrame) -> DataFrame:
-    """key (correlation id), api, version, client_id of requests, topic or group_id where it is the request's first name, error_code of responses."""
+    """key (correlation id), api, version, client_id of requests, topic or group_id where it is the request's first name, error_code and its name of responses."""
     size = uint(_m(), 12, 2)
     after = F.lit(14) + F.when(size == 0xFFFF, 0).otherwise(size)
     # Where the first name stands after the client's id: requests to the group coordinator begin with the group; older fetches and offset lists have fixed fields, then the
@@ -289,24 +330,40 @@ def kafka(rows: DataFrame) -> DataFrame:
             "group_id": F.when(grouped, first(after)),
             "topic": F.when(_is("Request") & skip.isNotNull(), first(after + skip)),
             "error_code": F.when(_is("Response"), uint(_m(), 8, 2)),
+            "error": F.when(_is("Response"), _name(F.when(uint(_m(), 8, 2) > 32767, uint(_m(), 8, 2) - 65536).otherwise(uint(_m(), 8, 2)), KAFKA_ERRORS)),
         }
     )
 
 
 def amqp(rows: DataFrame) -> DataFrame:
-    """channel, frame_kind, class and method of method frames, routing of publishes."""
-    method = uint(_m(), 0, 1) == 1
-    cls, number = uint(_m(), 7, 2), uint(_m(), 9, 2)
-    exchange = uint(_m(), 13, 1)
-    publish = method & (cls == 60) & (number == 40)
+    """channel and frame_kind; class, method and both joined of method frames, with the names of exchange, routing key and queue that the method has among its first
+    arguments, and the error of closes and returns; body_size of content headers."""
+    frame, cls, number = uint(_m(), 0, 1), uint(_m(), 7, 2), uint(_m(), 9, 2)
+    method = frame == 1
+    names = F.create_map(*[F.lit(x) for c, own in AMQP_METHODS.items() for n, name in own.items() for x in (c << 16 | n, name)])
+    name = F.coalesce(names[F.shiftleft(cls, 16).bitwiseOR(number).cast("int")], number.cast("string"))
+    is_ = lambda c, *n: method & (cls == c) & number.isin(*n)
+    # Short texts follow one another: each is a byte with its length and as many bytes. Two bytes are reserved before them, in a return there is the reply code.
+    skip = F.when(is_(60, 60), F.lit(0)).when(is_(60, 71), F.lit(9)).otherwise(F.lit(2)) + 11
+    text, at = [], skip
+    for k in range(3):
+        # After its consumer's tag, a delivery has a number and a flag.
+        text.append(_text((at + 1).cast("int"), uint(_m(), at.cast("int"), 1)))
+        at = at + 1 + uint(_m(), at.cast("int"), 1) + (F.when(is_(60, 60), 9).otherwise(0) if k == 0 else 0)
+    code = F.when(is_(60, 50) | is_(10, 50) | is_(20, 40), uint(_m(), 11, 2))
     return rows.withColumns(
         {
             "channel": uint(_m(), 1, 2),
-            "frame_kind": F.when(method, "Method").when(uint(_m(), 0, 1) == 2, "Header").when(uint(_m(), 0, 1) == 3, "Body").when(uint(_m(), 0, 1) == 8, "Heartbeat"),
+            "frame_kind": F.when(method, "Method").when(frame == 2, "Header").when(frame == 3, "Body").when(frame == 8, "Heartbeat"),
             "class": F.when(method, _name(cls, AMQP_CLASSES)),
-            "method": F.when(method & (cls == 60), _name(number, AMQP_BASIC)).when(method, number.cast("string")),
-            "exchange": F.when(publish, _text(14, exchange)),
-            "routing_key": F.when(publish, _text(F.lit(15) + exchange, uint(_m(), (F.lit(14) + exchange).cast("int"), 1))),
+            "method": F.when(method, name),
+            "class_method": F.when(method, F.concat_ws(".", _name(cls, AMQP_CLASSES), name)),
+            "exchange": F.when(is_(40, 10, 20) | is_(60, 40, 71), text[0]).when(is_(50, 20, 50) | is_(60, 50, 60), text[1]),
+            "routing_key": F.when(is_(60, 40, 71), text[1]).when(is_(50, 20, 50) | is_(60, 50, 60), text[2]),
+            "queue_name": F.when(is_(50, 10, 20, 30, 40, 50) | is_(60, 20, 70), text[0]),
+            "error_code": code,
+            "error": F.when(code.isNotNull(), _name(code, AMQP_ERRORS, F.lit("Unknown"))),
+            "body_size": F.when(frame == 2, F.shiftleft(uint(_m(), 11, 4), 32).bitwiseOR(uint(_m(), 15, 4))),
         }
     )
 

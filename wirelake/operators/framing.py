@@ -21,6 +21,8 @@ MOST = 16 << 20
 KEPT = 65_536
 #: Bytes after the head that are kept of an HTTP message.
 BODY = 102_400
+#: Longest line between chunks.
+LINE = 65_536
 #: What a client says first in HTTP/2 and AMQP.
 PREFACE_HTTP2, PREFACE_AMQP = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n", b"AMQP"
 
@@ -113,7 +115,7 @@ class Buffer:
     most: int = 0
     size: int = 0
     left: int = 0
-    chunked: bool = False
+    chunked: str = ""  # of a message in chunks, what follows: "size" line, the "end" of a chunk, or "trailer" lines
 
     def feed(self, proto: str, payload: bytes, ns: int) -> Iterator[tuple[bytes, int, int, int]]:
         """(kept bytes, size, first time, last time) of the messages that this segment completes."""
@@ -128,7 +130,7 @@ class Buffer:
             self.first_ns = ns
 
     def _reset(self) -> None:
-        self.kept, self.most, self.size, self.left, self.chunked = bytearray(), 0, 0, 0, False
+        self.kept, self.most, self.size, self.left, self.chunked = bytearray(), 0, 0, 0, ""
 
     def _open(self, proto: str) -> bool:
         n = LENGTH[proto](bytes(self.data))
@@ -136,7 +138,7 @@ class Buffer:
             return False
         if isinstance(n, tuple):
             head, body = n
-            self.most, self.left, self.chunked = head + BODY, head + (body or 0), body is None
+            self.most, self.left, self.chunked = head + BODY, head + (body or 0), "size" if body is None else ""
             return True
         if n is None or n <= 0 or n > MOST:
             self.data.clear()
@@ -145,7 +147,7 @@ class Buffer:
         return True
 
     def _read(self) -> bool:
-        """Whether the open message is complete."""
+        """Whether the open message is complete. Of a body in chunks only what they hold is kept and counted."""
         while True:
             n = min(self.left, len(self.data))
             self.kept += self.data[: min(n, max(0, self.most - len(self.kept)))]
@@ -156,18 +158,23 @@ class Buffer:
             if not self.chunked:
                 return True
             stop = self.data.find(b"\r\n")
-            if stop < 0 and len(self.data) <= MOST:
+            if stop < 0 and len(self.data) <= LINE:
                 return False
-            digits = bytes(self.data[: max(stop, 0)]).split(b";")[0].strip()
-            try:
-                size = int(digits, 16) if digits.isalnum() else -1
-            except ValueError:
-                size = -1
-            if size < 0:
+            line = bytes(self.data[: max(stop, 0)])
+            if self.chunked == "size":
+                digits = line.split(b";")[0].strip()
+                try:
+                    self.left = int(digits, 16) if digits.isalnum() else -1
+                except ValueError:
+                    self.left = -1
+            if self.left < 0 or stop < 0 or self.chunked == "end" and line:
                 self.data.clear()
                 self._reset()
                 return False
-            self.left, self.chunked = stop + 2 + size + 2, size > 0
+            del self.data[: stop + 2]
+            if self.chunked == "trailer" and not line:
+                return True
+            self.chunked = {"size": "end" if self.left else "trailer", "end": "size", "trailer": "trailer"}[self.chunked]
 
 
 def messages(segments: DataFrame, stream: Sequence[str], order: Sequence[str]) -> DataFrame:

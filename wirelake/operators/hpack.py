@@ -13,26 +13,35 @@ STATIC = [
         "strict-transport-security transfer-encoding user-agent vary via www-authenticate"
     ).split()),
 ]
-#: Characters by the length of their Huffman code. Codes count on within a length and are shifted on to the next, so the lengths give them. Characters beyond
-#: ASCII and control characters have codes of 19 bits and more, of which the first three are here; a string that holds others cannot be read.
+#: Bytes by the length of their Huffman code. Codes count on within a length and are shifted on to the next, so the lengths give them.
 LENGTHS = {
-    5: "012aceiost",
-    6: " %-./3456789=A_bdfghlmnpru",
-    7: ":BCDEFGHIJKLMNOPQRSTUVWYjkqvwxyz",
-    8: "&*,;XZ",
-    10: '!"()?',
-    11: "'+|",
-    12: "#>",
-    13: "\0$@[]~",
-    14: "^}",
-    15: "<`{",
-    19: "\\\xc3\xd0",
+    5: b"012aceiost",
+    6: b" %-./3456789=A_bdfghlmnpru",
+    7: b":BCDEFGHIJKLMNOPQRSTUVWYjkqvwxyz",
+    8: b"&*,;XZ",
+    10: b'!"()?',
+    11: b"'+|",
+    12: b"#>",
+    13: b"\x00$@[]~",
+    14: b"^}",
+    15: b"<`{",
+    19: b"\\\xc3\xd0",
+    20: b"\x80\x82\x83\xa2\xb8\xc2\xe0\xe2",
+    21: b"\x99\xa1\xa7\xac\xb0\xb1\xb3\xd1\xd8\xd9\xe3\xe5\xe6",
+    22: b"\x81\x84\x85\x86\x88\x92\x9a\x9c\xa0\xa3\xa4\xa9\xaa\xad\xb2\xb5\xb9\xba\xbb\xbd\xbe\xc4\xc6\xe4\xe8\xe9",
+    23: b"\x01\x87\x89\x8a\x8b\x8c\x8d\x8f\x93\x95\x96\x97\x98\x9b\x9d\x9e\xa5\xa6\xa8\xae\xaf\xb4\xb6\xb7\xbc\xbf\xc5\xe7\xef",
+    24: b"\t\x8e\x90\x91\x94\x9f\xab\xce\xd7\xe1\xec\xed",
+    25: b"\xc7\xcf\xea\xeb",
+    26: b"\xc0\xc1\xc8\xc9\xca\xcd\xd2\xd5\xda\xdb\xee\xf0\xf2\xf3\xff",
+    27: b"\xcb\xcc\xd3\xd4\xd6\xdd\xde\xdf\xf1\xf4\xf5\xf6\xf7\xf8\xfa\xfb\xfc\xfd\xfe",
+    28: bytes([*range(2, 9), 11, 12, *range(14, 22), *range(23, 32), 127, 220, 249]),
+    30: b"\n\r\x16",
 }
 #: Dynamic tables do not grow beyond what a receiver may announce within reason.
 MOST = 65_536
 
 
-def _codes() -> dict[tuple[int, int], str]:
+def _codes() -> dict[tuple[int, int], int]:
     out, code, last = {}, 0, 0
     for size, chars in LENGTHS.items():
         code <<= size - last
@@ -51,7 +60,7 @@ class Unreadable(ValueError):
 
 
 def huffman(data: bytes) -> str:
-    out, code, size = [], 0, 0
+    out, code, size = bytearray(), 0, 0
     for byte in data:
         for k in range(7, -1, -1):
             code, size = code << 1 | byte >> k & 1, size + 1
@@ -59,11 +68,11 @@ def huffman(data: bytes) -> str:
             if c is not None:
                 out.append(c)
                 code = size = 0
-            elif size > 19:
-                raise Unreadable("a rare character")
+            elif size >= 30:
+                raise Unreadable("the end's own code")
     if size > 7 or code != (1 << size) - 1:
         raise Unreadable("bad padding")
-    return "".join(out)
+    return out.decode("utf-8", "replace")
 
 
 class Decoder:

@@ -26,6 +26,11 @@ LABELS = {
     "kafka": {"api": "request.api", "version": "request.version"},
     "amqp": {"queue_name": "request.queue_name", "class": "request.class", "method": "request.method"},
 }
+#: Metrics that some protocols have besides the common ones, with model, unit and field; a round trip without the field has none.
+EXTRA = {
+    "mysql": (("mysql_response_affected_rows", "counter", "", "affected_rows"), ("mysql_response_resultset_rows", "counter", "", "returned_rows")),
+    "postgresql": (("postgresql_response_affected_rows", "counter", "", "affected_rows"),),
+}
 #: Labels that every protocol may carry.
 COMMON_LABELS = {"client.address": "client_address", "client.port": "client_port", "server.address": "server_address", "server.port": "server_port"}
 
@@ -48,6 +53,29 @@ def unpivot(trips: DataFrame, proto: str, label_array: Column, secs: Column, req
     return trips.select("ts", label_array.alias("labels"), F.inline(items)).where("value IS NOT NULL").select("ts", "name", "model", "unit", "labels", "value")
 
 
+def of_protocol(trips: DataFrame, proto: str, required: Sequence[str]) -> DataFrame:
+    """The metrics of round trips of a protocol, from columns named after the fields in ``LABELS`` and ``EXTRA``, and secs, req_bytes and rsp_bytes. ``required`` are the labels
+    that the configuration asks for, such as client.address or request.command; those of other protocols say nothing."""
+    fields = COMMON_LABELS | {source: name for name, source in LABELS[proto].items()}
+    pairs = [(fields[r], F.col(r.split(".")[-1] if r not in COMMON_LABELS else COMMON_LABELS[r])) for r in required if r in fields]
+    extra = [(n, m, u, F.col(c)) for n, m, u, c in EXTRA.get(proto, ()) if c in trips.columns]
+    return unpivot(trips, proto, labels(pairs), F.col("secs"), F.col("req_bytes"), F.col("rsp_bytes"), extra)
+
+
+def dispatch(metrics: DataFrame, by: Sequence[str], log: bool = False) -> DataFrame:
+    """(by, part, value) of mixed metrics by their model: sums of counters (part is null), counts of histograms by bucket, whose bounds are logarithmic with ``log`` and else
+    those of the metric's unit, cumulative."""
+    keys = ["name", *by]
+    out = counter(metrics.where("model = 'counter'"), keys).select(*keys, F.lit(None).cast("string").alias("part"), F.col("value").cast("double").alias("value"))
+    seen = metrics.where("model = 'histogram'")
+    if log:
+        return out.unionByName(log_histogram(seen, keys, "value").select(*keys, F.col("vmrange").alias("part"), F.col("count").cast("double").alias("value")))
+    for unit in ("bytes", "seconds"):
+        h = histogram(seen.where(F.col("unit") == unit), keys, "value", unit)
+        out = out.unionByName(h.select(*keys, F.col("le").alias("part"), F.col("count").cast("double").alias("value")))
+    return out
+
+
 def counter(metrics: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     return metrics.groupBy(*by).agg(F.sum(value).alias("value"))
 
@@ -75,17 +103,28 @@ LOG_BUCKETS = (DECIMAL_HIGH - DECIMAL_LOW) * PER_DECIMAL
 LOWEST, HIGHEST = "0...1.000e-09", "1.000e+18...+Inf"
 
 
+def log_edge(bucket: float) -> float:
+    """Where a bucket begins."""
+    return 10.0 ** (DECIMAL_LOW + bucket / PER_DECIMAL)
+
+
 def log_ranges() -> list[str]:
-    """Names of the buckets; the edges come from repeated multiplication, as their text must."""
-    step = 10.0 ** (1.0 / PER_DECIMAL)
-    value = 10.0**DECIMAL_LOW
-    low, out = f"{value:.3e}", []
-    for _ in range(LOG_BUCKETS):
-        value *= step
-        high = f"{value:.3e}"
-        out.append(f"{low}...{high}")
-        low = high
-    return out
+    """Names of the buckets."""
+    return [f"{log_edge(k):.3e}...{log_edge(k + 1):.3e}" for k in range(LOG_BUCKETS)]
+
+
+def log_quantile(buckets: DataFrame, by: Sequence[str], q: float) -> DataFrame:
+    """(by, value) from logarithmic buckets (by, bucket, count): linear within the first that reaches q of the total. What is below the lowest edge lies between 0 and it, what is
+    beyond the highest at that."""
+    w = Window.partitionBy(*by)
+    df = buckets.withColumns({"_upto": F.sum("count").over(w.orderBy("bucket")), "_total": F.sum("count").over(w)})
+    rank = F.lit(q) * F.col("_total")
+    hit = df.where((F.col("_upto") >= rank) & (F.col("_upto") - F.col("count") < rank))
+    edge = lambda c: F.pow(F.lit(10.0), F.lit(float(DECIMAL_LOW)) + c / PER_DECIMAL)
+    low = F.when(F.col("bucket") < 0, 0.0).otherwise(edge(F.col("bucket")))
+    part = (rank - (F.col("_upto") - F.col("count"))) / F.col("count")
+    value = F.when(F.col("bucket") >= LOG_BUCKETS, edge(F.lit(float(LOG_BUCKETS)))).otherwise(low + (edge(F.col("bucket") + 1) - low) * part)
+    return hit.select(*by, value.alias("value"))
 
 
 def log_bucket(value: Column) -> Column:

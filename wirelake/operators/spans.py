@@ -54,24 +54,29 @@ def http_span(trips: DataFrame) -> DataFrame:
     )
 
 
-#: For each protocol the field that names its span, and the attributes with the fields they come from.
+#: For each protocol the field that names its span, what it is called under which attribute, and the attributes with the fields they come from.
 SPAN_FIELDS = {
-    "http2": ("method", {"http.request.method": "method", "http.response.status_code": "status", "url.full": "path"}),
-    "grpc": ("service", {"rpc.service": "service", "rpc.grpc.status_code": "status"}),
-    "dns": ("question", {"dns.question.type": "question_type", "dns.request.size": "req_bytes", "dns.response.size": "rsp_bytes"}),
-    "redis": ("command", {"db.operation.name": "command", "db.request.size": "req_bytes", "db.response.size": "rsp_bytes", "response.data_type": "data_type"}),
-    "mysql": ("command", {"db.operation.name": "command", "db.query.text": "statement", "db.response.affected_rows": "affected_rows", "db.response.returned_rows": "returned_rows"}),
-    "postgresql": ("command", {"db.operation.name": "command", "db.query.text": "statement", "db.response.affected_rows": "affected_rows"}),
-    "mongodb": ("command", {"db.query.text": "command_value", "db.namespace": "source", "db.response.status_code": "code", "db.response.ok": "ok"}),
-    "kafka": ("api", {"messaging.operation.name": "api", "messaging.operation.version": "version", "messaging.client.id": "client_id", "messaging.consumer.group.name": "group_id"}),
-    "amqp": ("class_method", {"messaging.operation.name": "class_method", "messaging.amqp.destination.routing_key": "routing_key", "messaging.amqp.destination.queue_name": "queue_name"}),
+    "http2": ("method", None, {"http.request.method": "method", "http.response.status_code": "status", "http.request.size": "req_bytes", "http.response.size": "rsp_bytes", "url.full": "path"}),
+    "grpc": ("service", None, {"rpc.service": "service", "rpc.grpc.status_code": "status", "rpc.request.size": "req_bytes", "rpc.response.size": "rsp_bytes"}),
+    "dns": ("question", None, {"dns.question.type": "question_type", "dns.request.size": "req_bytes", "dns.response.size": "rsp_bytes"}),
+    "redis": ("command", ("db.system.name", "redis"), {"db.operation.name": "command", "db.request.size": "req_bytes", "db.response.size": "rsp_bytes", "response.data_type": "data_type"}),
+    "mysql": ("command", ("db.system.name", "mysql"), {"db.operation.name": "command", "db.query.text": "statement", "db.request.size": "req_bytes", "db.response.size": "rsp_bytes", "db.response.affected_rows": "affected_rows", "db.response.returned_rows": "returned_rows", "error.type": "error", "error.code": "error_code", "error.sql_state": "sql_state"}),
+    "postgresql": ("command", ("db.system.name", "postgresql"), {"db.operation.name": "command", "db.query.text": "statement", "db.request.size": "req_bytes", "db.response.size": "rsp_bytes", "db.response.returned_rows": "affected_rows", "error.type": "severity", "error.code": "error_code", "error.sql_state": "error"}),
+    "mongodb": ("command", ("db.system.name", "mongodb"), {"db.operation.name": "command", "db.query.text": "command_value", "db.request.size": "req_bytes", "db.response.size": "rsp_bytes", "db.namespace": "source", "db.response.status_code": "code", "db.response.ok": "ok", "error.type": "code_name"}),
+    "kafka": ("api", ("messaging.name", "kafka"), {"messaging.operation.name": "api", "messaging.operation.version": "version", "messaging.client.id": "client_id", "messaging.consumer.group.name": "group_id", "messaging.message.body.size": "rsp_bytes", "error.type": "error"}),
+    "amqp": ("class_method", ("messaging.name", "amqp"), {"messaging.operation.name": "class_method", "messaging.amqp.destination.routing_key": "routing_key", "messaging.amqp.destination.queue_name": "queue_name", "error.type": "error"}),
 }
+#: Attributes of all protocols with the columns they come from.
+PEER_FIELDS = {"server.address": "server_address", "server.port": "server_port", "network.peer.address": "client_address", "network.peer.port": "client_port"}
 
 
 def span(trips: DataFrame, proto: str) -> DataFrame:
     """Spans of the protocols that carry no trace context, from columns named in ``SPAN_FIELDS``; fields that are null are left out."""
-    name, fields = SPAN_FIELDS[proto]
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in fields.items() if c in trips.columns])
+    name, system, fields = SPAN_FIELDS[proto]
+    values = [(k, F.col(c).cast("string")) for k, c in (fields | PEER_FIELDS).items() if c in trips.columns]
+    if system:
+        values.append((system[0], F.lit(system[1])))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values])
     seed = F.col("trip_id")
     return trips.select(
         F.col(name).alias("name"),

@@ -33,7 +33,7 @@ def load(data: Mapping) -> Settings:
     for name, steps in data.get("pipeline", {}).items():
         if not steps or (wrong := set(steps) - set(PROCESSORS)):
             raise ValueError(f"pipeline {name!r}: {'no processors' if not steps else f'unknown processors {sorted(wrong)}'}")
-    if wrong := set(data.get("labels", [])) - set(metrics.COMMON_LABELS):
+    if wrong := set(data.get("labels", [])) - set(metrics.COMMON_LABELS) - {x for own in metrics.LABELS.values() for x in own.values()}:
         raise ValueError(f"unknown labels: {sorted(wrong)}")
     return Settings(**{**data, "rules": rules})
 
@@ -48,20 +48,31 @@ def parse_rule(text: str) -> filters.Rule:
     return rule
 
 
-def to_metrics(trips: DataFrame, s: Settings) -> DataFrame:
-    common = {"client.address": "client", "client.port": "client_port", "server.address": "server", "server.port": "server_port"}
-    pairs = [(metrics.COMMON_LABELS[n], F.col(common[n])) for n in s.labels]
-    pairs += [("method", F.col("method")), ("status_code", F.col("status"))]
-    return metrics.unpivot(trips, "http", metrics.labels(pairs), F.col("secs"), F.col("req_bytes"), F.col("rsp_bytes"))
+#: Columns of round trips that hold what common labels ask for.
+ADDRESSES = {"client_address": "client", "client_port": "client_port", "server_address": "server", "server_port": "server_port"}
 
 
-def to_spans(trips: DataFrame, s: Settings) -> DataFrame:
-    return spans.http_span(trips)
+def to_metrics(trips: DataFrame, s: Settings, proto: str = "http") -> DataFrame:
+    """Metrics with the labels that the settings ask for; of HTTP, method and status besides."""
+    trips = trips.withColumns({k: F.col(c) for k, c in ADDRESSES.items() if k not in trips.columns and c in trips.columns})
+    if proto == "http":
+        trips = trips.withColumn("status_code", F.col("status"))
+    always = ["request.method", "response.status_code"] if proto == "http" else []
+    return metrics.of_protocol(trips, proto, [*s.labels, *(x for x in always if x not in s.labels)])
+
+
+def to_series(trips: DataFrame, s: Settings, proto: str = "http") -> DataFrame:
+    """Those metrics gathered into series by their model; histograms with the buckets that the settings ask for."""
+    return metrics.dispatch(to_metrics(trips, s, proto), ["labels"], s.log_histogram)
+
+
+def to_spans(trips: DataFrame, s: Settings, proto: str = "http") -> DataFrame:
+    return spans.http_span(trips) if proto == "http" else spans.span(trips, proto)
 
 
 PROCESSORS = {"roundtripstometrics": to_metrics, "roundtripstotraces": to_spans}
 
 
-def plan(trips: DataFrame, s: Settings) -> dict[tuple[str, str], DataFrame]:
-    """A DataFrame for each pipeline and processor."""
-    return {(name, step): PROCESSORS[step](trips, s) for name, steps in s.pipeline.items() for step in steps}
+def plan(trips: DataFrame, s: Settings, proto: str = "http") -> dict[tuple[str, str], DataFrame]:
+    """A DataFrame for each pipeline and processor, over round trips of one protocol."""
+    return {(name, step): PROCESSORS[step](trips, s, proto) for name, steps in s.pipeline.items() for step in steps}

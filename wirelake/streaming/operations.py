@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import filters
@@ -43,3 +45,23 @@ class SelfMetrics(StreamingQueryListener):
 
     def lines(self) -> list[str]:
         return [f"{name} {value:.6f}" for name, value in sorted(self.values.items())]
+
+
+def watch(rows: DataFrame, most: int = 100, idle_seconds: float = 5.0) -> list[str]:
+    """The next rows of a stream as JSON lines: at most ``most``, until none has come for ``idle_seconds``. Rows beyond that are passed over, as watching is lossy by design."""
+    seen: list[str] = []
+    last = [time.time()]
+
+    def keep(batch: DataFrame, _: int) -> None:
+        if len(seen) < most:
+            new = [r[0] for r in batch.select(F.to_json(F.struct("*"))).limit(most - len(seen)).collect()]
+            seen.extend(new)
+            last[0] = time.time() if new else last[0]
+
+    query = rows.writeStream.foreachBatch(keep).start()
+    try:
+        while query.isActive and len(seen) < most and time.time() - last[0] < idle_seconds:
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+    return seen
