@@ -53,3 +53,23 @@ def test_idle_gap_is_strict(spark):
 def test_connection_id_has_no_direction(spark):
     df = spark.createDataFrame([("a", 1, "b", 2), ("b", 2, "a", 1)], "src_ip string, src_port int, dst_ip string, dst_port int")
     assert df.select(l4.connection_id()).distinct().count() == 1
+
+
+def test_closing_epochs_of_two_directions(spark):
+    rng = random.Random(9)
+    conns = {c: [(rng.choice("lr"), rng.random() < 0.3) for _ in range(rng.randrange(1, 30))] for c in range(100)}
+    rows = [(c, i, d, f) for c, v in conns.items() for i, (d, f) in enumerate(v)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = l4.closing_epochs(spark.createDataFrame(rows, "conn int, i int, side string, fin boolean"), ["conn"], "side", ["i"])
+        got = {(r["conn"], r["i"]): (r["epoch"], r["refused"]) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c, v in conns.items():
+        epoch, open_ = 0, {"l": True, "r": True}
+        for i, (d, f) in enumerate(v):
+            assert got[c, i] == (epoch, not open_[d])
+            if not open_[d]:
+                epoch, open_ = epoch + 1, {"l": True, "r": True}
+            elif f:
+                open_[d] = False

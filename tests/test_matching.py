@@ -112,3 +112,19 @@ def test_bounded_carries_its_list_over_batches(spark):
         assert found(df, "req", "rsp") == {1: listed(s, 3, True), 2: listed(s, 3, True)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("size", [None, 4])
+def test_amqp_pairs_opposite_sides(spark, size):
+    rng = random.Random(4)
+    methods = ["Publish", "Ack", "Deliver", "Get", "Get-Ok"]
+    conns = {c: [(rng.choice("RS"), rng.randrange(3), rng.choice(methods)) for _ in range(rng.randrange(0, 25))] for c in range(150)}
+    rows = [(c, i, k, "Basic", m, "Request" if r == "R" else "Response") for c, s in conns.items() for i, (r, k, m) in enumerate(s)]
+    df = matching.amqp(spark.createDataFrame(rows, "conn int, seq int, channel int, class string, method string, role string"), ["conn"], ["seq"], ["seq"], size)
+    assert df.columns == ["conn", "channel", "class", "req_seq", "rsp_seq"]
+    got = found(df, "req_seq", "rsp_seq")
+    answers = lambda m: m.endswith("-Ok") or m == "Ack"
+    for c, s in conns.items():
+        keyed = [(r, (k, m.removesuffix("-Ok") if k == 0 else "")) for r, k, m in s]
+        want = listed(keyed, size or 10**6, True)
+        assert got.get(c, []) == sorted((b, a) if answers(s[a][2]) else (a, b) for a, b in want)

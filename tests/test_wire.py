@@ -1,7 +1,9 @@
 """Capture files, framing, sinks, configuration and streams."""
 
 import json
+import os
 import struct
+import time
 
 import pyarrow as pa
 import pytest
@@ -102,6 +104,61 @@ def test_chunks_with_trailers_and_small_segments():
         assert [m[:2] for m in got] == [(head + b"abcde", len(head) + 5), (head, len(head))]
 
 
+def test_long_redis_values_are_read_once():
+    value = b"v" * (20 << 20)
+    message = b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$%d\r\n%s\r\n" % (len(value), value)
+    b, got = Buffer(), []
+    for at in range(0, len(message) + 5, 60_000):
+        got.extend(b.feed("redis", (message + b"+OK\r\n")[at : at + 60_000], at))
+        assert len(b.data) + len(b.kept) < 250_000
+    assert [(m[0], m[1]) for m in got] == [(message[:65_536], len(message)), (b"+OK\r\n", 5)]
+
+
+def test_largest_mysql_packet():
+    b = Buffer()
+    message = b"\xff\xff\xff\0" + b"x" * 0xFFFFFF
+    got = [m[1] for at in range(0, len(message), 1 << 20) for m in b.feed("mysql", message[at : at + (1 << 20)], at)]
+    assert got == [len(message)]
+
+
+@pytest.mark.parametrize("status", [b"100 Continue", b"204 No Content", b"304 Not Modified"])
+def test_answers_without_a_body(status):
+    b = Buffer()
+    first = b"HTTP/1.1 " + status + b"\r\nContent-Length: 10\r\n\r\n"
+    assert [m[0] for m in b.feed("http", first + MESSAGES["http"][1], 1)] == [first, MESSAGES["http"][1]]
+
+
+def test_capture_stream_reads_late_files_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    eth = b"\0" * 12 + b"\x08\x00"
+
+    def put(name, port):
+        (tmp_path / name).write_bytes(capture([eth + ip4(6, tcp(port, 80, 1, b"x"))]))
+        os.utime(tmp_path / name, (time.time(), time.time() - 5 + (port - 4000)))
+        (tmp_path / name).rename(folder / name)
+
+    pcap.register(spark)
+    frames = spark.readStream.format("pcap").load(str(folder))
+    query = pcap.decode(frames).writeStream.format("memory").queryName("captured").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for k, name in enumerate(["m.pcap", "z.pcap", "a.pcap"]):
+            put(name, 4000 + k)
+            query.processAllAvailable()
+            assert sorted(r.src_port for r in spark.table("captured").collect()) == [4000 + i for i in range(k + 1)]
+    finally:
+        query.stop()
+
+
+def test_last_rule_of_a_port_counts(spark):
+    from wirelake.operators import filters
+
+    packets = spark.createDataFrame([(4000, 80), (80, 4000)], "src_port int, dst_port int")
+    for a, b in (("http", "grpc"), ("grpc", "http")):
+        rows = filters.route(packets, [filters.Rule(a, (80,)), filters.Rule(b, (80,))]).collect()
+        assert [r["proto"] for r in rows] == [b, b]
+
+
 def test_fields_of_rare_messages(spark):
     from wirelake.operators import decoders
 

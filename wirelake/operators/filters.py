@@ -40,7 +40,7 @@ def bpf_text(rules: Sequence[Rule]) -> str:
 
 
 def rule_predicate(rules: Sequence[Rule]) -> Column:
-    """The same as a predicate over l4, src_ip, dst_ip, src_port, dst_port, which Spark pushes into the scan."""
+    """The same as a predicate over l4, src_ip, dst_ip, src_port, dst_port. The capture source takes no filters; Spark applies it in the stage of the scan, before any shuffle."""
     keep = F.lit(False)
     for r in rules:
         ports = list(r.ports)
@@ -60,10 +60,12 @@ def ip_version_predicate(version: str) -> Column:
 
 
 def route(packets: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds proto and server_port: the source port's protocol, else the destination port's. Packets of other ports go. The rules, and so the table, are configuration."""
+    """Adds proto and server_port: the source port's protocol, else the destination port's. Packets of other ports go.
+
+    Of several rules with one port the last counts. The rules, and so the table, are configuration.
+    """
     spark = packets.sparkSession
-    table = spark.createDataFrame([(p, r.protocol) for r in rules for p in r.ports], "port int, proto string")
-    table = table.groupBy("port").agg(F.max("proto").alias("proto"))
+    table = spark.createDataFrame(list({p: r.protocol for r in rules for p in r.ports}.items()), "port int, proto string")
     src = F.broadcast(table.select(F.col("port").alias("src_port"), F.col("proto").alias("_src")))
     dst = F.broadcast(table.select(F.col("port").alias("dst_port"), F.col("proto").alias("_dst")))
     both = packets.join(src, "src_port", "left").join(dst, "dst_port", "left")

@@ -2,7 +2,7 @@
 
 Segments are shuffled once by stream, sorted within partitions, and read on in order; a task holds the unfinished message of one stream at a time, so memory does not
 grow with a connection. Of each message its first bytes are handed on (``KEPT``; of HTTP the head and ``BODY`` bytes after it), with its whole size and the times of its
-first and last segment; the others are counted and let go, so that an HTTP body may have any length. What the bytes mean is worked out by column expressions in ``decoders``.
+first and last segment; the others are counted and let go, so that a body or value may have any length. What the bytes mean is worked out by column expressions in ``decoders``.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from .hpack import Headers
 
-#: Longest message, HTTP apart, and most bytes that may wait for a length; a stream beyond it is read on from its next segment.
+#: Most bytes that may wait for a length; a stream beyond it is read on from its next segment, as is one that gives a length above ``LONGEST``, which no protocol allows.
 MOST = 16 << 20
+LONGEST = 1 << 30
 KEPT = 65_536
 #: Bytes after the head that are kept of an HTTP message.
 BODY = 102_400
-#: Longest line between chunks.
+#: Longest line between chunks, and of Redis.
 LINE = 65_536
 #: What a client says first in HTTP/2 and AMQP.
 PREFACE_HTTP2, PREFACE_AMQP = b"PRI * HTTP/2.0\r\n\r\nSM\r\n\r\n", b"AMQP"
@@ -50,29 +51,6 @@ def _http2(b: bytes) -> int | None:
     return None if len(b) < 9 else int.from_bytes(b[:3], "big") + 9
 
 
-def _redis(b: bytes) -> int | None:
-    at, open_ = 0, 1
-    while open_:
-        end = b.find(b"\r\n", at)
-        if end < 0:
-            return None
-        kind, text = b[at : at + 1], b[at + 1 : end]
-        if kind not in (b"*", b"$", b"+", b"-", b":"):
-            return -1
-        at, open_ = end + 2, open_ - 1
-        if kind in (b"*", b"$"):
-            if not text.lstrip(b"-").isdigit():
-                return -1
-            n = int(text)
-            if kind == b"*":
-                open_ += max(n, 0)
-            elif n >= 0:
-                at += n + 2
-                if at > len(b):
-                    return None
-    return at
-
-
 def _http(b: bytes) -> tuple[int, int | None] | int | None:
     """Length of the head and of the body after it, None for one in chunks."""
     end = b.find(b"\r\n\r\n")
@@ -81,6 +59,9 @@ def _http(b: bytes) -> tuple[int, int | None] | int | None:
     lines = b[:end].split(b"\r\n")
     if b"HTTP/1." not in lines[0]:
         return -1
+    # Answers that have no body, whatever their head says.
+    if lines[0].startswith(b"HTTP/1.") and (lines[0][9:10] == b"1" or lines[0][9:12] in (b"204", b"304")):
+        return end + 4, 0
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
     if fields.get(b"transfer-encoding", b"").lower().endswith(b"chunked"):
         return end + 4, None
@@ -98,7 +79,7 @@ LENGTH: dict[str, Callable[[bytes], tuple[int, int | None] | int | None]] = {
     "amqp": _amqp,
     "http2": _http2,
     "grpc": _http2,
-    "redis": _redis,
+    "redis": lambda b: (0, 0),
     "http": _http,
     "dns": lambda b: len(b) or None,
 }
@@ -115,7 +96,8 @@ class Buffer:
     most: int = 0
     size: int = 0
     left: int = 0
-    chunked: str = ""  # of a message in chunks, what follows: "size" line, the "end" of a chunk, or "trailer" lines
+    chunked: str = ""  # of a message in chunks, what follows: "size" line, the "end" of a chunk, or "trailer" lines; "values" in one of Redis
+    open: int = 0  # Redis values still to come
 
     def feed(self, proto: str, payload: bytes, ns: int) -> Iterator[tuple[bytes, int, int, int]]:
         """(kept bytes, size, first time, last time) of the messages that this segment completes."""
@@ -130,9 +112,12 @@ class Buffer:
             self.first_ns = ns
 
     def _reset(self) -> None:
-        self.kept, self.most, self.size, self.left, self.chunked = bytearray(), 0, 0, 0, ""
+        self.kept, self.most, self.size, self.left, self.chunked, self.open = bytearray(), 0, 0, 0, "", 0
 
     def _open(self, proto: str) -> bool:
+        if proto == "redis":
+            self.most, self.chunked, self.open = KEPT, "values", 1
+            return True
         n = LENGTH[proto](bytes(self.data))
         if n is None and len(self.data) <= MOST:
             return False
@@ -140,7 +125,7 @@ class Buffer:
             head, body = n
             self.most, self.left, self.chunked = head + BODY, head + (body or 0), "size" if body is None else ""
             return True
-        if n is None or n <= 0 or n > MOST:
+        if n is None or n <= 0 or n > LONGEST:
             self.data.clear()
             return False
         self.most, self.left = KEPT, n
@@ -155,19 +140,21 @@ class Buffer:
             self.size, self.left = self.size + n, self.left - n
             if self.left:
                 return False
-            if not self.chunked:
+            if not self.chunked or self.chunked == "values" and not self.open:
                 return True
             stop = self.data.find(b"\r\n")
             if stop < 0 and len(self.data) <= LINE:
                 return False
             line = bytes(self.data[: max(stop, 0)])
+            if self.chunked == "values" and stop >= 0 and self._value(line):
+                continue
             if self.chunked == "size":
                 digits = line.split(b";")[0].strip()
                 try:
                     self.left = int(digits, 16) if digits.isalnum() else -1
                 except ValueError:
                     self.left = -1
-            if self.left < 0 or stop < 0 or self.chunked == "end" and line:
+            if self.left < 0 or stop < 0 or self.chunked == "values" or self.chunked == "end" and line:
                 self.data.clear()
                 self._reset()
                 return False
@@ -176,6 +163,16 @@ class Buffer:
                 return True
             self.chunked = {"size": "end" if self.left else "trailer", "end": "size", "trailer": "trailer"}[self.chunked]
 
+    def _value(self, line: bytes) -> bool:
+        """Takes a line of Redis: what of it and after it belongs to the value, and how many values follow. False if it is none."""
+        kind, text = line[:1], line[1:]
+        if kind not in (b"*", b"$", b"+", b"-", b":") or kind in (b"*", b"$") and not text.lstrip(b"-").isdigit():
+            return False
+        n = int(text) if kind in (b"*", b"$") else 0
+        self.left = len(line) + 2 + (n + 2 if kind == b"$" and n >= 0 else 0)
+        self.open += (max(n, 0) if kind == b"*" else 0) - 1
+        return True
+
 
 def messages(segments: DataFrame, stream: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(stream, proto, message, size, first_ns, last_ns, fields) from segments with proto, payload (what the cursor delivers) and capture_ns; ``order`` is total within a stream.

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,34 @@ def idle_epochs(rows: DataFrame, connection: Sequence[str], ts: str, order: Sequ
     return rows.withColumn("_new", fresh.cast("int")).withColumn("epoch", F.sum("_new").over(w)).drop("_new")
 
 
+def closing_epochs(rows: DataFrame, connection: Sequence[str], direction: str, order: Sequence[str]) -> DataFrame:
+    """Adds epoch and refused to rows with fin: what a direction sends after its fin is refused and ends the connection; rows after that belong to a new one, in which both
+    directions are open again.
+
+    Which fin counts depends on where the last connection ended, so the rows are read on in order; a task holds the state of one connection. The cursor of the new
+    connection starts afresh where ``epoch`` is among its stream columns.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        epoch, closed = 0, set()
+        for b in batches:
+            epochs, refused = [], []
+            for *own, side, fin in zip(*(b[c] for c in (*connection, direction, "fin"))):
+                if own != now:
+                    now, epoch, closed = own, 0, set()
+                epochs.append(epoch)
+                refused.append(side in closed)
+                if refused[-1]:
+                    epoch, closed = epoch + 1, set()
+                elif fin:
+                    closed.add(side)
+            yield b.assign(epoch=epochs, refused=refused)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "epoch bigint, refused boolean"])
+    return rows.repartition(*connection).sortWithinPartitions(*connection, *order).mapInPandas(run, schema)
+
+
 def connections(rows: DataFrame, connection: Sequence[str], ts: str) -> DataFrame:
     """One row for each epoch of each connection: first and last packet and their number. ``rows`` have an epoch."""
     return rows.groupBy(*connection, "epoch").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("packets"))

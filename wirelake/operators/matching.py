@@ -137,13 +137,29 @@ def bounded(messages: DataFrame, connection: Sequence[str], key: str, order: Seq
 AMQP_ANSWERS = ("Ack", "Nack", "Reject")
 
 
-def amqp(messages: DataFrame, connection: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
+def amqp(messages: DataFrame, connection: Sequence[str], order: Sequence[str], carry: Sequence[str], size: int | None = None) -> DataFrame:
     """Pairs AMQP method frames with channel, class and method.
 
-    Who asks follows from the method, not from who speaks first: servers deliver and clients acknowledge. Frames pair within channel and class; on channel 0, which carries
-    the connection itself, an answer must also bear the name of what it answers. Written as a key, that is ``fuzzy`` matching.
+    Frames pair within channel and class; on channel 0, which carries the connection itself, an answer must also bear the name of what it answers. Written as a key, that
+    is ``fuzzy`` matching. Where messages have a role (Request from the client, Response from the server) only frames of opposite sides pair. Which of a pair asks follows
+    from the method, as servers deliver and clients acknowledge: where the client's is an answer the two change places. Without a role the methods alone tell the sides.
+    With ``size`` no more than that many frames wait on a connection.
     """
     answers = F.col("method").endswith("-Ok") | F.col("method").isin(*AMQP_ANSWERS)
-    named = messages.withColumn("role", F.when(answers, RESPONSE).otherwise(REQUEST))
-    named = named.withColumn("asked", F.when(F.col("channel") == 0, F.regexp_replace("method", "-Ok$", "")).otherwise(""))
-    return fuzzy(named, [*connection, "channel", "class", "asked"], order, carry).drop("asked")
+    asked = F.when(F.col("channel") == 0, F.regexp_replace("method", "-Ok$", "")).otherwise("")
+    spoken = "role" in messages.columns
+    named = messages.withColumns({"asked": asked, "_answers": answers & F.lit(spoken)})
+    if not spoken:
+        named = named.withColumn("role", F.when(answers, RESPONSE).otherwise(REQUEST))
+    kept = [*carry, "_answers"]
+    cols = [*connection, "channel", "class", *[f"{p}_{c}" for p in ("req", "rsp") for c in kept]]
+    if size is None:
+        pairs = fuzzy(named, [*connection, "channel", "class", "asked"], order, kept)
+    else:
+        named = named.withColumns({"_key": F.concat_ws(" ", "channel", "class", "asked"), "_own": F.struct("channel", "class", *kept)})
+        marked = mark_fuzzy_overflow(named, connection, "_key", order, size)
+        folded = bounded(marked.where("overflow"), connection, "_key", order, size, "_own", either_first=True)
+        folded = folded.select(*connection, "req.channel", "req.class", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("req", "rsp") for c in kept])
+        pairs = fuzzy(marked.where("NOT overflow"), [*connection, "channel", "class", "asked"], order, kept).select(*cols).unionByName(folded)
+    swap = lambda a, b, c: F.when(F.col("req__answers"), F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}")
+    return pairs.select(*connection, "channel", "class", *[swap("req", "rsp", c) for c in carry], *[swap("rsp", "req", c) for c in carry])

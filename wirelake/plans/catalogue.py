@@ -227,10 +227,26 @@ j AS (SELECT *, row_number() OVER (PARTITION BY conn, channel, asked, role ORDER
     f"WITH {_AMQP} SELECT a.conn, a.channel, a.class, a.event_id AS req_event_id, b.event_id AS rsp_event_id FROM j a JOIN j b ON a.conn = b.conn AND a.channel = b.channel AND a.asked = b.asked AND a.j = b.j AND a.role = 'Request' AND b.role = 'Response'",
 )
 def match_amqp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.amqp(_amqp_frames(spark, sf_dir), ["conn"], ["ts", "event_id"], ["event_id"])
+
+
+def _amqp_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     method = F.when(t == "view", "Publish").when(t == "click", "Get").when(t == "purchase", "Get-Ok").when(t == "error", "Ack").otherwise("Publish-Ok")
-    e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("conn"), (views.number() % 3).alias("channel"), F.lit("Basic").alias("class"), method.alias("method"), "ts", "event_id")
-    return matching.amqp(e, ["conn"], ["ts", "event_id"], ["event_id"])
+    return views.table(spark, sf_dir, "events").select(F.col("user_id").alias("conn"), (views.number() % 3).alias("channel"), F.lit("Basic").alias("class"), method.alias("method"), "ts", "event_id")
+
+
+@register(
+    "match_amqp_sides",
+    f"""WITH {_AMQP}, s AS (SELECT conn, channel, class, method, asked, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'Request' ELSE 'Response' END AS side, role = 'Response' AS answers FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY conn, channel, asked, side ORDER BY ts, event_id) AS j FROM s)
+SELECT a.conn, a.channel, a.class, CASE WHEN a.answers THEN b.event_id ELSE a.event_id END AS req_event_id, CASE WHEN a.answers THEN a.event_id ELSE b.event_id END AS rsp_event_id
+FROM f a JOIN f b ON a.conn = b.conn AND a.channel = b.channel AND a.asked = b.asked AND a.j = b.j AND a.side = 'Request' AND b.side = 'Response'""",
+)
+def match_amqp_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As match_amqp, with the side that speaks: even events are the client's."""
+    side = F.when(F.col("event_id") % 2 == 0, matching.REQUEST).otherwise(matching.RESPONSE)
+    return matching.amqp(_amqp_frames(spark, sf_dir).withColumn("role", side), ["conn"], ["ts", "event_id"], ["event_id"])
 
 
 # Transport
@@ -267,6 +283,22 @@ def fin_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l4.cursor(views.segments(spark, sf_dir), ["conn"], views.ARRIVAL).where("closed").groupBy("conn").agg(F.count("*").alias("refused"))
 
 
+@register(
+    "conn_closed",
+    f"""WITH {_SEGMENTS}, o AS (SELECT conn, fin, row_number() OVER (PARTITION BY conn ORDER BY {_ARRIVAL}) AS i FROM segments),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY conn, fin ORDER BY i) AS run FROM o),
+p AS (SELECT *, CASE WHEN fin THEN row_number() OVER (PARTITION BY conn, fin, run ORDER BY i) ELSE 0 END AS place FROM g),
+r AS (SELECT *, coalesce(lag(place) OVER (PARTITION BY conn ORDER BY i), 0) % 2 = 1 AS refused FROM p),
+e AS (SELECT *, coalesce(sum(CAST(refused AS INT)) OVER (PARTITION BY conn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM r)
+SELECT conn, CAST(epoch AS BIGINT) AS epoch, CAST(count(*) FILTER (WHERE NOT refused) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE refused) AS BIGINT) AS refused FROM e GROUP BY conn, epoch""",
+)
+def conn_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections that a segment after the fin ends, and those that follow them."""
+    s = views.segments(spark, sf_dir).select("conn", *views.ARRIVAL, "fin", F.lit(0).alias("side"))
+    e = l4.closing_epochs(s, ["conn"], "side", views.ARRIVAL)
+    return e.groupBy("conn", "epoch").agg(F.count_if(~F.col("refused")).alias("packets"), F.count_if("refused").alias("refused"))
+
+
 _EPOCHS = """g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 300000000 THEN 1 ELSE 0 END AS fresh FROM events),
 e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM g),
 c AS (SELECT user_id, CAST(epoch AS BIGINT) AS epoch, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS packets FROM e GROUP BY user_id, epoch)"""

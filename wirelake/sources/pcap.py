@@ -8,6 +8,7 @@ hosts run next to the scan.
 from __future__ import annotations
 
 import struct
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 1000), b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\
 #: Link types.
 LINK_NULL, LINK_ETHERNET, LINK_RAW = 0, 1, 101
 PIECE = 4 << 20
+SETTLED = 1_000_000_000
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
@@ -60,16 +62,17 @@ class CaptureFile(InputPartition):
         super().__init__(self.uri)
 
 
-def _list(uri: str) -> list[str]:
+def _files(uri: str) -> list[tuple[int, str]]:
+    """(time of the last change in ns, name) of the capture files of a folder, or of the one file."""
     store, path = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
     found = store.get_file_info(path)
     scheme = uri.split("://")[0] if "://" in uri else "file"
     if found.type == fs.FileType.Directory:
         inside = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return sorted(f"{scheme}://{x.path}" for x in inside if x.type == fs.FileType.File and x.base_name.endswith((".pcap", ".cap")))
+        return sorted((x.mtime_ns or 0, f"{scheme}://{x.path}") for x in inside if x.type == fs.FileType.File and x.base_name.endswith((".pcap", ".cap")))
     if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(uri)
-    return [f"{scheme}://{path}"]
+    return [(found.mtime_ns or 0, f"{scheme}://{path}")]
 
 
 def _read(uri: str) -> Iterator[pa.RecordBatch]:
@@ -101,26 +104,30 @@ class _Reader(DataSourceReader):
         self.uri = uri
 
     def partitions(self) -> list[InputPartition]:
-        return [CaptureFile(u) for u in _list(self.uri)]
+        return [CaptureFile(u) for u in sorted(u for _, u in _files(self.uri))]
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
         return _read(partition.uri)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets count the files of a folder in the order of their names; a capture tool that rotates files names them by time."""
+    """An offset is the last change of the newest file read, and its name. Files count from ``SETTLED`` ns after their last change on, so that none of the same time can come
+    after an offset; a file that comes late is read whatever its name. Files are to be moved into the folder once they are whole, as tools that rotate captures do."""
 
     def __init__(self, uri: str):
         self.uri = uri
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"changed": -1, "file": ""}
 
     def latestOffset(self) -> dict:
-        return {"files": len(_list(self.uri))}
+        now = time.time_ns()
+        changed, name = max((x for x in _files(self.uri) if x[0] <= now - SETTLED), default=(-1, ""))
+        return {"changed": changed, "file": name}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [CaptureFile(u) for u in _list(self.uri)[start["files"] : end["files"]]]
+        after, upto = ((x["changed"], x["file"]) for x in (start, end))
+        return [CaptureFile(x[1]) for x in _files(self.uri) if after < x <= upto]
 
     def read(self, partition: CaptureFile) -> Iterator[pa.RecordBatch]:
         return _read(partition.uri)

@@ -77,14 +77,14 @@ def messages(segments: DataFrame, connection: str, order: str, idle_ms: int = 30
         buffer = Buffer()
         if state.exists:
             held, buffer.first_ns = state.get
-            data, kept, buffer.most, buffer.size, buffer.left, buffer.chunked = json.loads(held)
+            data, kept, buffer.most, buffer.size, buffer.left, buffer.chunked, buffer.open = json.loads(held)
             buffer.data, buffer.kept = bytearray(b64decode(data)), bytearray(b64decode(kept))
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
         for proto, payload, ns in zip(rows["proto"], rows["payload"], rows["capture_ns"]):
             out.extend((*name, proto, *m) for m in buffer.feed(proto, bytes(payload), int(ns)))
         text = lambda b: b64encode(bytes(b)).decode()
-        state.update((json.dumps([text(buffer.data), text(buffer.kept), buffer.most, buffer.size, buffer.left, buffer.chunked]), int(buffer.first_ns)))
+        state.update((json.dumps([text(buffer.data), text(buffer.kept), buffer.most, buffer.size, buffer.left, buffer.chunked, buffer.open]), int(buffer.first_ns)))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[connection, "role", "proto", "message", "size", "first_ns", "last_ns"])
 
