@@ -1,4 +1,7 @@
-"""From documents to packed training sequences in five stages, each over all rows that its predecessor kept."""
+"""From documents to packed training sequences in five stages, each over all rows that its predecessor kept.
+
+All stages take empty tables (no rows come out) and documents with more columns, which they do not hand on; nulls may be in any column, and rows may repeat.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,10 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents predicted as 1. Labels of all labelled documents are learned from."""
+    """Keeps documents predicted as 1, repeated rows as often as they come. Labels of all labelled documents are learned from.
+
+    A null or empty text has no features and is kept or not by the model's bias alone; a row without doc_id is judged like others and not learned from.
+    """
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return quality.score(docs.select(*COLUMNS), weights).where("predicted = 1").select(*COLUMNS)
 
@@ -26,16 +32,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
+    """Keeps one row of each group of near copies, that of the smallest doc_id; of rows that repeat it one stays. Null texts and those without words are in no group and stay."""
     return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter one."""
+    """Drops documents that hold ten consecutive words of a benchmark item, or a whole shorter one. Null and empty texts hold none and stay, repeated rows are judged each."""
     return decontam.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens. A null or empty text is its end id alone; repeated rows are packed each."""
     return packing.pack(docs, packing.PackParams(tokenizer_path()))
 
 
@@ -52,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is a table in the shared folder, so that a lost executor costs no more than the stage that runs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
