@@ -22,6 +22,50 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed} == ids
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents of the small table with repeats, and rows with nulls, without words, very long, and with columns of names that stages use."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in docs.orderBy("doc_id").limit(60).collect()]
+    best = max(some, key=lambda r: len(r[1]))
+    rows = [*some, some[0], some[0], (None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, " \t\n", None, "s", 3), (None, best[1], None, None, None), (900_003, best[1] * 40, "en", "s", 1)]
+    extra = ("score", "predicted", "lang_pred", "lang_score", "component_id", "_rid", "part_key")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} string" for c in extra)])
+    return docs.columns, rows, spark.createDataFrame([r + ("x",) * len(extra) for r in rows], schema)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_any_rows(spark, odd, k):
+    import corpus_pipeline as c
+
+    names, rows, docs = odd
+    out = c.STAGES[k][1](spark, docs, SF)
+    got = [tuple(r[n] for n in names) for r in out.collect()] if k < 4 else out.collect()
+    if k == 4:
+        ends = [r for r in got if r["doc_tokens"] == 1]
+        assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+        assert sum(r["start"] == 0 for r in got) == len(rows) and {r["doc_id"] for r in ends} >= {None, 900_001}
+        return
+    assert out.columns == names and set(got) <= set(rows)
+    if k in (0, 3):  # judged row by row
+        assert all(got.count(r) in (0, rows.count(r)) for r in got)
+    if k == 1:
+        assert not [r for r in got if not (r[1] or "").strip()] and got.count(rows[0]) == 3
+    if k == 2:
+        assert all(got.count(r) == 1 for r in rows if not (r[1] or "").strip()) and got.count(rows[0]) == 1
+        texts = [r[1] for r in got if (r[1] or "").strip()]
+        assert len(texts) == len(set(texts))
+    if k == 3:
+        assert all(r in got for r in rows if not (r[1] or "").strip())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_no_rows(spark, odd, k):
+    import corpus_pipeline as c
+
+    assert c.STAGES[k][1](spark, odd[2].where("false"), SF).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
