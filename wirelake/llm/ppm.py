@@ -212,7 +212,7 @@ def scores(documents: DataFrame, p: PpmParams = PpmParams()) -> DataFrame:
     values = known.where("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"), "asks")
     lengths = code_lengths(known.where("kind = 1").select("key", "n", "asks"), scratch)
     values = scratch.table(values.unionByName(lengths.select(F.lit(1).alias("kind"), "key", "value", "asks")), "values")
-    scratch.drop("known")
+    scratch.drop("known", *(f"seen{j}" for j in range(ORDER)))
     scratch.release()
     common = values.where(_most_asked(values, p.common))
     own = [common.where(F.col("kind") == k).select("key", "value").toArrow() for k in (0, 1)]
