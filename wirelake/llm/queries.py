@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_text, jaccard, langid, oracle, packing, ppm, quality, url_filter, warc
+from . import ann, decontam, html_text, jaccard, langid, multiindex, oracle, packing, ppm, prefixtrie, quality, ranked, url_filter, warc
 
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
@@ -70,6 +70,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_warc,
@@ -82,10 +94,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_ann,
         op10_decontamination,
+        op11_ranked_search,
+        op12_prefix_trie,
+        op13_multi_index,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on trained models, tokenizers or approximate search."""
-    return {"op1_warc": oracle.WARC, "op5_jaccard_join": oracle.JACCARD, "op10_decontamination": oracle.DECONTAMINATION}
+    return {"op1_warc": oracle.WARC, "op5_jaccard_join": oracle.JACCARD, "op10_decontamination": oracle.DECONTAMINATION, "op11_ranked_search": oracle.RANKED, "op12_prefix_trie": oracle.TRIE, "op13_multi_index": oracle.LINKED_VECTORS}
