@@ -272,7 +272,7 @@ def test_recall_at_exactly_the_least_cosine():
 def test_balls_link_all_their_members():
     rng = np.random.default_rng(4)
     p = multiindex.DedupParams()
-    u = rng.normal(size=(3, 32))[rng.integers(0, 3, 400)] + 0.35 * rng.normal(size=(400, 32))
+    u = rng.normal(size=(3, 32))[rng.integers(0, 3, 400)] + 0.15 * rng.normal(size=(400, 32))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     ball = multiindex.balls(u, p)
     assert ball.max() >= 0
