@@ -33,15 +33,33 @@ MONGO_CODES = {
     189: "PrimarySteppedDown", 251: "NoSuchTransaction", 262: "ExceededTimeLimit", 10107: "NotWritablePrimary", 11000: "DuplicateKey", 11600: "InterruptedAtShutdown", 11601: "Interrupted",
     11602: "InterruptedDueToReplStateChange", 13435: "NotPrimaryNoSecondaryOk",
 }
+#: Commands of MongoDB servers, those whose value is the name of a collection first.
+MONGO_COLLECTION_COMMANDS = frozenset(
+    "aggregate cloneCollectionAsCapped collMod collStats compact convertToCapped count create createIndexes createSearchIndexes delete distinct drop dropIndexes dropSearchIndex find findAndModify findandmodify "
+    "geoSearch insert killCursors listIndexes listSearchIndexes mapReduce mapreduce planCacheClear planCacheClearFilters planCacheListFilters planCacheSetFilter reIndex update updateSearchIndex validate".split()
+)
+MONGO_COMMANDS = MONGO_COLLECTION_COMMANDS | frozenset(
+    "abortTransaction abortReshardCollection addShard addShardToZone analyze analyzeShardKey applyOps authenticate autoCompact balancerCollectionStatus balancerStart balancerStatus balancerStop buildInfo buildinfo bulkWrite "
+    "changePrimary checkShardingIndex cleanupOrphaned cleanupReshardCollection clearJumboFlag cloneCollection commitReshardCollection commitTransaction compactStructuredEncryptionData configureCollectionBalancing "
+    "configureQueryAnalyzer connPoolStats connPoolSync connectionStatus createRole createUser currentOp cursorInfo dataSize dbHash dbStats driverOIDTest dropAllRolesFromDatabase dropAllUsersFromDatabase dropConnections "
+    "dropDatabase dropRole dropUser enableSharding endSessions explain features filemd5 flushRouterConfig fsync fsyncUnlock getAuditConfig getClusterParameter getCmdLineOpts getDefaultRWConcern getLastError getLog getMore "
+    "getParameter getShardMap getShardVersion getnonce grantPrivilegesToRole grantRolesToRole grantRolesToUser hello hostInfo invalidateUserCache isMaster isdbgrid ismaster killAllSessions killAllSessionsByPattern "
+    "killOp killSessions listCollections listCommands listDatabases listShards lockInfo logApplicationMessage logRotate logout medianKey mergeAllChunksOnShard mergeChunks moveChunk moveCollection movePrimary moveRange "
+    "netstat ping profile refineCollectionShardKey refreshSessions removeShard removeShardFromZone renameCollection replSetAbortPrimaryCatchUp replSetFreeze replSetGetConfig replSetGetStatus replSetInitiate "
+    "replSetMaintenance replSetReconfig replSetResizeOplog replSetStepDown replSetSyncFrom reshardCollection resync revokePrivilegesFromRole revokeRolesFromRole revokeRolesFromUser rolesInfo rotateCertificates "
+    "saslContinue saslStart serverStatus setAllowMigrations setAuditConfig setClusterParameter setDefaultRWConcern setFeatureCompatibilityVersion setIndexCommitQuorum setParameter setShardVersion shardCollection "
+    "shardConnPoolStats shardingState shutdown split splitChunk splitVector startSession top transitionFromDedicatedConfigServer transitionToDedicatedConfigServer unshardCollection unsetSharding untrackUnshardedCollection "
+    "updateRole updateUser updateZoneKeyRange usersInfo validateDBMetadata waitForFailPoint whatsmyuri whatsMyUri".split()
+)
 #: What the first letter of a PostgreSQL message means, from clients and from servers.
 POSTGRES_CLIENT = {
-    "Q": "Query", "P": "Parse", "B": "Bind", "E": "Execute", "D": "Describe", "S": "Sync", "X": "Terminate", "?": "SSLRequest", "p": "PasswordMessage", "c": "CancelRequestOrCopyDone", "F": "FunctionCall",
-    "C": "Close", "d": "CopyData", "W": "CopyBothResponse", "G": "CopyInResponse", "H": "CopyOutResponse",
+    "B": "Bind", "C": "Close", "d": "CopyData", "c": "CopyDone", "f": "CopyFail", "D": "Describe", "E": "Execute", "H": "Flush", "F": "FunctionCall", "P": "Parse", "p": "PasswordMessage", "Q": "Query", "S": "Sync",
+    "X": "Terminate",
 }
 POSTGRES_SERVER = {
-    "T": "RowDescription", "D": "DataRow", "C": "CommandComplete", "E": "ErrorResponse", "N": "NoticeResponse", "R": "Authentication", "K": "BackendKeyData", "t": "ParameterDescription",
-    "s": "PortalSuspended", "3": "CloseCompleteOrDescribeResponse", "n": "NoData", "Z": "ReadyForQuery", "V": "FunctionCallResponse", "1": "ParseComplete", "2": "BindComplete", "I": "EmptyQueryResponse",
-    "v": "ParameterStatus",
+    "R": "Authentication", "K": "BackendKeyData", "2": "BindComplete", "3": "CloseComplete", "C": "CommandComplete", "d": "CopyData", "c": "CopyDone", "G": "CopyInResponse", "H": "CopyOutResponse",
+    "W": "CopyBothResponse", "D": "DataRow", "I": "EmptyQueryResponse", "E": "ErrorResponse", "V": "FunctionCallResponse", "v": "NegotiateProtocolVersion", "n": "NoData", "N": "NoticeResponse",
+    "A": "NotificationResponse", "t": "ParameterDescription", "S": "ParameterStatus", "1": "ParseComplete", "s": "PortalSuspended", "Z": "ReadyForQuery", "T": "RowDescription",
 }
 #: Kafka requests and errors.
 KAFKA_APIS = {

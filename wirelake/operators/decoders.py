@@ -24,7 +24,6 @@ from ..functions.names import (
     HTTP2_FRAMES,
     KAFKA_APIS,
     KAFKA_ERRORS,
-    MONGO_CODES,
     MONGO_OPCODES,
     MYSQL_COMMANDS,
     POSTGRES_CLIENT,
@@ -34,6 +33,8 @@ from ..functions.names import (
 )
 from ..functions.names import look_up as _name
 from ..sources.pcap import uint
+from . import bson
+from . import kafka as kafka_fields
 
 
 def _m() -> Column:
@@ -286,53 +287,45 @@ def postgresql_statements(rows: DataFrame, connection: str = "conn") -> DataFram
 
 
 def mongodb(rows: DataFrame) -> DataFrame:
-    """key (request id, or the id answered), opcode; command, command_value (where it is a text, as a collection's name is) and source of messages; ok, code and its name of
-    answers.
+    """key (request id, or the id answered), opcode; command, command_value (a text or a number), collection and source of requests; ok, code and its name of answers.
 
-    All of the body section that framing keeps is searched.
+    The body's top-level keys are read, in batches of messages (``bson.say``); what is nested in it is stepped over.
     """
     asked, answers = uint(_m(), 4, 4, little=True), uint(_m(), 8, 4, little=True)
-    body = F.decode(F.substring(_m(), F.lit(22), F.least(uint(_m(), 21, 4, little=True), F.lit(1 << 24)).cast("int")), "ISO-8859-1")
-    found = lambda pattern: F.nullif(F.regexp_extract(body, "(?s)" + pattern, 1), F.lit(""))
-    number = lambda name: uint(F.encode(found(rf"\x10{name}\x00(.{{4}})"), "ISO-8859-1"), 0, 4, little=True)
-    double = lambda name: F.hex(F.encode(found(rf"\x01{name}\x00(.{{8}})"), "ISO-8859-1"))
-    return rows.withColumns(
+    df = rows.withColumn("_s", F.pandas_udf(bson.said, bson.SAID)(_m()))
+    request = answers == 0
+    return df.withColumns(
         {
-            "role": F.when(answers == 0, "Request").otherwise("Response"),
-            "key": F.when(answers == 0, asked).otherwise(answers),
+            "role": F.when(request, "Request").otherwise("Response"),
+            "key": F.when(request, asked).otherwise(answers),
             "opcode": _name(uint(_m(), 12, 4, little=True), MONGO_OPCODES),
-            "command": F.when(answers == 0, found(r"^.{4}.([A-Za-z]+)\x00")),
-            "command_value": F.when(answers == 0, found(r"^.{4}\x02[A-Za-z]+\x00.{4}([^\x00]+)\x00")),
-            "source": F.when(answers == 0, found(r"\x02\$db\x00.{4}([^\x00]+)\x00")),
-            "ok": F.when(answers != 0, F.coalesce(F.when(double("ok") == "000000000000F03F", 1).when(double("ok") == "0" * 16, 0), number("ok"))),
-            "code": F.when(answers != 0, number("code")),
-            "code_name": F.when(answers != 0, _name(number("code"), MONGO_CODES)),
+            **{c: F.when(request, F.col(f"_s.{c}")) for c in ("command", "command_value", "collection", "source")},
+            **{c: F.when(~request, F.col(f"_s.{c}")) for c in ("ok", "code", "code_name")},
         }
-    )
+    ).drop("_s")
 
 
 def kafka(rows: DataFrame) -> DataFrame:
-    """key (correlation id), api, version, client_id of requests, topic or group_id where it is the request's first name, error_code and its name of responses."""
+    """key (correlation id), api, version, client_id of requests, the topic (by name or by id) and group_id that they name first, error_code and its name of responses.
+
+    Where the names stand depends on the API and its version; field programs say it (``kafka.PROGRAMS``), and run on batches of messages.
+    """
     size = uint(_m(), 12, 2)
-    after = F.lit(14) + F.when(size == 0xFFFF, 0).otherwise(size)
-    # Where the first name stands after the client's id: requests to the group coordinator begin with the group; older fetches and offset lists have fixed fields, then the
-    # number of topics, before the first topic; producing has acks and a timeout (and, from version 3, a transaction) first.
-    api, version = uint(_m(), 4, 2), uint(_m(), 6, 2)
-    grouped = F.col("role").eqNullSafe("Request") & api.isin(8, 9, 11, 12, 13, 14) & (version < 6)
-    skip = F.when((api == 0) & (version < 3), 10).when((api == 0) & (version < 9), 12).when((api == 1) & (version < 3), 16).when((api == 1) & (version == 3), 20).when((api == 1) & version.between(4, 6), 21).when((api == 2) & (version < 2), 8).when((api == 2) & version.between(2, 5), 9).when((api == 3) & (version < 9), 4)
-    first = lambda at: F.regexp_replace(_text(at + 2, uint(_m(), at.cast("int"), 2)), r"[^A-Za-z0-9_.:/-]", "")
-    return rows.withColumns(
+    df = rows.withColumn("_n", F.pandas_udf(kafka_fields.names, kafka_fields.NAMED)(F.when(_is("Request"), _m())))
+    plain = lambda c: F.regexp_replace(F.col(f"_n.{c}"), r"[^A-Za-z0-9_.:/-]", "")
+    return df.withColumns(
         {
             "key": F.when(_is("Request"), uint(_m(), 8, 4)).otherwise(uint(_m(), 4, 4)),
             "api": F.when(_is("Request"), _name(uint(_m(), 4, 2), KAFKA_APIS)),
             "version": F.when(_is("Request"), uint(_m(), 6, 2)),
             "client_id": F.when(_is("Request") & (size != 0xFFFF), F.regexp_replace(_text(14, size), r"[^A-Za-z0-9_:/-]", "")),
-            "group_id": F.when(grouped, first(after)),
-            "topic": F.when(_is("Request") & skip.isNotNull(), first(after + skip)),
+            "group_id": plain("group_id"),
+            "topic": plain("topic"),
+            "topic_id": F.col("_n.topic_id"),
             "error_code": F.when(_is("Response"), uint(_m(), 8, 2)),
             "error": F.when(_is("Response"), _name(F.when(uint(_m(), 8, 2) > 32767, uint(_m(), 8, 2) - 65536).otherwise(uint(_m(), 8, 2)), KAFKA_ERRORS)),
         }
-    )
+    ).drop("_n")
 
 
 def amqp(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ come out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decoders, framing, l4, matching
@@ -30,7 +30,7 @@ def raw(value: Column | str | bytes) -> Column:
 
 
 def cat(*parts: Column) -> Column:
-    return F.unhex(F.concat(*[F.hex(p) for p in parts]))
+    return F.concat(*parts)
 
 
 def sized(body: Column, size: int = 4, add: int = 0) -> Column:
@@ -39,8 +39,6 @@ def sized(body: Column, size: int = 4, add: int = 0) -> Column:
 
 def sent(rows: DataFrame, proto: str) -> DataFrame:
     """Segments of messages (conn, role, at, bytes): each message is cut, numbered as TCP does, every fifth segment is sent twice."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conn", "role").orderBy("at")
     df = rows.withColumn("size", F.octet_length("bytes")).withColumn("start", F.sum("size").over(w) - F.col("size"))
     df = df.withColumn("part", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / SEGMENT).cast("int"))))
@@ -56,8 +54,14 @@ def heard(segments: DataFrame) -> DataFrame:
     return framing.messages(new, ["conn", "role"], order)
 
 
+def talked(segments: DataFrame) -> DataFrame:
+    """As heard, for protocols whose framing needs both directions of a connection at once."""
+    new = framing.deliver(l4.cursor(segments, ["conn", "role"], ["at", "part", "copy"]), ends=True)
+    return framing.exchanges(new, ["conn"], ["capture_ns", "role", "at", "part", "copy"])
+
+
 def _messages(rows: DataFrame, proto: str) -> DataFrame:
-    return decoders.DECODERS[proto](heard(sent(rows, proto)))
+    return decoders.DECODERS[proto]((talked if proto in ("http", "postgresql") else heard)(sent(rows, proto)))
 
 
 def _both(rows: DataFrame, request: Column, response: Column) -> DataFrame:
@@ -71,11 +75,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "decode_http",
-    """SELECT page_id AS conn, '/en/' || CAST(page_id AS VARCHAR) AS path, 'h' || CAST(page_id % 7 AS VARCHAR) || '.test' AS remote_host, 'GET' AS method, '200' AS status, CAST(octet_length(encode(html)) AS BIGINT) AS body_bytes, substr(html, 1, 200) AS body FROM pages""",
+    """SELECT page_id AS conn, '/en/' || CAST(page_id AS VARCHAR) AS path, 'h' || CAST(page_id % 7 AS VARCHAR) || '.test' AS remote_host, 'GET' AS method, '200' AS status, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS body_bytes, CASE WHEN octet_length(encode(coalesce(html, ''))) <= 102400 THEN coalesce(html, '') END AS body FROM pages""",
 )
 def decode_http(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _http_pairs(spark, sf_dir)
-    return pairs.select("conn", F.col("req_path").alias("path"), F.col("req_remote_host").alias("remote_host"), F.col("req_method").alias("method"), F.col("rsp_status").alias("status"), F.col("rsp_body_bytes").alias("body_bytes"), F.substring("rsp_body", 1, 200).alias("body"))
+    return pairs.select("conn", F.col("req_path").alias("path"), F.col("req_remote_host").alias("remote_host"), F.col("req_method").alias("method"), F.col("rsp_status").alias("status"), F.col("rsp_body_bytes").alias("body_bytes"), _whole_body())
+
+
+def _whole_body() -> Column:
+    """Null for bodies that are longer than what framing keeps."""
+    return F.when(F.octet_length("rsp_body") == F.col("rsp_body_bytes"), F.col("rsp_body")).alias("body")
 
 
 def _http_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +102,31 @@ def _http_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_http_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies as captured, whole; null for those longer than what framing keeps."""
     pairs = _http_pairs(spark, sf_dir)
-    return pairs.select("conn", F.col("rsp_body_bytes").alias("body_bytes"), F.when(F.octet_length("rsp_body") == F.col("rsp_body_bytes"), F.col("rsp_body")).alias("body"))
+    return pairs.select("conn", F.col("rsp_body_bytes").alias("body_bytes"), _whole_body())
+
+
+@register(
+    "decode_http_exchanges",
+    """SELECT page_id AS conn, CAST(n AS BIGINT) AS exchange, m AS method, CASE n WHEN 2 THEN '101' ELSE '200' END AS status, e AS ending, CAST(CASE n WHEN 1 THEN octet_length(encode(coalesce(html, ''))) ELSE 0 END AS BIGINT) AS body_bytes FROM pages, (VALUES (0, 'HEAD', 'length'), (1, 'POST', CASE page_id % 3 WHEN 0 THEN 'length' WHEN 1 THEN 'size' ELSE 'close' END), (2, 'GET', 'tunnel')) AS v(n, m, e) WHERE n < 2 OR page_id % 3 < 2""",
+)
+def decode_http_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests sent before their answers. The answer to HEAD gives the length of a body that it does not have; that to POST, after an interim one, has its body by length, in chunks or up
+    to the end of its side; after the first two of these a third request upgrades the connection, and what follows is no HTTP."""
+    p = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("conn"), F.col("page_id").alias("at"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    form, size = F.col("conn") % 3, F.octet_length("html").cast("string")
+    line = lambda *parts: raw(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
+    upgrade = F.when(form < 2, raw("GET /chat HTTP/1.1\r\nUpgrade: websocket\r\n\r\n")).otherwise(raw(""))
+    ask = cat(raw("HEAD /a HTTP/1.1\r\n\r\nPOST /a HTTP/1.1\r\nExpect: 100-continue\r\nContent-Length: 4\r\n\r\nbody"), upgrade)
+    half = F.floor(F.octet_length("html") / 2).cast("int")
+    pieces = (F.substring("html", F.lit(1), half), F.substring("html", half + 1, F.octet_length("html")))
+    chunk = lambda c: F.when(F.octet_length(c) > 0, cat(line(F.hex(F.octet_length(c)), "\r\n"), c, raw("\r\n"))).otherwise(raw(""))
+    body = F.when(form == 0, cat(line("Content-Length: ", size, "\r\n\r\n"), F.col("html"))).when(form == 1, cat(raw("Transfer-Encoding: chunked\r\n\r\n"), chunk(pieces[0]), chunk(pieces[1]), raw("0\r\n\r\n"))).otherwise(cat(raw("\r\n"), F.col("html")))
+    switch = F.when(form < 2, raw(b"HTTP/1.1 101 Switching Protocols\r\n\r\n\x81\x05HTTP/1.1 200 hello")).otherwise(raw(""))
+    tell = cat(line("HTTP/1.1 200 OK\r\nContent-Length: ", size, "\r\n\r\nHTTP/1.1 100 Continue\r\n\r\nHTTP/1.1 200 OK\r\n"), body, switch)
+    segments = sent(_both(p, ask, tell), "http").withColumn("fin", (F.col("role") == "Response") & (F.col("part") == F.max("part").over(Window.partitionBy("conn", "role"))))
+    m = decoders.http(talked(segments)).where("NOT ending <=> 'interim'")
+    pairs = matching.by_key(m, ["conn", "exchange"], ["first_ns", "role"], ["method", "status", "ending", "body_bytes"])
+    return pairs.select("conn", "exchange", F.col("req_method").alias("method"), F.col("rsp_status").alias("status"), F.col("rsp_ending").alias("ending"), F.col("rsp_body_bytes").alias("body_bytes"))
 
 
 @register("decode_redis", "SELECT user_id AS conn, upper(event_type) AS command, 'Integer' AS data_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
@@ -143,12 +176,13 @@ def decode_kafka(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("decode_mongodb", "SELECT user_id AS conn, event_id AS key, 'MSG' AS opcode, 'find' AS command, 'db' || CAST(user_id AS VARCHAR) AS source FROM events")
 def decode_mongodb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = lambda v: cat(little(F.octet_length(v) + 1, 4), v, big(0, 1))
-    doc = cat(raw(b"\x02find\x00"), text(raw("things")), raw(b"\x02comment\x00"), text(raw("long " * 200)), raw(b"\x02$db\x00"), text(raw(F.concat(F.lit("db"), F.col("conn").cast("string")))), big(0, 1))
-    frame = lambda asked, answered, body: cat(little(F.octet_length(body) + 16, 4), little(asked, 4), little(answered, 4), little(2013, 4), body)
-    ask = frame(F.col("at") + 1, 0, cat(little(0, 4), big(0, 1), little(F.octet_length(doc) + 4, 4), doc))
-    tell = frame(F.col("at") + 2, F.col("at") + 1, cat(little(0, 4), big(0, 1), little(5, 4), big(0, 1)))
-    m = _messages(_both(_events(spark, sf_dir), ask, tell), "mongodb")
+    e = _events(spark, sf_dir).withColumn("name", raw(F.concat(F.lit("db"), F.col("conn").cast("string"))))
+    fixed = F.lit(b"\x02find\0" + _bson_text("things") + b"\x02comment\0" + _bson_text("long " * 200) + b"\x02$db\0")
+    e = e.withColumn("inside", cat(fixed, little(F.octet_length("name") + 1, 4), F.col("name"), F.lit(b"\0\0")))
+    e = e.withColumn("asked", cat(F.lit(bytes(5)), little(F.octet_length("inside") + 4, 4), F.col("inside"))).withColumn("told", F.lit(bytes(5) + _bson()))
+    frame = lambda asked, answered, c: cat(little(F.octet_length(c) + 16, 4), little(asked, 4), little(answered, 4), little(2013, 4), F.col(c))
+    ask, tell = frame(F.col("at") + 1, 0, "asked"), frame(F.col("at") + 2, F.col("at") + 1, "told")
+    m = _messages(_both(e, ask, tell), "mongodb")
     pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], ["opcode", "command", "source"])
     return pairs.select("conn", (F.col("key") - 1).alias("key"), F.col("req_opcode").alias("opcode"), F.col("req_command").alias("command"), F.col("req_source").alias("source"))
 
@@ -254,3 +288,80 @@ def decode_mysql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matching.single(m, ["conn"], ["first_ns"], ["statement", "packet_kind", "returned_rows"])
     out = pairs.groupBy("conn", F.col("req_statement").alias("statement"), F.col("rsp_packet_kind").alias("packet_kind"), F.col("rsp_returned_rows").alias("returned_rows"))
     return out.agg(F.count("*").alias("n"))
+
+
+def _bson(*elements: tuple[int, str, bytes]) -> bytes:
+    """A document of fixed content."""
+    inside = b"".join(bytes([kind]) + name.encode() + b"\0" + value for kind, name, value in elements)
+    return (len(inside) + 5).to_bytes(4, "little") + inside + b"\0"
+
+
+def _bson_text(value: str) -> bytes:
+    return (len(value.encode()) + 1).to_bytes(4, "little") + value.encode() + b"\0"
+
+
+@register(
+    "decode_mongodb_fields",
+    f"""WITH e AS (SELECT user_id AS conn, event_id AS id, event_type, {_K} AS k, {_K} % 4 AS t FROM events)
+SELECT conn, id + 1 AS key, CASE t WHEN 0 THEN 'insert' WHEN 1 THEN 'getMore' WHEN 2 THEN 'hello' ELSE 'find' END AS command, CASE t WHEN 0 THEN 'kästchen' WHEN 1 THEN CAST(k * 5000000000 AS VARCHAR) WHEN 2 THEN '1' ELSE event_type END AS command_value,
+  CASE t WHEN 0 THEN 'kästchen' WHEN 1 THEN event_type WHEN 3 THEN event_type END AS collection, 'db' || CAST(conn AS VARCHAR) AS source, CAST(CASE t WHEN 1 THEN 0 ELSE 1 END AS INTEGER) AS ok, CASE t WHEN 1 THEN CAST(43 AS INTEGER) END AS code,
+  CASE t WHEN 1 THEN 'CursorNotFound' END AS code_name FROM e""",
+)
+def decode_mongodb_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the same name at the top and in nested documents, before and after; commands with a text, a whole and a fractional number; documents before the body."""
+    turn, zero = F.col("k") % 4, F.lit(b"\0")
+    one = bytes.fromhex("000000000000f03f")
+    nested = b"\x03filter\0" + _bson((2, "$db", _bson_text("evil")), (16, "code", (11000).to_bytes(4, "little")), (2, "find", _bson_text("nothing")))
+    many = b"\x04documents\0" + _bson((3, "0", _bson((2, "$db", _bson_text("evil")), (1, "ok", bytes(8)))))
+    text = lambda key, v: cat(F.lit(b"\x02" + key + b"\0"), little(F.octet_length(v) + 1, 4), v, zero)
+    e = _events(spark, sf_dir).withColumn("name", raw(F.concat(F.lit("db"), F.col("conn").cast("string")))).withColumn("thing", raw(F.col("event_type")))
+    first = (
+        F.when(turn == 0, F.lit(b"\x02insert\0" + _bson_text("kästchen") + many))
+        .when(turn == 1, cat(F.lit(b"\x12getMore\0"), little(F.col("k") * 5_000_000_000, 8), text(b"collection", F.col("thing")), F.lit(nested)))
+        .when(turn == 2, F.lit(b"\x01hello\0" + one + nested))
+        .otherwise(cat(text(b"find", F.col("thing")), F.lit(nested)))
+    )
+    e = e.withColumn("inside", cat(first, text(b"$db", F.col("name")))).withColumn("body", cat(little(F.octet_length("inside") + 5, 4), F.col("inside"), zero))
+    sequence = b"documents\0" + _bson((2, "$db", _bson_text("evil")))
+    before = F.when(turn == 3, F.lit(b"\1" + (len(sequence) + 4).to_bytes(4, "little") + sequence)).otherwise(F.lit(b""))
+    e = e.withColumn("asked", cat(F.lit(bytes(4)), before, zero, F.col("body")))
+    wrong = (4, "writeErrors", _bson((3, "0", _bson((16, "code", (11000).to_bytes(4, "little"))))))
+    told = F.when(turn == 0, F.lit(_bson(wrong, (1, "ok", one)))).when(turn == 1, F.lit(_bson((1, "ok", bytes(8)), (16, "code", (43).to_bytes(4, "little"))))).otherwise(F.lit(_bson((16, "ok", (1).to_bytes(4, "little")))))
+    e = e.withColumn("told", cat(F.lit(bytes(5)), told))
+    frame = lambda asked, answered, c: cat(little(F.octet_length(c) + 16, 4), little(asked, 4), little(answered, 4), little(2013, 4), F.col(c))
+    m = _messages(_both(e, frame(F.col("at") + 1, 0, "asked"), frame(F.col("at") + 2, F.col("at") + 1, "told")), "mongodb")
+    asked, answered = ["command", "command_value", "collection", "source"], ["ok", "code", "code_name"]
+    pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], [*asked, *answered])
+    return pairs.select("conn", "key", *[F.col(f"req_{c}").alias(c) for c in asked], *[F.col(f"rsp_{c}").alias(c) for c in answered])
+
+
+@register(
+    "decode_kafka_versions",
+    f"""WITH e AS (SELECT user_id AS conn, event_id AS key, event_type, {_K} % 6 AS t FROM events)
+SELECT conn, key, CASE t WHEN 0 THEN 'Produce' WHEN 1 THEN 'Fetch' WHEN 2 THEN 'Fetch' WHEN 3 THEN 'OffsetCommit' WHEN 4 THEN 'OffsetFetch' ELSE 'Metadata' END AS api, CAST(CASE t WHEN 0 THEN 9 WHEN 1 THEN 11 WHEN 2 THEN 15 WHEN 3 THEN 8 WHEN 4 THEN 8 ELSE 12 END AS BIGINT) AS version,
+  CASE WHEN t <> 2 THEN 'topic-' || event_type || repeat('x', 150) END AS topic, CASE WHEN t IN (2, 5) THEN '00000000-0000-0000-0000-' || lpad(lower(hex(key + 1)), 12, '0') END AS topic_id, CASE WHEN t IN (3, 4) THEN 'group-' || event_type END AS group_id FROM e""",
+)
+def decode_kafka_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with compact strings, whose lengths take one or two bytes, tagged fields in the head, ids of topics, and fixed and nullable fields before the names."""
+    t = F.col("k") % 6
+
+    def compact(name: str) -> Column:
+        n = F.octet_length(name) + 1
+        return cat(F.when(n < 128, big(n, 1)).otherwise(cat(big(n % 128 + 128, 1), big(F.floor(n / 128), 1))), F.col(name))
+
+    e = _events(spark, sf_dir).withColumns({"topic": raw(F.concat(F.lit("topic-"), "event_type", F.lit("x" * 150))), "group": raw(F.concat(F.lit("group-"), "event_type"))})
+    e = e.withColumns({"topic_": compact("topic"), "group_": compact("group")})
+    topic, group, member = F.col("topic_"), F.col("group_"), F.lit(b"\7member")
+    identity = cat(big(0, 8), big(F.col("at") + 1, 8))
+    head = lambda api, version, tagged=True: cat(big(api, 2), big(version, 2), big(F.col("at"), 4), F.lit(b"\0\6client" + (b"\1\0\3tag" if tagged else b"")))
+    bodies = [
+        cat(head(0, 9), F.lit(b"\0\0\1\0\0\3\xe8\2"), topic),
+        cat(head(1, 11, False), F.lit(bytes(25) + b"\0\0\0\1"), sized(F.col("topic"), 2)),
+        cat(head(1, 15), F.lit(bytes(21) + b"\2"), identity),
+        cat(head(8, 8), group, F.lit(b"\0\0\0\7"), member, F.lit(b"\0\2"), topic),
+        cat(head(9, 8), F.lit(b"\2"), group, F.lit(b"\2"), topic),
+        cat(head(3, 12), F.lit(b"\2"), identity, topic),
+    ]
+    e = e.withColumn("asked", F.coalesce(*[F.when(t == k, body) for k, body in enumerate(bodies)]))
+    m = _messages(e.select("conn", "at", F.lit("Request").alias("role"), sized(F.col("asked")).alias("bytes")), "kafka")
+    return m.select("conn", "key", "api", "version", "topic", "topic_id", "group_id")
