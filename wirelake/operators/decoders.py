@@ -179,7 +179,7 @@ def redis(rows: DataFrame) -> DataFrame:
 
 
 def http(rows: DataFrame) -> DataFrame:
-    """method, path, remote_host of requests; status of responses; headers, content_type and body (text types, as far as framing keeps it) of both.
+    """method, path, remote_host of requests; status of responses; headers (the first of equal names), header_values (all of them) and body (text types, as far as framing keeps it) of both.
 
     Bytes that are no UTF-8 become U+FFFD; a character that the end of what is kept cuts is left out.
     """
@@ -190,7 +190,8 @@ def http(rows: DataFrame) -> DataFrame:
     line = F.substring_index(head, "\r\n", 1)
     named = F.transform(F.filter(F.split(head, "\r\n"), lambda x, i: (i > 0) & x.contains(":")), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     headers = F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
-    df = rows.withColumn("headers", headers)
+    lists = F.transform(F.array_distinct(F.transform(named, lambda x: x["k"])), lambda k: F.struct(k.alias("key"), F.transform(F.filter(named, lambda x: x["k"] == k), lambda x: x["v"]).alias("value")))
+    df = rows.withColumn("headers", headers).withColumn("header_values", F.map_from_entries(lists))
     return df.withColumns(
         {
             "role": F.when(line.startswith("HTTP/1."), "Response").otherwise("Request"),
@@ -204,31 +205,47 @@ def http(rows: DataFrame) -> DataFrame:
     )
 
 
-def _counted(at: int) -> Column:
+def _counted(at: Column | int) -> Column:
     """MySQL's integer whose first byte says how many follow."""
+    at = (F.lit(at) if isinstance(at, int) else at).cast("int")
     first = uint(_m(), at, 1)
     wide = F.shiftleft(uint(_m(), at + 5, 4, little=True), 32).bitwiseOR(uint(_m(), at + 1, 4, little=True))
     return F.when(first < 251, first).when(first == 251, 0).when(first == 252, uint(_m(), at + 1, 2, little=True)).when(first == 253, uint(_m(), at + 1, 3, little=True)).when(first == 254, wide)
 
 
+def _counted_end(at: Column | int) -> Column:
+    """Where such an integer ends."""
+    at = (F.lit(at) if isinstance(at, int) else at).cast("int")
+    first = uint(_m(), at, 1)
+    return at + F.when(first == 252, 3).when(first == 253, 4).when(first == 254, 9).otherwise(1)
+
+
 def mysql(rows: DataFrame) -> DataFrame:
-    """command and statement of requests (line feeds as blanks; none for commands whose bytes are no text); packet_kind, affected_rows, error_code, sql_state or error text
-    of responses."""
+    """command and statement of requests (line feeds as blanks; none for commands whose bytes are no text); packet_kind, affected_rows, last_insert_id, server_status, warnings
+    and info (what an OK says in words), error_code, sql_state or error text of responses."""
     code = uint(_m(), 4, 1)
     said = F.translate(_text(5, F.least(F.lit(1024), F.col("size") - 5)), "\n", " ")
     failed = _is("Response") & (code == 255)
     state = F.decode(F.substring(_m(), 8, 6), "ISO-8859-1").rlike("^#[0-9A-Z]{5}$")
+    granted = _is("Response") & (code == 0)
+    # Two counts, the server's status and the number of warnings follow one another; the rest is text.
+    rows = rows.withColumn("_id", F.when(granted, _counted_end(5))).withColumn("_rest", F.when(granted, _counted_end(F.col("_id"))))
+    after = F.col("_rest").cast("int")
     return rows.withColumns(
         {
             "command": F.when(_is("Request"), _name(code, MYSQL_COMMANDS)),
             "statement": F.when(_is("Request") & ~code.isin(5, 10, 13) & (F.col("size") > 5), said),
             "packet_kind": F.when(_is("Response"), F.when(code == 0, "OK").when(code == 255, "ERR").when(code == 254, "EOF").otherwise("ResultSet")),
-            "affected_rows": F.when(_is("Response") & (code == 0), _counted(5)),
+            "affected_rows": F.when(granted, _counted(5)),
+            "last_insert_id": F.when(granted, _counted(F.col("_id"))),
+            "server_status": F.when(granted, uint(_m(), after, 2, little=True)),
+            "warnings": F.when(granted, uint(_m(), after + 2, 2, little=True)),
+            "info": F.when(granted & (F.col("size") > after + 4), _text(after + 4, F.least(F.lit(1024), F.col("size") - after - 4))),
             "error_code": F.when(failed, uint(_m(), 5, 2, little=True)),
             "sql_state": F.when(failed & state, _text(8, 5)),
             "error": F.when(failed, F.when(state, _text(13, F.least(F.lit(256), F.col("size") - 13))).otherwise(_text(7, F.least(F.lit(256), F.col("size") - 7)))),
         }
-    )
+    ).drop("_id", "_rest")
 
 
 def mysql_exchanges(rows: DataFrame, connection: str = "conn") -> DataFrame:
@@ -245,7 +262,7 @@ def mysql_exchanges(rows: DataFrame, connection: str = "conn") -> DataFrame:
     df = df.withColumns({"_end": end.cast("int"), "_ends": F.sum(end.cast("int")).over(answer)})
     first = lambda c: F.min_by(c, F.struct("first_ns", uint(_m(), 3, 1))).alias(c)
     out = df.groupBy(connection, "role", "_answer").agg(
-        *[first(c) for c in ("command", "statement", "packet_kind", "affected_rows", "error_code", "sql_state", "error")],
+        *[first(c) for c in ("command", "statement", "packet_kind", "affected_rows", "last_insert_id", "server_status", "warnings", "info", "error_code", "sql_state", "error")],
         F.count_if((F.col("_ends") == 1) & (F.col("_end") == 0)).alias("_rows"),
         F.sum("size").alias("size"),
         F.min("first_ns").alias("first_ns"),

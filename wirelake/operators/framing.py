@@ -359,3 +359,39 @@ def deliver(cursored: DataFrame, ends: bool = False) -> DataFrame:
         new = new | F.col("fin") & ~F.col("closed")
     payload = F.when(F.col("delivered") > 0, F.expr("substring(payload, CAST(trim AS INT) + 1)"))
     return cursored.where(new).withColumn("payload", payload)
+
+
+class Fold:
+    """What is gathered over the messages of one stream. ``feed`` gives the rows that a segment completes, ``end`` those that the end of the capture does."""
+
+    def feed(self, payload: bytes, ns: int) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
+
+
+def folded(segments: DataFrame, stream: Sequence[str], order: Sequence[str], make: Callable[[], Fold], schema: str) -> DataFrame:
+    """Rows of ``schema`` for each stream from segments with payload and capture_ns, in one pass in order; a task holds one stream's fold at a time."""
+    types = dict(segments.dtypes)
+    keys = list(stream)
+    names = [*keys, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, fold = None, None
+        for b in batches:
+            rows: list[tuple] = []
+            for own, payload, ns in zip(zip(*(b[k].tolist() for k in keys)), b["payload"].tolist(), b["capture_ns"].tolist()):
+                if own != now:
+                    if fold:
+                        rows.extend((*now, *r) for r in fold.end())
+                    now, fold = own, make()
+                if payload:
+                    rows.extend((*own, *r) for r in fold.feed(payload, ns))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+        if fold:
+            yield pd.DataFrame([(*now, *r) for r in fold.end()], columns=names, dtype=object)
+
+    rest = [c for c in order if c not in (*keys, "payload", "capture_ns")]
+    sorted_ = segments.select(*keys, "payload", "capture_ns", *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))

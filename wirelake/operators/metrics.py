@@ -28,7 +28,7 @@ LABELS = {
 }
 #: Metrics that some protocols have besides the common ones, with model, unit and field; a round trip without the field has none.
 EXTRA = {
-    "mysql": (("mysql_response_affected_rows", "counter", "", "affected_rows"), ("mysql_response_resultset_rows", "counter", "", "returned_rows")),
+    "mysql": (("mysql_response_affected_rows", "counter", "", "affected_rows"), ("mysql_response_resultset_rows", "histogram", "bytes", "returned_rows")),
     "postgresql": (("postgresql_response_affected_rows", "counter", "", "affected_rows"),),
 }
 #: Labels that every protocol may carry.
@@ -63,14 +63,16 @@ def of_protocol(trips: DataFrame, proto: str, required: Sequence[str]) -> DataFr
 
 
 def dispatch(metrics: DataFrame, by: Sequence[str], log: bool = False) -> DataFrame:
-    """(by, part, value) of mixed metrics by their model: sums of counters (part is null), counts of histograms by bucket, whose bounds are logarithmic with ``log`` and else
-    those of the metric's unit, cumulative."""
+    """(by, part, value) of mixed metrics by their model: sums of counters and the last write of gauges (part is null), counts of histograms by bucket, whose bounds are
+    logarithmic with ``log`` and else those of the metric's unit (without a unit all values are in the one bucket that has no bound), cumulative."""
     keys = ["name", *by]
-    out = counter(metrics.where("model = 'counter'"), keys).select(*keys, F.lit(None).cast("string").alias("part"), F.col("value").cast("double").alias("value"))
+    plain = [F.lit(None).cast("string").alias("part"), F.col("value").cast("double").alias("value")]
+    out = counter(metrics.where("model = 'counter'"), keys).select(*keys, *plain)
+    out = out.unionByName(gauge(metrics.where("model = 'gauge'"), keys, ["ts", "value"]).select(*keys, *plain))
     seen = metrics.where("model = 'histogram'")
     if log:
         return out.unionByName(log_histogram(seen, keys, "value").select(*keys, F.col("vmrange").alias("part"), F.col("count").cast("double").alias("value")))
-    for unit in ("bytes", "seconds"):
+    for unit in BOUNDS:
         h = histogram(seen.where(F.col("unit") == unit), keys, "value", unit)
         out = out.unionByName(h.select(*keys, F.col("le").alias("part"), F.col("count").cast("double").alias("value")))
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, l4, matching, metrics, spans
-from . import views
+from . import config, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -498,11 +500,12 @@ def _decimal_sql(u: int, w: int) -> str:
 _SECS = _FRACTION.format(x="(ns % 60000000000)", u=1000000000, w=9)
 
 
-@register(
-    "go_duration",
-    f"""WITH n AS (SELECT event_id, {_NS} AS ns FROM events) SELECT event_id, CASE WHEN ns = 0 THEN '0s' WHEN ns < 1000 THEN CAST(ns AS VARCHAR) || 'ns' WHEN ns < 1000000 THEN {_decimal_sql(1000, 3)} || 'µs' WHEN ns < 1000000000 THEN {_decimal_sql(1000000, 6)} || 'ms'
-ELSE CASE WHEN ns >= 3600000000000 THEN CAST(ns // 3600000000000 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN ns >= 60000000000 THEN CAST(ns // 60000000000 % 60 AS VARCHAR) || 'm' ELSE '' END || CAST(ns % 60000000000 // 1000000000 AS VARCHAR) || CASE WHEN {_SECS} <> '' THEN '.' || {_SECS} ELSE '' END || 's' END AS duration FROM n""",
-)
+#: The text of a duration of the column ns.
+_DURATION = f"""CASE WHEN ns = 0 THEN '0s' WHEN ns < 1000 THEN CAST(ns AS VARCHAR) || 'ns' WHEN ns < 1000000 THEN {_decimal_sql(1000, 3)} || 'µs' WHEN ns < 1000000000 THEN {_decimal_sql(1000000, 6)} || 'ms'
+ELSE CASE WHEN ns >= 3600000000000 THEN CAST(ns // 3600000000000 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN ns >= 60000000000 THEN CAST(ns // 60000000000 % 60 AS VARCHAR) || 'm' ELSE '' END || CAST(ns % 60000000000 // 1000000000 AS VARCHAR) || CASE WHEN {_SECS} <> '' THEN '.' || {_SECS} ELSE '' END || 's' END"""
+
+
+@register("go_duration", f"WITH n AS (SELECT event_id, {_NS} AS ns FROM events) SELECT event_id, {_DURATION} AS duration FROM n")
 def go_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     unit = F.when(i % 5 == 0, 1).when(i % 5 == 1, 1000).when(i % 5 == 2, 1_000_000).when(i % 5 == 3, 1_000_000_000).otherwise(12345).cast("bigint")
@@ -511,24 +514,25 @@ def go_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "roundtrip_json",
-    f"""WITH {_TRIPS} SELECT trip_id, '{{"Proto":"http","Request":{{"Method":"' || method || '","Size":' || CAST(req_bytes AS VARCHAR) || '}},"Response":{{"Status":"' || status || '"}}}}' AS line FROM trips""",
+    f"""WITH {_TRIPS}, n AS (SELECT *, CAST(round(secs * 1000000000) AS BIGINT) AS ns FROM trips) SELECT trip_id, '{{"Proto":"http","Request":{{"Method":"' || method || '","Size":' || CAST(req_bytes AS VARCHAR) || '}},"Response":{{"Status":"' || status || '"}},"Duration":"' || {_DURATION} || '"}}' AS line FROM n""",
 )
 def roundtrip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = views.round_trips(spark, sf_dir)
     request = F.struct(F.col("method").alias("Method"), F.col("req_bytes").alias("Size"))
-    line = F.to_json(F.struct(F.lit("http").alias("Proto"), request.alias("Request"), F.struct(F.col("status").alias("Status")).alias("Response")))
+    took = text.go_duration(F.round(F.col("secs") * 1_000_000_000).cast("bigint"))
+    line = F.to_json(F.struct(F.lit("http").alias("Proto"), request.alias("Request"), F.struct(F.col("status").alias("Status")).alias("Response"), took.alias("Duration")))
     return trips.select("trip_id", line.alias("line"))
 
 
 @register(
     "scalar_functions",
-    """SELECT conv_id, turn, translate(split_part(trim(text), ' ', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS command, regexp_replace(substr(text, 1, 64), '[^A-Za-z0-9_:/-]', '', 'g') AS plain, substr(replace(text, chr(10), ' '), 1, 1024) AS statement, trim(replace('/' || role || '/' || CAST(turn AS VARCHAR) || '/', '/', '.'), '.') AS service FROM conversations""",
+    """SELECT conv_id, turn, translate(split_part(trim(text), ' ', 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS command, regexp_replace(text, '[^A-Za-z0-9_:/-]', '', 'g') AS plain, substr(replace(text, chr(10), ' '), 1, 1024) AS statement, trim(replace('/' || role || '/' || CAST(turn AS VARCHAR) || '/', '/', '.'), '.') AS service FROM conversations""",
 )
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "conversations")
     t = F.col("text")
     path = F.concat(F.lit("/"), "role", F.lit("/"), F.col("turn").cast("string"), F.lit("/"))
-    return c.select("conv_id", "turn", text.command_word(t).alias("command"), text.plain_name(F.substring(t, 1, 64)).alias("plain"), text.one_line(t).alias("statement"), text.service_of(path).alias("service"))
+    return c.select("conv_id", "turn", text.command_word(t).alias("command"), text.plain_name(t).alias("plain"), text.one_line(t).alias("statement"), text.service_of(path).alias("service"))
 
 
 @register(
@@ -540,13 +544,49 @@ def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.plain_name(F.col("text")).alias("plain"))
 
 
+#: The first eight hex digits of a text's MD5 as a number.
+_MARK = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
 @register(
     "pipeline_fan_out",
-    f"WITH {_TRIPS} SELECT 'metrics' AS pipeline, CAST(count(*) AS BIGINT) AS records FROM trips UNION ALL SELECT 'traces', CAST(count(*) AS BIGINT) FROM trips WHERE secs > 0",
+    f"""WITH {_TRIPS}, t AS (SELECT *, {_PARENT} AS h FROM trips),
+s AS (SELECT method || '|' || CASE WHEN k % 3 = 0 THEN md5('t' || CAST(trip_id AS VARCHAR)) ELSE md5('trace|' || CAST(trip_id AS VARCHAR)) END || '|' || status || '|' || CAST(trip_id * 1000 AS VARCHAR) AS said FROM t),
+m AS (SELECT 'http_requests_total' AS name, method, status, CAST(1 AS DOUBLE) AS value FROM t UNION ALL SELECT 'http_request_duration_seconds', method, status, secs FROM t UNION ALL SELECT 'http_request_body_bytes', method, status, req_bytes FROM t UNION ALL SELECT 'http_response_body_bytes', method, status, rsp_bytes FROM t),
+d AS (SELECT name || '|' || method || '|' || status AS said, round(value, 6) AS value FROM m WHERE value IS NOT NULL)
+SELECT pipeline, processor, CAST(records AS BIGINT) AS records, CAST(mark AS BIGINT) AS mark, round(total, 4) AS total FROM (VALUES ('first', 'roundtripstometrics'), ('first', 'roundtripstotraces'), ('second', 'roundtripstotraces')) AS v(pipeline, processor)
+JOIN (SELECT 'roundtripstometrics' AS processor, count(*) AS records, sum({_MARK.format('said')}) AS mark, sum(value) AS total FROM d UNION ALL SELECT 'roundtripstotraces', count(*), sum({_MARK.format('said')}), CAST(0 AS DOUBLE) FROM s) USING (processor)""",
 )
 def pipeline_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pipeline takes the round trips themselves, not what another made of them."""
+    """Each processor of each pipeline takes the round trips themselves, not what another made of them. The rows of each are told by their number, a sum of marks of what they say, and
+    the sum of values."""
+    s = config.load({"pipeline": {"first": ["roundtripstometrics", "roundtripstotraces"], "second": ["roundtripstotraces"]}})
+    start = F.col("trip_id") * 1000
+    trips = _traced(spark, sf_dir).withColumns({"url": F.lit("/"), "scheme": F.lit("http"), "req_ns": start, "rsp_ns": start + 500})
+    mark = lambda *parts: F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")).alias("mark")
+    out = []
+    for (name, step), rows in config.plan(trips, s).items():
+        if step == "roundtripstometrics":
+            label = lambda n: F.filter("labels", lambda x: x["name"] == n)[0]["value"]
+            said, total = mark("name", label("method"), label("status_code")), F.sum(F.round("value", 6))
+        else:
+            said, total = mark("name", "trace_id", F.col("attributes")["http.response.status_code"], F.col("start_ns").cast("string")), F.lit(0.0)
+        out.append(rows.agg(F.count("*").alias("records"), said, F.round(total, 4).alias("total")).select(F.lit(name).alias("pipeline"), F.lit(step).alias("processor"), "records", "mark", "total"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@register(
+    "metric_dispatch_models",
+    f"""WITH {_TRIPS}, b AS (SELECT method, unnest([10240, 102400, 256000, 512000, 1048576, 5242880, 10485760, 20971520, 31457280, 52428800, 83886080, 104857600, 157286400, 209715200, 524288000]) AS le FROM (SELECT DISTINCT method FROM trips))
+SELECT 'in_flight' AS name, method, CAST(NULL AS VARCHAR) AS part, CAST(max_by(k, ROW(ts, k)) AS DOUBLE) AS value FROM trips GROUP BY method
+UNION ALL SELECT 'retries', method, '+Inf', CAST(count(*) AS DOUBLE) FROM trips GROUP BY method
+UNION ALL SELECT 'http_requests_total', method, NULL, CAST(count(*) AS DOUBLE) FROM trips GROUP BY method
+UNION ALL SELECT 'size', b.method, CAST(b.le AS VARCHAR), CAST(count(*) FILTER (WHERE req_bytes <= b.le) AS DOUBLE) FROM b JOIN trips USING (method) GROUP BY b.method, b.le
+UNION ALL SELECT 'size', method, '+Inf', CAST(count(*) AS DOUBLE) FROM trips GROUP BY method""",
+)
+def metric_dispatch_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of counters, gauges, and histograms with and without a unit, from one table of metrics."""
     trips = views.round_trips(spark, sf_dir)
-    made = [("metrics", trips), ("traces", trips.where("secs > 0"))]
-    parts = [df.agg(F.count("*").alias("records")).select(F.lit(n).alias("pipeline"), "records") for n, df in made]
-    return parts[0].unionByName(parts[1])
+    rows = [("http_requests_total", "counter", "", F.lit(1.0)), ("in_flight", "gauge", "", F.col("k")), ("retries", "histogram", "", F.col("k")), ("size", "histogram", "bytes", F.col("req_bytes"))]
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("model"), F.lit(u).alias("unit"), v.cast("double").alias("value")) for n, m, u, v in rows])
+    return metrics.dispatch(trips.select("ts", "method", F.inline(each)), ["method"])

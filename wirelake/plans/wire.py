@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import decoders, framing, l4, matching
+from ..operators import amqp, decoders, framing, http2, l4, matching
+from ..functions.text import service_of
 from . import views
 from .catalogue import _K, register
 
@@ -54,6 +55,10 @@ def heard(segments: DataFrame) -> DataFrame:
     return framing.messages(new, ["conn", "role"], order)
 
 
+def _new(segments: DataFrame) -> DataFrame:
+    return framing.deliver(l4.cursor(segments, ["conn", "role"], ["at", "part", "copy"]))
+
+
 def talked(segments: DataFrame) -> DataFrame:
     """As heard, for protocols whose framing needs both directions of a connection at once."""
     new = framing.deliver(l4.cursor(segments, ["conn", "role"], ["at", "part", "copy"]), ends=True)
@@ -238,7 +243,7 @@ def _h2_rows(spark: SparkSession, sf_dir: str, path: Column, trailers: bool, pro
     status = F.when(F.col("k") % 2 == 0, F.lit("200")).otherwise("404")
     head = _h2(1, 4, stream, cat(_literal(":status", status), big(0xBE, 1)))
     tail = cat(_h2(0, 0, stream, raw("body")), _h2(1, 5, stream, _literal("grpc-status", (F.col("k") % 3).cast("string")))) if trailers else _h2(0, 1, stream, raw("body"))
-    return _messages(_both(_events(spark, sf_dir), ask, cat(head, tail)), proto)
+    return http2.streams(_new(sent(_both(_events(spark, sf_dir), ask, cat(head, tail)), proto)), ["conn", "role"], ["at", "part", "copy"])
 
 
 @register("decode_http2", f"SELECT user_id AS conn, event_id AS trip, 'POST' AS method, '/' || event_type AS path, 'svc.test' AS authority, CASE {_K} % 2 WHEN 0 THEN '200' ELSE '404' END AS status FROM events")
@@ -250,7 +255,7 @@ def decode_http2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("decode_grpc", f"SELECT user_id AS conn, 'pkg.S.' || event_type AS service, CASE {_K} % 2 WHEN 0 THEN '200' ELSE '404' END AS status, CAST({_K} % 3 AS VARCHAR) AS grpc_status, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def decode_grpc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _h2_rows(spark, sf_dir, F.concat(F.lit("/pkg.S/"), "event_type"), True, "grpc")
+    m = _h2_rows(spark, sf_dir, F.concat(F.lit("/pkg.S/"), "event_type"), True, "grpc").withColumn("service", service_of(F.col("path")))
     pairs = matching.by_key(m, ["conn", "key"], ["first_ns", "role"], ["service", "status", "grpc_status"])
     return pairs.groupBy("conn", F.col("req_service").alias("service"), F.col("rsp_status").alias("status"), F.col("rsp_grpc_status").alias("grpc_status")).agg(F.count("*").alias("n"))
 
@@ -365,3 +370,67 @@ def decode_kafka_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("asked", F.coalesce(*[F.when(t == k, body) for k, body in enumerate(bodies)]))
     m = _messages(e.select("conn", "at", F.lit("Request").alias("role"), sized(F.col("asked")).alias("bytes")), "kafka")
     return m.select("conn", "key", "api", "version", "topic", "topic_id", "group_id")
+
+
+@register(
+    "decode_amqp_channels",
+    f"""WITH e AS (SELECT user_id AS conn, event_id AS id, event_type, {_K} AS k FROM events)
+SELECT conn, CAST(k % 5 + 1 AS BIGINT) AS channel, 'Basic.Publish' AS class_method, 'ex-' || CAST(conn AS VARCHAR) AS exchange, event_type AS routing_key, CAST(NULL AS VARCHAR) AS queue_name, CAST(k * 40 AS BIGINT) AS body_size, CAST(2 + CAST(k > 0 AS INTEGER) + CAST(k > 25 AS INTEGER) AS BIGINT) AS frames, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL
+UNION ALL SELECT conn, CAST(k % 5 + 6 AS BIGINT), 'Queue.Bind', 'ex', 'key', 'q-' || event_type, NULL, 1, CAST(count(*) AS BIGINT) FROM e GROUP BY ALL""",
+)
+def decode_amqp_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published messages of no, one and two body frames, between whose frames stands a method of another channel."""
+    e = _events(spark, sf_dir).withColumns({"exchange": raw(F.concat(F.lit("ex-"), F.col("conn").cast("string"))), "key": raw(F.col("event_type")), "queue": raw(F.concat(F.lit("q-"), "event_type"))})
+    name = lambda v: sized(v, 1)
+    frame = lambda kind, channel, c: cat(big(kind, 1), big(channel, 2), sized(F.col(c)), big(0xCE, 1))
+    size = F.col("k") * 40
+    e = e.withColumns(
+        {
+            "publish": cat(F.lit(b"\0\x3c\0\x28\0\0"), name(F.col("exchange")), name(F.col("key")), big(0, 1)),
+            "header": cat(F.lit(b"\0\x3c\0\0"), big(size, 8), big(0, 2)),
+            "bind": cat(F.lit(b"\0\x32\0\x14\0\0"), name(F.col("queue")), F.lit(b"\2ex\3key\0\0\0\0\0")),
+            "one": raw(F.repeat(F.lit("x"), F.least(size, F.lit(1000)).cast("int"))),
+            "two": raw(F.repeat(F.lit("y"), F.greatest(size - 1000, F.lit(0)).cast("int"))),
+        }
+    )
+    own, other = F.col("k") % 5 + 1, F.col("k") % 5 + 6
+    body = lambda c: F.when(F.octet_length(c) > 0, frame(3, own, c)).otherwise(F.lit(b""))
+    rows = e.select("conn", "at", F.lit("Request").alias("role"), cat(frame(1, own, "publish"), frame(1, other, "bind"), frame(2, own, "header"), body("one"), body("two")).alias("bytes"))
+    m = amqp.messages(_new(sent(rows, "amqp")), ["conn", "role"], ["at", "part", "copy"])
+    by = ["conn", "channel", "class_method", "exchange", "routing_key", "queue_name", "body_size", "frames"]
+    return m.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+@register(
+    "decode_http2_streams",
+    f"""WITH e AS (SELECT user_id AS conn, event_id AS id, event_type, {_K} % 3 AS t FROM events)
+SELECT conn, CASE t WHEN 0 THEN 'end' WHEN 1 THEN 'reset' ELSE 'promise' END AS ending, CASE t WHEN 2 THEN '/push/' || event_type END AS path, CASE WHEN t < 2 THEN '200' END AS status, CASE t WHEN 0 THEN '0' END AS grpc_status, CAST(CASE t WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 0 END AS BIGINT) AS body_bytes,
+  CASE t WHEN 1 THEN CAST(8 AS BIGINT) END AS error_code, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL""",
+)
+def decode_http2_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with trailers in two frames, answers that are reset, and promised requests."""
+    stream, t = F.col("at") * 2 + 1, F.col("k") % 3
+    e = _events(spark, sf_dir).withColumn("path", raw(F.concat(F.lit("/push/"), "event_type")))
+    frame = lambda kind, flags, body: cat(big(len(body), 3), F.lit(bytes([kind, flags])), big(stream, 4), F.lit(body))
+    head, data = frame(1, 4, b"\x88"), frame(0, 0, b"body")
+    trailers = cat(frame(1, 1, b"\0\x0bgrpc-"), frame(9, 4, b"status\x010"))
+    promised = cat(big(F.octet_length("path") + 6, 3), F.lit(b"\5\4"), big(stream, 4), big(stream + 1, 4), F.lit(b"\4"), sized(F.col("path"), 1))
+    told = F.when(t == 0, cat(head, data, data, trailers)).when(t == 1, cat(head, data, frame(3, 0, b"\0\0\0\x08"))).otherwise(promised)
+    rows = e.select("conn", "at", F.lit("Response").alias("role"), told.alias("bytes"))
+    m = http2.streams(_new(sent(rows, "http2")), ["conn", "role"], ["at", "part", "copy"])
+    return m.groupBy("conn", "ending", "path", "status", "grpc_status", "body_bytes", "error_code").agg(F.count("*").alias("n"))
+
+
+@register(
+    "decode_mysql_ok",
+    f"""SELECT user_id AS conn, CAST({_K} AS BIGINT) AS affected_rows, CAST({_K} * 1000 AS BIGINT) AS last_insert_id, CAST(2 AS BIGINT) AS server_status, CAST({_K} % 3 AS BIGINT) AS warnings, CASE WHEN {_K} % 2 = 1 THEN 'Rows matched: ' || CAST({_K} AS VARCHAR) END AS info, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL""",
+)
+def decode_mysql_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of packets that grant a command; the second count stands where the width of the first one leaves it."""
+    turn, k = F.col("at") % 3, F.col("k")
+    first = F.when(turn == 0, big(k, 1)).when(turn == 1, cat(big(252, 1), little(k, 2))).otherwise(cat(big(254, 1), little(k, 8)))
+    told = F.when(k % 2 == 1, raw(F.concat(F.lit("Rows matched: "), k.cast("string")))).otherwise(F.lit(b""))
+    e = _events(spark, sf_dir).withColumn("ok", cat(F.lit(b"\0"), first, big(253, 1), little(k * 1000, 3), little(2, 2), little(k % 3, 2), told))
+    rows = e.select("conn", "at", F.lit("Response").alias("role"), cat(little(F.octet_length("ok"), 3), F.lit(b"\1"), F.col("ok")).alias("bytes"))
+    by = ["conn", "affected_rows", "last_insert_id", "server_status", "warnings", "info"]
+    return _messages(rows, "mysql").groupBy(*by).agg(F.count("*").alias("n"))
