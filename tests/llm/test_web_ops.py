@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from wirelake.llm import ann, html_text, url_filter, warc
 from wirelake.llm.queries import ALLOW, BLOCK
 
@@ -109,27 +110,118 @@ def test_deep_markup_takes_linear_time():
     assert time.time() - began < 20
 
 
-def test_path_values_against_plain_ratios():
+def some_page(rng):
+    """A page and its texts as (path as labels, level of a heading, text, letters in links, marked, inside an article), from a plain recursive description."""
+    texts = []
+
+    def element(depth, path, marked, inside):
+        tag = rng.choice(["div", "div", "section", "article", "aside", "ul"])
+        cls = rng.choice(["", "", "body", "two words", "sidebar"]) if tag in ("div", "section") else ""
+        own = path + (tag + "".join("." + x for x in sorted(cls.split())),)
+        marked, inside = marked or tag == "aside" or cls == "sidebar", inside or tag == "article"
+        out = f'<{tag} class="{cls}">' if cls else f"<{tag}>"
+        for _ in range(rng.randrange(1, 4)):
+            if depth < 3 and rng.random() < 0.4:
+                out += element(depth + 1, own, marked, inside)
+                continue
+            leaf = rng.choice(["p", "p", "p", "h2", "h4", "blockquote"])
+            text = " ".join(rng.choice(["word", "long-word,", "end.", "x"]) for _ in range(rng.choice([1, 3, 12, 60])))
+            linked = rng.random() < 0.2
+            out += f"<{leaf}>" + (f"<a href=/>{text}</a>" if linked else text) + f"</{leaf}>"
+            texts.append((own + (leaf,), int(leaf[1]) if leaf[0] == "h" else 0, text, len(text) if linked else 0, marked, inside))
+        return out + f"</{tag}>"
+
+    page = "<html><body>" + "".join(element(0, ("html", "body"), False, False) for _ in range(rng.randrange(1, 5))) + "</body></html>"
+    return page, texts
+
+
+def plain_stats(texts):
+    rows = [t for t in texts if not t[1]]
+    rows = texts if all(t[4] for t in rows) else rows
+    out = {}
+    for t in rows:
+        # Marks of an element part a path from one of the same name without.
+        s = out.setdefault((t[0], t[4]), [0, 0, 0, 0])
+        for k, v in enumerate((1, len(t[2]), sum(c in ",." for c in t[2]), t[3])):
+            s[k] += v
+    return out
+
+
+def plain_text(texts, table, p):
+    own = plain_stats(texts)
+    paths = list(own)
+    common = max((k for k in range(1, 9) if len({q[0][:k] for q in paths}) == 1 and all(len(q[0]) >= k for q in paths)), default=0) if len(paths) > 1 else 0
+    ratio = {}
+    for q in paths:
+        n, letters, marks, _ = own[q]
+        length, mark = table.get(q[0], (0, 0))
+        w = p.prior if q[0] in table else 0
+        ratio[q] = (letters + w * length) / (n + w), (marks + w * mark) / (n + w) + 1
+
+    def kin(a, b):
+        best = 0.0
+        for i in range(1, 4):
+            for j in range(1, 4):
+                x, y = a[0][:-i], b[0][:-j]
+                if not best and x and x == y and len(x) > common:
+                    best = 1 / (i + j - 1)
+        return best
+
+    value = {}
+    for k, q in enumerate(paths):
+        near = [(kin(paths[j], q), paths[j]) for j in (k - 1, k + 1) if 0 <= j < len(paths)]
+        size = lambda c: (ratio[q][c] + sum(w * ratio[x][c] for w, x in near)) / (1 + sum(w for w, _ in near))  # noqa: B023, E731
+        value[q] = size(0) * size(1)
+    inside = {(t[0], t[4]) for t in texts if t[5]}
+    free = [q for q in paths if own[q][3] <= p.links * own[q][1]]
+    weigh = lambda q: p.hint if q[1] else p.inside if q in inside else 1
+    if all(q[1] for q in free):
+        stay = {q for q in free if value[q] * p.hint >= p.share * max(value[x] for x in free)}
+    else:
+        best, level = max(value[q] * weigh(q) for q in free), max(value[q] * min(1, weigh(q)) for q in free)
+        stay = {q for q in free if value[q] * weigh(q) >= p.share * (best if q[1] else level)}
+    out, under = [], 0
+    for t in reversed(texts):
+        ok = (t[0], t[4]) in stay
+        if t[1] and not t[4]:
+            ok = t[3] <= p.links * len(t[2]) and (ok or t[1] < under)
+            under = min(under, t[1])
+        elif not t[1]:
+            under = 7 if ok else under
+        if ok:
+            out.append(t[2])
+    return "\n".join(reversed(out))
+
+
+@pytest.mark.parametrize("p", [html_text.RatioParams(), html_text.RatioParams(hint=1.0, inside=1.0), html_text.RatioParams(share=0.15, prior=3)])
+def test_main_text_against_plain_ratios(spark, p):
     rng = random.Random(4)
-    p = html_text.RatioParams()
-    for _ in range(50):
-        found = []
-        for _ in range(rng.randrange(1, 40)):
-            path = rng.randrange(8)
-            found.append((html_text.Block(path, path in (2, 5), path in (1, 2), 0, linked=0), "x" * rng.randrange(1, 60) + "." * rng.randrange(4)))
-        values, limit, _ = html_text.path_values(found, p)
-        order = list(dict.fromkeys(b.path for b, _ in found))
-        size = lambda k: sum(len(t) for b, t in found if b.path == k) / sum(b.path == k for b, _ in found)
-        marks = lambda k: (sum(t.count(".") for b, t in found if b.path == k) + 1) / sum(b.path == k for b, _ in found)
-        want = {}
-        for group in ([k for k in order if k in (2, 5)], [k for k in order if k not in (2, 5)]):
-            for at, k in enumerate(group):
-                near = group[max(0, at - 1) : at + 2]
-                want[k] = sum(map(size, near)) / len(near) * sum(map(marks, near)) / len(near) * (p.inside if k in (1, 2) else 1)
-        free = [k for k in order if k not in (2, 5)] or order
-        letters = {k: sum(len(t) for b, t in found if b.path == k) for k in order}
-        assert math.isclose(limit, p.share * sum(want[k] * letters[k] for k in free) / sum(letters[k] for k in free))
-        assert all(math.isclose(values[k], want[k] * (p.hint if k in (2, 5) else 1)) for k in order)
+    pages = [some_page(rng) for _ in range(150)]
+    seen = {}
+    for _, texts in pages:
+        for (path, _), (n, letters, marks, _) in plain_stats(texts).items():
+            s = seen.setdefault(path, [0, 0, 0, 0])
+            for k, v in enumerate((1, n, letters, marks)):
+                s[k] += v
+    table = {path: (s[2] / s[1], s[3] / s[1]) for path, s in seen.items() if s[0] >= 2}
+    rows = [(k, "u", page) for k, (page, _) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(frame(spark, rows), p).collect()}
+    assert got == {k: plain_text(texts, table, p) for k, (_, texts) in enumerate(pages)}
+    assert len(set(got.values())) > 100
+    assert [html_text.main_text(page, p) for page, _ in pages] == [plain_text(texts, {}, p) for _, texts in pages]
+
+
+def test_ratios_overrule_markup():
+    prose = "A long sentence, with commas, and more of it, goes on here; another follows, and it is long, too. " * 6
+    page = f'<body><div class="sidebar"><p>{prose}</p><p>{prose}</p></div><div><p>Short.</p></div></body>'
+    assert html_text.main_text(page).split("\n") == [prose.strip()] * 2
+
+
+def test_markup_hardly_matters_where_pages_are_many(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    with_lists = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in html_text.extract(pages, html_text.RatioParams(hint=1.0, inside=1.0)).collect()}
+    assert sum(with_lists[k] != without[k] for k in with_lists) < 0.05 * len(with_lists)
 
 
 def rule(url):
