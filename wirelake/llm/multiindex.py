@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .components import components
 from .storage import Scratch, hot_values, skew_join
@@ -37,7 +38,7 @@ class DedupParams:
     which a cell's nodes are gathered in balls, ``ball`` the least number of nodes in one."""
 
     cosine: float = 0.93
-    recall: float = 0.999
+    recall: float = 0.99
     sample: int = 20_000
     occupancy: float = 16.0
     centroids: int = 4096
@@ -240,11 +241,17 @@ def _usable(column: str) -> Column:
     return c.isNotNull() & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(c, lambda v: v != 0)
 
 
+def _kind(vectors: DataFrame) -> str:
+    """Components stay float where they are; others are double."""
+    return "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+
+
 def _nodes(vectors: DataFrame) -> DataFrame:
-    """Different vectors of a label: ``node`` a 64-bit hash, how many rows hold it, the least id of them."""
+    """Rows with vectors that take part: ``node`` is a 64-bit hash of vector and group, which is label and number of components."""
+    kind = _kind(vectors)
     rows = vectors.where(F.col("label").isNotNull() & F.coalesce(_usable("embedding"), F.lit(False)))
     # Minus zero is zero.
-    plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0).cast("double")).otherwise(v.cast("double")))
+    plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0).cast(kind)).otherwise(v.cast(kind)))
     return rows.select("vec_id", F.xxhash64("label", F.size("embedding")).alias("g"), plain.alias("embedding")).withColumn("node", F.xxhash64("g", "embedding"))
 
 
@@ -269,7 +276,7 @@ def links(vectors: DataFrame, scratch: Scratch, p: DedupParams = DedupParams())
                 d1, d2 = grid.distances(_matrix(part["embedding"], width))
                 yield part.assign(cell=d1.argmin(1) * len(grid.second) + d2.argmin(1), cells=[*visited(grid, d1, d2)])
 
-    placed = nodes.mapInPandas(place, "node long, g long, embedding array<double>, weight long, least long, cell long, cells array<long>")
+    placed = nodes.mapInPandas(place, f"node long, g long, embedding array<{_kind(vectors)}>, weight long, least long, cell long, cells array<long>")
     # Cells are named by a hash of group and place from here on.
     placed = placed.withColumn("cell", F.xxhash64("g", "cell")).withColumn("cells", F.transform("cells", lambda c: F.xxhash64("g", c)))
     placed = scratch.table(placed, "placed")
@@ -296,7 +303,7 @@ def links(vectors: DataFrame, scratch: Scratch, p: DedupParams = DedupParams())
     return scratch.table(out.select("node", total.cast("long").alias("n_links"), "component_id"), "links")
 
 
-_UNIT = "unit long, g long, cell long, cells array<long>, center array<double>, radius double, together long, least_id long, members array<struct<node:long,weight:long>>"
+_UNIT = "unit long, g long, cell long, cells array<long>, center array<{kind}>, radius double, together long, least_id long, members array<struct<node:long,weight:long>>"
 
 
 def _units(placed: DataFrame, p: DedupParams) -> DataFrame:
@@ -304,6 +311,7 @@ def _units(placed: DataFrame, p: DedupParams) -> DataFrame:
     crowded = placed.groupBy("cell").count().where(F.col("count") >= p.crowd).select("cell", F.ceil(F.col("count") / p.block).alias("parts"))
     single = placed.join(crowded.select("cell"), "cell", "left_anti")
     dense = skew_join(placed, crowded, "cell").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), "parts"))
+    kind = _kind(placed)
     as_unit = ["node AS unit", "g", "cell", "cells", "embedding AS center", "0D AS radius", "weight AS together", "least AS least_id", "array(struct(node, weight)) AS members"]
 
     def gather(b: pd.DataFrame) -> pd.DataFrame:
@@ -314,15 +322,15 @@ def _units(placed: DataFrame, p: DedupParams) -> DataFrame:
             at = np.flatnonzero(ball == k)
             own = b.iloc[at]
             center = u[at].mean(0)
-            center /= np.sqrt(center @ center)
-            radius = float(np.arccos(np.clip(u[at] @ center, -1, 1)).max()) + 1e-7
+            center = (center / np.sqrt(center @ center)).astype(np.float32 if kind == "float" else np.float64)
+            radius = float(np.arccos(np.clip(u[at] @ _matrix([center])[0], -1, 1)).max()) + 1e-7
             cells = sorted({c for x in own["cells"] for c in x})
             out.append((int(own["node"].min()), int(own["g"].iloc[0]), int(own["cell"].iloc[0]), cells, center.tolist(), radius, int(own["weight"].sum()), int(own["least"].min()), [{"node": int(n), "weight": int(w)} for n, w in zip(own["node"], own["weight"])]))
         for r in b[ball < 0].itertuples():
             out.append((r.node, r.g, r.cell, list(r.cells), list(r.embedding), 0.0, r.weight, r.least, [{"node": int(r.node), "weight": int(r.weight)}]))
         return pd.DataFrame(out, columns="unit g cell cells center radius together least_id members".split())
 
-    gathered = dense.groupBy("cell", "g", "part").applyInPandas(gather, _UNIT)
+    gathered = dense.groupBy("cell", "g", "part").applyInPandas(gather, _UNIT.format(kind=kind))
     return single.selectExpr(*as_unit).unionByName(gathered)
 
 
