@@ -295,12 +295,53 @@ def postgresql(rows: DataFrame) -> DataFrame:
     )
 
 
-def postgresql_statements(rows: DataFrame, connection: str = "conn") -> DataFrame:
-    """As postgresql, with the statement of binds: that of the last parse of the same name before them in the connection."""
+#: Prepared statements and portals that a connection's session knows at most; the oldest goes first.
+STATEMENTS = 16
+
+
+def postgresql_statements(rows: DataFrame, connection: str = "conn", most: int = STATEMENTS) -> DataFrame:
+    """As postgresql, with the statement of binds and executes.
+
+    A parse gives a name to a statement, a bind gives a portal the statement of a name, an execute runs a portal. Of both kinds of names a session knows the ``most`` that
+    were given last; giving a name anew moves it to the end, and closing it takes it away. What was forgotten gives no statement. A task holds one session's names.
+    """
     df = postgresql(rows)
-    before = Window.partitionBy(connection, "role", "prepared").orderBy("first_ns").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("command") == "Parse", F.col("statement")), ignorenulls=True).over(before)
-    return df.withColumn("statement", F.coalesce("statement", F.when(F.col("command") == "Bind", last)))
+    letter = F.decode(F.substring(_m(), 1, 1), "ISO-8859-1")
+    latin = F.decode(F.substring(_m(), 6, 1024), "ISO-8859-1")
+    word = lambda k: F.get(F.split(latin, "\0"), F.lit(k))
+    # Closing says with a letter whether a statement or a portal is meant.
+    asked = _is("Request")
+    df = df.withColumns({"_letter": F.when(asked, letter), "_portal": F.when(asked & letter.isin("B", "E"), word(0)).when(asked & (letter == "C"), word(0))})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, statements, portals = None, {}, {}
+
+        def give(table: dict[str, str | None], name: str, value: str | None) -> None:
+            table.pop(name, None)
+            table[name] = value
+            if len(table) > most:
+                del table[next(iter(table))]
+
+        for b in batches:
+            said = []
+            for own, kind, name, portal, text in zip(b[connection], b["_letter"], b["prepared"], b["_portal"], b["statement"]):
+                if own != now:
+                    now, statements, portals = own, {}, {}
+                if kind == "P":
+                    give(statements, name or "", text)
+                elif kind == "B":
+                    text = statements.get(name or "")
+                    give(portals, portal or "", text)
+                elif kind == "E":
+                    text = portals.get(portal or "")
+                elif kind == "C" and portal:
+                    (statements if portal[0] == "S" else portals).pop(portal[1:], None)
+                said.append(text)
+            yield b.assign(statement=said)
+
+    ordered = df.repartition(connection).sortWithinPartitions(connection, "first_ns")
+    return ordered.mapInPandas(run, schema).drop("_letter", "_portal")
 
 
 def mongodb(rows: DataFrame) -> DataFrame:

@@ -434,3 +434,19 @@ def decode_mysql_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("conn", "at", F.lit("Response").alias("role"), cat(little(F.octet_length("ok"), 3), F.lit(b"\1"), F.col("ok")).alias("bytes"))
     by = ["conn", "affected_rows", "last_insert_id", "server_status", "warnings", "info"]
     return _messages(rows, "mysql").groupBy(*by).agg(F.count("*").alias("n"))
+
+
+@register(
+    "decode_postgresql_session",
+    """WITH e AS (SELECT user_id AS conn, event_type, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events)
+SELECT conn, r, n.step AS step, CASE WHEN n.step = 'Parse' THEN 'select ' || CAST(r AS VARCHAR) WHEN r % 40 < 16 THEN 'select ' || CAST(r - r % 40 AS VARCHAR) END AS statement FROM e, (VALUES ('Parse'), ('Bind')) AS n(step)""",
+)
+def decode_postgresql_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event prepares a statement under a name of its own and binds the one that the first of its forty events prepared, which is forgotten after sixteen names."""
+    e = _events(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("conn").orderBy("at")) - 1)
+    base = F.col("r") - F.col("r") % 40
+    e = e.withColumns({"parse": raw(F.concat(F.lit("s"), F.col("r").cast("string"), F.lit("\0select "), F.col("r").cast("string"), F.lit("\0\0\0"))), "bind": raw(F.concat(F.lit("\0s"), base.cast("string"), F.lit("\0" + "\0" * 6)))})
+    steps = F.array(F.struct((F.col("r") * 2).alias("at"), cat(raw("P"), sized(F.col("parse"), 4, 4)).alias("bytes")), F.struct((F.col("r") * 2 + 1).alias("at"), cat(raw("B"), sized(F.col("bind"), 4, 4)).alias("bytes")))
+    rows = e.select("conn", F.inline(steps)).withColumn("role", F.lit("Request"))
+    m = decoders.postgresql_statements(talked(sent(rows, "postgresql")))
+    return m.select("conn", F.floor(F.col("first_ns") / 2000).alias("r"), F.col("command").alias("step"), "statement")
