@@ -73,3 +73,19 @@ def test_closing_epochs_of_two_directions(spark):
                 epoch, open_ = epoch + 1, {"l": True, "r": True}
             elif f:
                 open_[d] = False
+
+
+def test_stretches_of_a_stream_give_the_same(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    streams = {}
+    for c in range(60):
+        base = rng.choice([0, 1000, TOP - 60, TOP - 200])
+        streams[c] = [((base + rng.randrange(0, 250)) % TOP, rng.choice([0, 5, 10, 30]), rng.random() < 0.01) for _ in range(rng.randrange(1, 90))]
+    rows = [(c, i, s, n, f) for c, v in streams.items() for i, (s, n, f) in enumerate(v)]
+    df = spark.createDataFrame(rows, "conn int, i int, seq bigint, len int, fin boolean")
+    cols = ["conn", "i", "closed", "skip", "trim", "gap", "delivered"]
+    want = sorted(map(tuple, l4.cursor(df, ["conn"], ["i"]).select(*cols).collect()))
+    for size in (1, 7, 1000):
+        assert sorted(map(tuple, l4.cursor_by_stretch(df, ["conn"], ["i"], F.floor(F.col("i") / size)).select(*cols).collect())) == want

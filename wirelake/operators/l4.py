@@ -36,12 +36,47 @@ def cursor(segments: DataFrame, stream: Sequence[str], order: Sequence[str]) ->
     df = df.withColumn("_epoch", F.sum("_wrap").over(upto))
     inside = Window.partitionBy(*stream, "_epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.when(F.col("_wrap") == 1, F.lit(0)).otherwise(F.coalesce(F.max("_end").over(inside), F.lit(0)))
-    df = df.withColumn("_reached", reached)
+    return _delivered(df.withColumn("_reached", reached), used).drop("_wrap", "_end", "_epoch", "_reached")
+
+
+def cursor_by_stretch(segments: DataFrame, stream: Sequence[str], order: Sequence[str], stretch: Column) -> DataFrame:
+    """As ``cursor``, for streams that may hold a large share of all segments: ``stretch`` numbers stretches of a stream, which must not fall along ``order``.
+
+    A stretch is summed up by whether it has a fin, whether sequence numbers start again in it, and the highest end since they did (or in all of it). These few rows say what
+    each stretch begins with, as both carry over associatively; then the stretches go through their windows apart from one another. No task needs more than one stretch of
+    segments, or the summaries of one stream.
+    """
+    part = [*stream, "_stretch"]
+    df = segments.withColumn("_stretch", stretch)
+    among = Window.partitionBy(*stream).orderBy("_stretch")
+    earlier = among.rowsBetween(Window.unboundedPreceding, -1)
+    fins = df.groupBy(*part).agg(F.max(F.col("fin").cast("int")).alias("_fin")).withColumn("_shut", F.coalesce(F.max("_fin").over(earlier), F.lit(0)))
+    df = df.join(fins.select(*part, "_shut"), part)
+    arrival = Window.partitionBy(*part).orderBy(*order)
+    before, upto = arrival.rowsBetween(Window.unboundedPreceding, -1), arrival.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("closed", (F.col("_shut") == 1) | (F.coalesce(F.max(F.col("fin").cast("int")).over(before), F.lit(0)) == 1))
+    used = ~F.col("closed") & (F.col("len") > 0)
+    end = F.col("seq").cast("bigint") + F.col("len")
+    df = df.withColumn("_wrap", (used & (end >= WRAP)).cast("int"))
+    df = df.withColumn("_end", F.when(used, end - F.col("_wrap") * F.lit(WRAP))).withColumn("_epoch", F.sum("_wrap").over(upto))
+    # What a stretch leaves behind: the highest end of its last epoch; and what all up to it do, where an epoch goes on over stretches until one has a wrap.
+    tails = df.groupBy(*part, "_epoch").agg(F.max("_end").alias("_tail")).groupBy(*part).agg(F.max_by("_tail", "_epoch").alias("_tail"), F.max("_epoch").alias("_wraps"))
+    tails = tails.withColumn("_age", F.sum((F.col("_wraps") > 0).cast("int")).over(among.rowsBetween(Window.unboundedPreceding, 0)))
+    left = tails.withColumn("_left", F.max("_tail").over(Window.partitionBy(*stream, "_age").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = left.select(*part, F.coalesce(F.lag("_left").over(among), F.lit(0)).alias("_carried"))
+    df = df.join(carried, part)
+    inside = Window.partitionBy(*part, "_epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.max("_end").over(inside), F.lit(0))
+    reached = F.when(F.col("_wrap") == 1, F.lit(0)).when(F.col("_epoch") == 0, F.greatest(own, F.col("_carried"))).otherwise(own)
+    return _delivered(df.withColumn("_reached", reached), used).drop("_wrap", "_end", "_epoch", "_reached", "_stretch", "_shut", "_carried")
+
+
+def _delivered(df: DataFrame, used: Column) -> DataFrame:
+    """skip, trim, gap and delivered from how far a stream has come before each segment."""
     df = df.withColumn("skip", used & (F.col("_reached") >= F.col("_end")))
     df = df.withColumn("trim", F.when(used & ~F.col("skip"), F.greatest(F.lit(0), F.col("_reached") - F.col("seq"))))
     df = df.withColumn("gap", used & ~F.col("skip") & (F.col("_reached") > 0) & (F.col("_reached") < F.col("seq")))
-    df = df.withColumn("delivered", F.when(used & ~F.col("skip"), F.col("len") - F.col("trim")).otherwise(0))
-    return df.drop("_wrap", "_end", "_epoch", "_reached")
+    return df.withColumn("delivered", F.when(used & ~F.col("skip"), F.col("len") - F.col("trim")).otherwise(0))
 
 
 def statistics(cursored: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -263,6 +263,22 @@ def tcp_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conn", "seq", "len", "fin", "l_partkey", "l_suppkey", "closed", "skip", F.col("trim").cast("bigint").alias("trim"), "gap", F.col("delivered").cast("bigint").alias("delivered"))
 
 
+_ONE = f"segments AS (SELECT 1 AS conn, l_orderkey, {_ARRIVAL}, CAST((l_orderkey * 40 + (l_linenumber - 1) * 25) % 1000000 + CASE WHEN l_orderkey % 50000 = 3 THEN 4293967000 ELSE 0 END AS BIGINT) AS seq, CAST(l_quantity AS INT) AS len, false AS fin FROM lineitem)"
+
+
+@register(
+    "tcp_cursor_one_connection",
+    f"WITH {_CURSOR.replace(_SEGMENTS, _ONE).replace(f'ORDER BY {_ARRIVAL}', f'ORDER BY l_orderkey, {_ARRIVAL}')} SELECT l_orderkey, l_linenumber, seq, len, closed, skip, CAST(trim AS BIGINT) AS trim, gap, CAST(CASE WHEN trim IS NOT NULL THEN len - trim ELSE 0 END AS BIGINT) AS delivered FROM cursored",
+)
+def tcp_cursor_one_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments are of one connection, which is gone through in stretches."""
+    k = F.col("l_orderkey")
+    seq = (k * 40 + (F.col("l_linenumber") - 1) * 25) % 1_000_000 + F.when(k % 50_000 == 3, 4_293_967_000).otherwise(0)
+    rows = views.table(spark, sf_dir, "lineitem").select(F.lit(1).alias("conn"), "l_orderkey", *views.ARRIVAL, seq.cast("bigint").alias("seq"), F.col("l_quantity").cast("int").alias("len"), F.lit(False).alias("fin"))
+    c = l4.cursor_by_stretch(rows, ["conn"], ["l_orderkey", *views.ARRIVAL], F.floor(k / 1000))
+    return c.select("l_orderkey", "l_linenumber", "seq", "len", "closed", "skip", F.col("trim").cast("bigint").alias("trim"), "gap", F.col("delivered").cast("bigint").alias("delivered"))
+
+
 @register(
     "l4_stats",
     f"WITH {_CURSOR} SELECT conn, CAST(count(*) AS BIGINT) AS packets, CAST(sum(len) AS BIGINT) AS bytes, CAST(sum(CAST(skip AS INT)) AS BIGINT) AS skipped FROM cursored WHERE NOT closed GROUP BY conn",
