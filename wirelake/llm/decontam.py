@@ -265,8 +265,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, p: DecontamParams
     """
     none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items")]
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *none)
-    for b in [*_blocks(benchmark, p)] or [prepare([], [], p.window)]:
-        docs = _hits(docs, b)
+    some = False
+    for b in _blocks(benchmark, p):  # one after another, so the driver holds no more than one
+        docs, some = _hits(docs, b), True
+    if not some:
+        docs = _hits(docs, prepare([], [], p.window))
     return docs.select("doc_id", "n_words", "spans", "items").mapInPandas(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
