@@ -211,6 +211,27 @@ def test_main_text_against_plain_ratios(spark, p):
     assert [html_text.main_text(page, p) for page, _ in pages] == [plain_text(texts, {}, p) for _, texts in pages]
 
 
+@pytest.mark.parametrize("known", [0, 3, 12])
+def test_ratios_of_paths_beyond_those_broadcast(spark, known):
+    rng = random.Random(9)
+    pages = [some_page(rng)[0] for _ in range(120)]
+    rows = [(k, "u", pages[k % 120]) for k in range(130)] + [(k, "u", pages[7]) for k in range(130, 230)] + [(None, None, None), (230, "u", "")]
+    texts = lambda p: sorted((str(r["page_id"]), r["text"]) for r in html_text.extract(frame(spark, rows), p).collect())
+    got = texts(html_text.RatioParams(hint=1.0, inside=1.0))
+    assert texts(html_text.RatioParams(hint=1.0, inside=1.0, known=known)) == got
+    alone = [html_text.main_text(x, html_text.RatioParams(hint=1.0, inside=1.0)) for x in pages]
+    assert sum(dict(got)[str(k)] != alone[k] for k in range(120)) > 5
+
+
+def test_ratios_of_paths_on_few_of_many_pages(spark):
+    prose = "A long sentence, with commas, and more of it, goes on here; another follows. " * 8
+    pair = [f'<body><div class="one"><p>{x}</p></div><div><div class="two"><p>{prose}</p></div></div></body>' for x in ("Short.", prose * 2)]
+    rows = [(k, "u", f"<p>Page {k}.</p>") for k in range(6998)] + [(7000 + k, "u", x) for k, x in enumerate(pair)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(frame(spark, rows)).where("page_id >= 7000").collect()}
+    assert got == {7000: f"Short.\n{prose.strip()}", 7001: f"{prose * 2}".strip() + f"\n{prose.strip()}"}
+    assert html_text.main_text(pair[0]) == prose.strip()
+
+
 def test_ratios_overrule_markup():
     prose = "A long sentence, with commas, and more of it, goes on here; another follows, and it is long, too. " * 6
     page = f'<body><div class="sidebar"><p>{prose}</p><p>{prose}</p></div><div><p>Short.</p></div></body>'

@@ -13,14 +13,16 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, skew_join
 
 #: Elements without an end tag, elements whose content is not text, blocks, parts of a page that are no article, words of class, id and role that mark such
 #: parts, and elements that a new start tag closes.
@@ -66,15 +68,14 @@ class Block:
 @dataclass(frozen=True)
 class RatioParams:
     """``share`` is the part of the best path's fused value under which a path goes, ``links`` the share of link text over which one goes. ``inside`` is the weight of paths within an article
-    or main element, ``hint`` that of paths that markup names as something else. ``prior`` is how many texts the table's ratios of a path count as; the table's ratios are
-    those of paths on at least 1 of ``rare`` pages and two of them, of which ``known`` at most are sent to the tasks, the commonest."""
+    or main element, ``hint`` that of paths that markup names as something else. ``prior`` is how many texts the table's ratios of a path count as. Those of the commonest
+    paths, ``known`` at most, are broadcast; those of all others reach their pages by a join, with the same result."""
 
     share: float = 0.4
     links: float = 0.5
     inside: float = 8.0
     hint: float = 0.3
     prior: int = 64
-    rare: int = 2000
     known: int = 100_000
 
 
@@ -276,7 +277,7 @@ def kinship(a: int, b: int, parents: list[int], base: set[int]) -> float:
     return 0.0
 
 
-def path_values(found: list[tuple[Block, str]], parents: list[int], table: dict[int, Ratios], p: RatioParams) -> tuple[dict[int, float], set[int]]:
+def path_values(found: list[tuple[Block, str]], parents: list[int], table: Mapping[int, Ratios], p: RatioParams) -> tuple[dict[int, float], set[int]]:
     """The fused value of each path that counts, and those that are mostly links."""
     own = measured(found)
     paths, names = list(own), {b.path: b.name for b, _ in found}
@@ -297,7 +298,7 @@ def path_values(found: list[tuple[Block, str]], parents: list[int], table: dict[
     return {path: smooth(lengths, k) * smooth(marks, k) for k, path in enumerate(paths)}, {k for k in paths if own[k][3] > p.links * own[k][1]}
 
 
-def fitting(found: list[tuple[Block, str]], parents: list[int], table: dict[int, Ratios], p: RatioParams) -> set[int]:
+def fitting(found: list[tuple[Block, str]], parents: list[int], table: Mapping[int, Ratios], p: RatioParams) -> set[int]:
     """The paths that stay. Marked paths are held against the best value with all weights, the others against the best where an article is no advantage."""
     values, linked = path_values(found, parents, table, p)
     marked, inside = {b.path for b, _ in found if b.marked}, {b.path for b, _ in found if b.main}
@@ -311,7 +312,7 @@ def fitting(found: list[tuple[Block, str]], parents: list[int], table: dict[int,
     return {k for k in free if values[k] * weight[k] >= p.share * most[k in marked]}
 
 
-def main_text(page: str | None, p: RatioParams = RatioParams(), table: dict[int, Ratios] | None = None) -> str:
+def main_text(page: str | None, p: RatioParams = RatioParams(), table: Mapping[int, Ratios] | None = None) -> str:
     """Text of the content blocks, white space joined, one block a line. ``table`` has the ratios of paths in all pages by their names; without it the page speaks for itself."""
     found, parents = texts_of(page)
     stay = fitting(found, parents, table or {}, p)
@@ -328,49 +329,67 @@ def main_text(page: str | None, p: RatioParams = RatioParams(), table: dict[int,
     return "\n".join(c for (_, c), ok in zip(found, fits) if ok)
 
 
-#: Paths of which a task holds counts before it hands them on.
+#: Paths of which a task holds counts before it hands them on, and pages that it remembers.
 HELD = 200_000
 
 
-def path_ratios(pages: DataFrame, p: RatioParams = RatioParams()) -> dict[int, Ratios]:
-    """The ratios of the commonest paths over all pages, by their names. The tasks count; of paths with their page counts one row each meets, and those on enough pages, ``known`` at
-    most by classes of page counts from the highest on, come to the driver."""
+def path_ratios(pages: DataFrame, scratch: Scratch, p: RatioParams = RatioParams()) -> tuple[dict[int, Ratios], DataFrame | None]:
+    """The ratios of all paths that stand on two pages or more; one that stands on a single page has no others than the page's own.
+
+    The tasks count, and of each path one row a task meets. Those of the commonest paths, ``known`` at most by classes of page counts from the highest on, come to the driver, by
+    their names. Those of the rest are joined to the pages that hold them: (page, names, lengths, marks), a row for each different page with such paths, ``page`` being
+    the hash of its html. None if all are among the first.
+    """
 
     def rows(held: dict[int, list[int]]) -> pd.DataFrame:
-        df = pd.DataFrame([(k, *v) for k, v in held.items()], columns=["name", "pages", "texts", "letters", "marks"])
+        df = pd.DataFrame([(k, *v, None) for k, v in held.items()], columns=["key", "pages", "texts", "letters", "marks", "names"])
         held.clear()
         return df
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[int]] = {}
+        seen: set[int] = set()
         for b in batches:
-            for page in b["html"]:
+            own: dict[int, list[int]] = {}
+            for key, page in zip(b["page"].tolist(), b["html"]):
                 found, _ = texts_of(page)
-                names = {x.path: x.name for x, _ in found}
-                for path, (n, letters, points, _) in measured(found).items():
+                names, sums = {x.path: x.name for x, _ in found}, measured(found)
+                for path, (n, letters, points, _) in sums.items():
                     s = held.setdefault(names[path], [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
                     s[2] += letters
                     s[3] += points
+                if sums and key not in seen:
+                    own[key] = list({names[path] for path in sums})
+                    if len(seen) < HELD:
+                        seen.add(key)
                 if len(held) > HELD:
                     yield rows(held)
+            if own:
+                yield pd.DataFrame({"key": list(own), "pages": 0, "texts": 0, "letters": 0, "marks": 0, "names": list(own.values())})
         yield rows(held)
 
-    scratch = Scratch(pages.sparkSession, "paths")
-    counts = pages.select("html").mapInPandas(run, "name long, pages long, texts long, letters long, marks long")
-    sums = counts.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "letters", "marks"))).withColumn("c", F.floor(F.log2("pages")).cast("int"))
-    sums = scratch.table(sums.where("pages >= 2"), "sums")
-    enough = max(2, pages.count() // p.rare)
+    hashed = pages.select("html", F.xxhash64("html").alias("page"))
+    counts = scratch.table(hashed.mapInPandas(run, "key long, pages long, texts long, letters long, marks long, names array<long>"), "counts")
+    sums = counts.where("names IS NULL").groupBy(F.col("key").alias("name")).agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "letters", "marks"))).where("pages >= 2")
+    sums = scratch.table(sums.select("name", F.floor(F.log2("pages")).cast("int").alias("c"), (F.col("letters") / F.col("texts")).alias("length"), (F.col("marks") / F.col("texts")).alias("mark")), "sums")
     least, total = 63, 0
-    for r in sums.where(F.col("pages") >= enough).groupBy("c").count().orderBy(F.desc("c")).collect():
+    for r in sums.groupBy("c").count().orderBy(F.desc("c")).collect():
         total += r["count"]
         if total > p.known:
             break
         least = r["c"]
-    got = sums.where((F.col("pages") >= enough) & (F.col("c") >= least)).select("name", F.col("letters") / F.col("texts"), F.col("marks") / F.col("texts")).collect()
-    scratch.drop("sums")
-    return {r[0]: (r[1], r[2]) for r in got}
+    common = sums.where(F.col("c") >= least)
+    got, rest = {r[0]: (r[1], r[2]) for r in common.select("name", "length", "mark").collect()}, None
+    if total > p.known:
+        # No path of the rest holds more than a small share of these rows: more than ``known`` others stand on at least half as many pages.
+        asked = counts.where("names IS NOT NULL").select(F.col("key").alias("page"), F.explode("names").alias("name"))
+        asked = asked.join(F.broadcast(common.select("name")), "name", "left_anti").distinct().join(sums.where(F.col("c") < least), "name")
+        asked = asked.groupBy("page").agg(F.collect_list(F.struct("name", "length", "mark")).alias("r"))
+        rest = scratch.table(asked.select("page", F.col("r.name").alias("names"), F.col("r.length").alias("lengths"), F.col("r.mark").alias("marks")), "rest")
+    scratch.drop("counts", "sums")
+    return got, rest
 
 
 def extract(pages: DataFrame, p: RatioParams = RatioParams()) -> DataFrame:
@@ -380,11 +399,23 @@ def extract(pages: DataFrame, p: RatioParams = RatioParams()) -> DataFrame:
     stay together; broken and unclosed markup is read as far as it goes; repeated rows are each extracted and each count for the ratios of paths; null page_id and url are
     passed on; an empty table gives no rows; other columns are not read.
     """
-    held = pages.sparkSession.sparkContext.broadcast(path_ratios(pages, p))
+    common, rest = path_ratios(pages, Scratch(pages.sparkSession, "paths"), p)
+    held = pages.sparkSession.sparkContext.broadcast(common)
+
+    def tables(b: pd.DataFrame) -> Iterator[Mapping[int, Ratios]]:
+        if rest_columns:
+            for names, lengths, marks in zip(*(b[c] for c in rest_columns)):
+                yield held.value if names is None else ChainMap(dict(zip(names.tolist(), zip(lengths.tolist(), marks.tolist()))), held.value)
+        else:
+            yield from repeat(held.value, len(b))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [main_text(h, p, held.value) for h in b["html"]]
+            texts = [main_text(h, p, table) for h, table in zip(b["html"], tables(b))]
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    whole, rest_columns = pages.select("page_id", "url", "html"), []
+    if rest is not None:
+        rest_columns = [c for c in rest.columns if c != "page"]
+        whole = skew_join(whole.withColumn("page", F.xxhash64("html")), rest, "page", "left")
+    return whole.mapInPandas(run, "page_id long, url string, text string, n_chars long")
