@@ -66,6 +66,26 @@ def test_stages_take_no_rows(spark, odd, k):
     assert c.STAGES[k][1](spark, odd[2].where("false"), SF).count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_bound_the_batches_of_workers(spark, odd, k):
+    import corpus_pipeline as c
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    large = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 10000) AS text")
+    sizes = lambda: [r[0] for r in large.mapInPandas(lambda it: (b.assign(n=b["text"].str.len().sum())[["n"]][:1] for b in it), "n long").collect()]
+    rows = lambda: sorted(str(tuple(r)) for r in c.STAGES[k][1](spark, odd[2].coalesce(1), SF).collect())
+    try:
+        spark.conf.unset(key)
+        before = sizes()
+        got = rows()
+        assert max(before) > 40_000_000 and max(sizes()) < 6_000_000
+        if k < 4:
+            spark.conf.set(key, "20k")
+            assert rows() == got and spark.conf.get(key) == "20k"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bytes that go to a Python worker at once, about.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="wirelake-"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to Python workers in batches of about ``BATCH_BYTES``, or of what it is set to if that is less.
+
+    By default a batch may hold 64 MB of texts, of which a task has several copies: in the JVM, as Arrow and as strings in the worker, and of what comes back. Workers stay for
+    later tasks and keep what they once took. What rows come out does not depend on batches.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder.
 
